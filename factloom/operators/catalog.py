@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
-from factloom.functions.text import key_words, norm_key, token_forms, words
+from factloom.functions.text import key_words, norm_key, search_words, token_forms
 
 
 def mention_join(texts: DataFrame, text_id: str, table: DataFrame, row_id: str, columns: list[str],
@@ -102,14 +102,9 @@ def duplicate_headers(headers: DataFrame) -> DataFrame:
 def token_coverage(texts: DataFrame, text_id: str, queries: DataFrame, query_id: str, body: str = "text",
                    tokens: str = "tokens") -> DataFrame:
     """Number of query tokens with an equivalent token in the text, for pairs that share at least one."""
-    from factloom.functions.text import search_words
-
     t = texts.select(text_id, F.explode(F.array_distinct(F.flatten(F.transform(
         F.array_distinct(search_words(F.col(body))), token_forms)))).alias("form"))
     q = queries.select(query_id, F.explode(tokens).alias("tok")).select(
         query_id, "tok", F.explode(token_forms(F.col("tok"))).alias("form"))
     return t.join(q, "form").groupBy(text_id, query_id).agg(F.count_distinct("tok").alias("coverage"))
 
-
-__all__ = ["mention_join", "column_scores", "match_tables", "compatible_tables", "union_tables", "duplicate_headers",
-           "token_coverage", "words"]

@@ -75,7 +75,7 @@ WITH v AS ({_VOCABULARY}), f AS (SELECT token, {forms_sql('token')} AS forms FRO
 b AS (SELECT token, forms, list_filter(forms, lambda x: length(x) < length(token)) AS singles FROM f),
 base AS (SELECT token, forms, list_filter(CASE WHEN len(singles) > 0 THEN singles WHEN token LIKE '%ws' THEN []
   ELSE [token] END, lambda x: regexp_full_match(x, '\p{{L}}{{2,}}') AND x NOT IN ('as', 'is', 'us')) AS bases FROM b),
-cand AS (SELECT token, forms, unnest(list_distinct(list_concat(forms, list_transform(bases, x ->
+cand AS (SELECT token, forms, unnest(list_distinct(list_concat(forms, list_transform(bases, lambda x:
   CASE WHEN regexp_full_match(x, '.+[^aeiou]y') THEN x[:-2] || 'ies'
        WHEN regexp_matches(x, '(s|x|z|ch|sh)$') THEN x || 'es' ELSE x || 's' END)))) AS c FROM base)
 SELECT token, string_agg(c, ' ' ORDER BY c) AS forms FROM cand
@@ -190,13 +190,6 @@ def row_labels(t):
     return p.select("p_partkey", rel.row_label(["name", "size", "brand"], F.col("p_partkey")).alias("label"))
 
 
-_MENTION_TABLE = {
-    "row_id": "item_id",
-    "opening": "array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' '), 1, 3), ' ')",
-    "code": "'B-' || CAST(item_id AS STRING)",
-}
-
-
 @query("mentioned_values", rf"""
 WITH v AS (SELECT item_id AS row_id, 'opening' AS col,
     array_to_string(({words_sql('text')})[1:3], ' ') AS phrase FROM benchmark

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
-from factloom.functions.typing import typed_cell
 from factloom.operators import ordering, sets
 from factloom.operators import relational as rel
 from factloom.plans.registry import query
 from factloom.plans.shared import (
-    LINE_CELLS, ORDER_CELLS, PLAIN_ORDER, date_sql, key_sql, kind_sql, num_sql, quoted, render, select_sql, squash_sql,
+    LINE_CELLS, ORDER_CELLS, PLAIN_ORDER, date_sql, kind_sql, num_sql, quoted, render, select_sql, squash_sql,
 )
 
 
@@ -264,6 +263,3 @@ def order_line_bags(t):
         F.collect_list("l_linenumber").alias("nums"), F.collect_set("l_linenumber").alias("uniq"))
     return b.select("l_orderkey", sets.bags_equal(F.col("nums"), F.col("uniq")).alias("equal_bags"),
                     sets.set_subset(F.col("nums"), F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("subset"))
-
-
-__all__ = ["typed_cell", "key_sql"]
