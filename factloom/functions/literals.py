@@ -60,22 +60,18 @@ COMPARABLE = "(?i)(?:" + "|".join(
 
 def plain_decimal(c: Column) -> Column:
     """Digits text without group commas, trailing zeros or a plus sign."""
-    t = F.regexp_replace(F.regexp_replace(c, ",", ""), r"^\+", "")
+    t = F.regexp_replace(c, r",|^\+", "")
     t = F.regexp_replace(t, r"^(-?)0+(?=[0-9])", "$1")
-    t = F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
-    return F.when((t == "") | (t == "-0"), F.lit("0")).otherwise(t)
+    t = F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1")
+    return let(F.regexp_replace(t, r"\.$", ""), lambda x: F.when(x.isin("", "-0"), F.lit("0")).otherwise(x))
 
 
 def date_of(raw: Column) -> Column:
     """ISO text of a matched date literal."""
     flat = F.regexp_replace(raw, r"(?i)([0-9])(?:st|nd|rd|th)", "$1")
-    flat = F.trim(F.regexp_replace(flat, r"[.,\s]+", " "))
-    parsed = F.coalesce(
-        F.when(raw.rlike("^[0-9]{4}-"), F.try_to_date(raw, "yyyy-MM-dd")),
-        F.when(flat.rlike("^[A-Za-z]+ "), F.coalesce(
-            F.try_to_date(flat, "MMMM d yyyy"), F.try_to_date(flat, "MMM d yyyy"))),
-    )
-    return F.date_format(parsed, "yyyy-MM-dd")
+    flat = F.regexp_replace(F.trim(F.regexp_replace(flat, r"[.,\s]+", " ")), "^(?i)sept ", "Sep ")
+    written = let(flat, lambda x: F.coalesce(F.try_to_date(x, "MMMM d yyyy"), F.try_to_date(x, "MMM d yyyy")))
+    return F.when(raw.rlike("^[0-9]{4}-"), raw).otherwise(F.date_format(written, "yyyy-MM-dd"))
 
 
 def literal_kind(raw: Column) -> Column:
@@ -102,55 +98,70 @@ def literal_norm(raw: Column, kind: Column) -> Column:
     )
 
 
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start,stop,raw>>`` (0-based, end exclusive), from the gaps between them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<start:int,stop:int,raw:string>>").alias("out"),
-    )
+    """All matches as ``array<struct<start,stop,raw>>`` (0-based, end exclusive).
+
+    One pass of the regex brackets every match with two control characters; the rest is cutting at those.
+    """
+    spans = "array<struct<start:int,stop:int,raw:string>>"
+    clean = F.translate(text, _OPEN + _CLOSE, "  ")
+    parts = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + F.char_length(pair["gap"])
-        stop = start + F.char_length(pair["hit"])
-        item = F.struct(start.alias("start"), stop.alias("stop"), pair["hit"].alias("raw"))
-        return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def step(acc: Column, part: Column) -> Column:
+        n = F.locate(_CLOSE, part) - 1
+        item = F.struct(acc["pos"].alias("start"), (acc["pos"] + n).alias("stop"), F.left(part, n).alias("raw"))
+        return F.struct((acc["pos"] + F.char_length(part) - 1).alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    pairs = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def walk(pieces: Column) -> Column:
+        zero = F.struct(F.char_length(F.get(pieces, F.lit(0))).alias("pos"), F.array().cast(spans).alias("out"))
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), zero, step, lambda acc: acc["out"])
+
+    return F.when(text.isNull(), F.lit(None).cast(spans)).otherwise(let(parts, walk))
 
 
 def extract_literals(text: Column) -> Column:
     """``array<struct<start,stop,kind,raw,norm>>`` of the literals in a text, in order of appearance."""
 
+    def kinded(s: Column) -> Column:
+        bare = F.trim(s["raw"])
+        return let(F.struct(s["start"].alias("start"), s["raw"].alias("raw"), literal_kind(bare).alias("kind")), finish)
+
     def finish(s: Column) -> Column:
-        kind = literal_kind(F.trim(s["raw"]))
-        raw = F.when(kind.isin("email", "url", "identifier"), F.rtrim(s["raw"], F.lit(".,"))).otherwise(s["raw"])
-        lead = F.char_length(raw) - F.char_length(F.ltrim(raw))
+        raw = F.when(s["kind"].isin("email", "url", "identifier"), F.rtrim(s["raw"], F.lit(".,"))).otherwise(s["raw"])
+        return let(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), raw.alias("raw"), F.trim(raw).alias("bare")), place)
+
+    def place(s: Column) -> Column:
+        lead = F.char_length(s["raw"]) - F.char_length(F.ltrim(s["raw"]))
         return F.struct(
             (s["start"] + lead).alias("start"),
-            (s["start"] + F.char_length(raw)).alias("stop"),
-            kind.alias("kind"),
-            F.trim(raw).alias("raw"),
-            literal_norm(F.trim(raw), kind).alias("norm"),
+            (s["start"] + F.char_length(s["raw"])).alias("stop"),
+            s["kind"].alias("kind"),
+            s["bare"].alias("raw"),
+            literal_norm(s["bare"], s["kind"]).alias("norm"),
         )
 
-    return F.transform(regex_spans(text, ANY_LITERAL), finish)
+    none = F.array().cast("array<struct<start:int,stop:int,kind:string,raw:string,norm:string>>")
+    return F.when(text.rlike("[0-9@]|://"), F.transform(regex_spans(text, ANY_LITERAL), kinded)).otherwise(none)
 
 
 def comparable_values(text: Column) -> Column:
     """The coarser vocabulary for cross-source conflict: ``array<struct<kind,raw,norm>>``."""
 
     def finish(raw: Column) -> Column:
-        kind = (
+        return let(F.struct(raw.alias("raw"), (
             F.when(raw.rlike(rf"(?i)^(?:{_PLAIN_MONEY})$"), "currency")
             .when(raw.endswith("%"), "percent")
             .when(raw.rlike(rf"(?i)^(?:{_ANY_ISO}|{_ANY_MONTH_DATE})$"), "date")
             .when(raw.rlike(rf"(?i)^(?:{IDENTIFIER})$"), "identifier")
             .when(raw.rlike("^[0-9.,]+$"), "number")
             .otherwise("status")
-        )
+        ).alias("kind")), place)
+
+    def place(s: Column) -> Column:
+        raw, kind = s["raw"], s["kind"]
         amount = plain_decimal(F.regexp_replace(raw, rf"(?i)[$€£\s]|{_CODES}", ""))
         norm = (
             F.when(kind == "currency",
@@ -162,4 +173,4 @@ def comparable_values(text: Column) -> Column:
         return F.struct(kind.alias("kind"), raw.alias("raw"), norm.alias("norm"))
 
     hits = F.regexp_extract_all(text, F.lit(COMPARABLE), F.lit(0))
-    return F.transform(F.transform(hits, F.trim), finish)
+    return F.transform(F.transform(hits, lambda h: F.trim(h)), finish)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.literals import regex_spans
+
 SPANS = "array<struct<start:int,stop:int,line:int>>"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 LINE_RUN = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]+"
@@ -130,23 +132,18 @@ def located(blocks: DataFrame) -> DataFrame:
 
 def text_lines(text: Column) -> Column:
     """``array<struct<start,stop,line,text>>`` of the non-empty lines of one text (line 0-based, blanks trimmed)."""
-    runs = F.regexp_extract_all(text, F.lit(LINE_RUN), F.lit(0))
-    gaps = F.split(text, LINE_RUN, -1)
-    item = "struct<start:int,stop:int,line:int,text:string>"
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("line"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["pos"] + F.char_length(p["gap"])
-        line = acc["line"] + F.char_length(F.replace(p["gap"], F.lit("\r\n"), F.lit("\n")))
-        lead = F.char_length(p["run"]) - F.char_length(F.ltrim(p["run"]))
-        body = F.trim(p["run"])
-        one = F.struct((begin + lead).alias("start"), (begin + lead + F.char_length(body)).alias("stop"),
+    def step(acc: Column, run: Column) -> Column:
+        gap = F.substring(text, acc["stop"] + 1, run["start"] - acc["stop"])
+        line = acc["line"] + F.char_length(F.replace(gap, F.lit("\r\n"), F.lit("\n")))
+        lead = F.char_length(run["raw"]) - F.char_length(F.ltrim(run["raw"]))
+        body = F.trim(run["raw"])
+        one = F.struct((run["start"] + lead).alias("start"), (run["start"] + lead + F.char_length(body)).alias("stop"),
                        line.alias("line"), body.alias("text"))
-        return F.struct((begin + F.char_length(p["run"])).alias("pos"), line.alias("line"),
-                        F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(run["stop"].alias("stop"), line.alias("line"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.transform(runs, lambda r, i: F.struct(F.get(gaps, i).alias("gap"), r.alias("run")))
-    lines = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("line"),
+                    F.array().cast("array<struct<start:int,stop:int,line:int,text:string>>").alias("out"))
+    lines = F.aggregate(regex_spans(text, LINE_RUN), zero, step, lambda acc: acc["out"])
     return F.filter(lines, lambda s: s["text"].rlike(r"(?U)\S"))
 
 
