@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.literals import regex_spans
+from factloom.functions.text import let
 
 SPANS = "array<struct<start:int,stop:int,line:int>>"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
@@ -147,11 +148,19 @@ def text_lines(text: Column) -> Column:
     return F.filter(lines, lambda s: s["text"].rlike(r"(?U)\S"))
 
 
-def source_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Non-blank lines of blocks with trimmed spans and source line numbers. Blocks are short; no shuffle."""
-    exploded = blocks.select(*keys, "line_start", F.explode(text_lines(F.col("text"))).alias("s"))
+def source_lines(blocks: DataFrame, keys: list[str], following: bool = False) -> DataFrame:
+    """Non-blank lines of blocks with trimmed spans and source line numbers. Blocks are short; no shuffle.
+
+    ``following`` adds ``next_text``, the next non-blank line of the same block.
+    """
+    lines = text_lines(F.col("text"))
+    if following:
+        lines = let(lines, lambda a: F.transform(a, lambda s, i: F.struct(
+            *[s[c].alias(c) for c in ("start", "stop", "line", "text")], F.get(a, i + 1)["text"].alias("next_text"))))
+    exploded = blocks.select(*keys, "line_start", F.explode(lines).alias("s"))
+    extra = [F.col("s.next_text").alias("next_text")] if following else []
     return exploded.select(*keys, (F.col("line_start") + F.col("s.line")).alias("line_no"),
-                           F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.text").alias("text"))
+                           F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.text").alias("text"), *extra)
 
 
 def line_citation(rows: DataFrame, lines: DataFrame, file: str = "file_id") -> DataFrame:

@@ -138,9 +138,8 @@ def labelled_value_quotes(t):
 
 @query("next_line_values", """SELECT p_partkey AS file_id, 'Owner' AS label, 'Team ' || p_type AS raw FROM part""")
 def next_line_values(t):
-    lines = blocks.source_lines(_sheets(t), ["file_id", "block_ord"])
-    pairs = extract.next_line_values(lines, ["file_id", "block_ord"], ["file_id"])
-    return extract.match_targets(pairs, _targets(t, ["owner"]), ["file_id", "line_no"]).select("file_id", "label", "raw")
+    found = extract.extract_labeled(_sheets(t), ["file_id", "block_ord"], "owners")
+    return found.where("form = 'next_line'").select("file_id", "label", "raw")
 
 
 @query("distinct_labelled_values", f"""
