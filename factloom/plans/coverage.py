@@ -1 +1,183 @@
-"""Queries of this area."""
+"""Coverage, states, constraints, admission and scoring, with events playing file states."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.operators import coverage as cov
+from factloom.plans.registry import query
+
+# one file per event: state by event id, run by user
+_STATE = ("CASE event_id % 11 WHEN 0 THEN 'discovered' WHEN 1 THEN 'downloading' WHEN 2 THEN 'embedding' WHEN 3 THEN 'retryable_failed' WHEN 4 THEN 'terminal_failed' "
+          "WHEN 5 THEN 'unsupported' WHEN 6 THEN 'capped' WHEN 7 THEN 'terminal_failed' WHEN 8 THEN 'terminal_failed' ELSE 'ready' END")
+_CODE = "CASE event_id % 11 WHEN 4 THEN 'not_found' WHEN 7 THEN 'invalid_csv' WHEN 8 THEN 'timeout' WHEN 3 THEN 'inaccessible' END"
+_STAGE = "CASE event_id % 11 WHEN 4 THEN 'download' WHEN 7 THEN 'parse' WHEN 8 THEN 'parse' WHEN 3 THEN 'download' END"
+_FILES = f"SELECT user_id AS run_id, event_id, {_STATE} AS status, {_CODE} AS code, {_STAGE} AS stage FROM events"
+_RUNS = "SELECT user_id AS run_id, count(*) + user_id % 3 AS discovered, user_id % 4 <> 0 AS complete FROM events GROUP BY 1"
+
+
+def _files(t):
+    return t.events.selectExpr("user_id AS run_id", "event_id AS file_id", "'file ' || CAST(event_id AS STRING) AS source_name", f"{_STATE} AS status",
+                               f"{_CODE} AS error_code", f"{_STAGE} AS error_stage", "CAST(value AS INT) AS n_blocks")
+
+
+def _runs(t):
+    return t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "run_id", "n + run_id % 3 AS discovered", "run_id % 4 <> 0 AS discovery_complete",
+        "CASE WHEN run_id % 5 = 0 THEN array('failed', 'page_limit') ELSE array() END AS gap_reasons")
+
+
+_MANIFEST = f"""f AS ({_FILES}), r AS ({_RUNS}), c AS (SELECT run_id, count_if(status = 'ready') AS ready,
+  count_if(status IN ('discovered', 'downloading', 'embedding')) AS processing, count_if(code = 'timeout') AS failed, count_if(status = 'unsupported') AS unsupported,
+  count_if(code IN ('not_found', 'inaccessible')) AS inaccessible, count_if(status = 'capped') AS capped, count_if(code = 'invalid_csv') AS unsafe_to_parse FROM f GROUP BY 1)"""
+
+
+@query("coverage_manifest", f"""WITH {_MANIFEST}
+SELECT r.run_id, discovered, ready, processing, failed, unsupported, inaccessible, capped, unsafe_to_parse, r.run_id % 3 AS unknown_branch FROM r JOIN c USING (run_id)""")
+def coverage_manifest(t):
+    return cov.coverage_manifest(_files(t), _runs(t)).select(
+        "run_id", "discovered", "ready", "processing", "failed", "unsupported", "inaccessible", "capped", "unsafe_to_parse", "unknown_branch")
+
+
+@query("coverage_gaps", f"""WITH {_MANIFEST},
+b AS (SELECT run_id, list_filter([CASE WHEN processing > 0 THEN 'processing' END, CASE WHEN failed > 0 THEN 'failed' END, CASE WHEN unsupported > 0 THEN 'unsupported' END,
+  CASE WHEN inaccessible > 0 THEN 'inaccessible' END, CASE WHEN capped > 0 THEN 'capped' END, CASE WHEN run_id % 3 > 0 THEN 'unknown_branch' END,
+  CASE WHEN unsafe_to_parse > 0 THEN 'unsafe_to_parse' END, CASE WHEN run_id % 5 = 0 THEN 'page_limit' END], lambda x: x IS NOT NULL) AS g FROM c)
+SELECT run_id, array_to_string(g, ',') || CASE WHEN run_id % 4 = 0 AND NOT list_has_any(g, ['capped', 'inaccessible', 'unknown_branch']) THEN
+  CASE WHEN len(g) > 0 THEN ',' ELSE '' END || 'unknown_branch' ELSE '' END AS gaps FROM b""")
+def coverage_gaps(t):
+    return cov.coverage_gaps(cov.coverage_manifest(_files(t), _runs(t))).select("run_id", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query("source_issues", f"""WITH f AS ({_FILES})
+SELECT run_id, 'file ' || CAST(event_id AS STRING) AS source_name, CASE WHEN code = 'not_found' THEN 'missing_file' WHEN code = 'inaccessible' THEN 'access_denied' WHEN code = 'invalid_csv'
+  THEN 'unsafe_to_parse' WHEN code = 'timeout' THEN 'source_failed' ELSE status END AS kind FROM f WHERE code IS NOT NULL OR status IN ('capped', 'unsupported')
+UNION ALL SELECT run_id, '', 'partial_sync' FROM f GROUP BY run_id HAVING run_id % 4 = 0 OR bool_or(status IN ('discovered', 'downloading', 'embedding'))""")
+def source_issues(t):
+    return cov.source_issues(_files(t), _runs(t)).select("run_id", F.coalesce("source_name", F.lit("")).alias("source_name"), "kind")
+
+
+@query("run_progress", f"""
+WITH f AS (SELECT {_STATE} AS s, * FROM events)
+SELECT user_id AS run_id, count_if(s = 'discovered') AS queued, count_if(s IN ('downloading', 'embedding')) AS parsing, count_if(s = 'ready') AS ready,
+  count_if(s LIKE '%failed') AS failed, count_if(s = 'unsupported') AS unsupported, count_if(s = 'capped') AS capped,
+  CAST(coalesce(sum(CASE WHEN s = 'ready' THEN CAST(trunc(value) AS INT) END), 0) AS BIGINT) AS ready_blocks FROM f GROUP BY 1""")
+def run_progress(t):
+    return cov.run_progress(_files(t))
+
+
+# states of each run taken from one event type only, so that all outcomes occur
+_PICK = "CASE WHEN user_id % 4 = 0 THEN 'ready' WHEN user_id % 4 = 1 AND event_id % 2 = 0 THEN 'capped' WHEN user_id % 4 = 2 THEN 'terminal_failed' WHEN user_id % 4 = 3 AND event_id % 5 = 0 THEN 'parsed' ELSE 'ready' END"
+
+
+@query("terminal_runs", f"""
+WITH f AS (SELECT user_id, {_PICK} AS s FROM events)
+SELECT user_id AS run_id, CASE WHEN bool_or(s = 'parsed') THEN 'unresolved' WHEN count_if(s = 'ready') = 0 THEN 'failed' WHEN count_if(s <> 'ready') > 0 OR user_id % 8 = 0 THEN 'partial' ELSE 'ready' END
+  AS run_status FROM f GROUP BY 1""")
+def terminal_runs(t):
+    files = t.events.selectExpr("user_id AS run_id", f"{_PICK} AS status")
+    return cov.terminal_status(files, files.select("run_id").distinct().withColumn("has_gaps", F.col("run_id") % 8 == 0))
+
+
+@query("closed_snapshots", f"""WITH f AS ({_FILES})
+SELECT event_id AS file_id, CASE WHEN status IN ('discovered', 'downloading', 'embedding', 'retryable_failed') THEN 'terminal_failed' ELSE status END AS status,
+  coalesce(CASE WHEN status IN ('discovered', 'downloading', 'embedding') THEN 'stalled' ELSE code END, '') AS error_code,
+  coalesce(CASE status WHEN 'discovered' THEN 'admission' WHEN 'downloading' THEN 'download' WHEN 'embedding' THEN 'embedding' ELSE stage END, '') AS error_stage FROM f""")
+def closed_snapshots(t):
+    c = cov.close_snapshot(_files(t), "stalled")
+    return c.select("file_id", "status", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("error_stage", F.lit("")).alias("error_stage"))
+
+
+@query("unbalanced_counts", f"""WITH {_MANIFEST} SELECT run_id, 'counts_do_not_balance' AS violation FROM r WHERE run_id % 10 = 7""")
+def unbalanced_counts(t):
+    m = cov.coverage_manifest(_files(t), _runs(t))
+    return cov.check_counts(m.withColumn("ready", F.col("ready") + F.when(F.col("run_id") % 10 == 7, 1).otherwise(0)))
+
+
+@query("span_violations", """
+SELECT doc_id AS citation_id, 'empty_span' AS violation FROM documents WHERE doc_id % 5 = 0 UNION ALL
+SELECT doc_id, 'span_length' FROM documents WHERE CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 20 END <> length(substr(text, 11, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END)) UNION ALL SELECT doc_id, 'locator' FROM documents WHERE doc_id % 9 = 0""")
+def span_violations(t):
+    c = t.documents.selectExpr("doc_id AS citation_id", "CASE WHEN doc_id % 5 = 0 THEN 30 ELSE 10 END AS start", "30 AS stop",
+                               "substr(text, 11, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END) AS quote", "CASE WHEN doc_id % 9 <> 0 THEN 3 END AS line_start", "CAST(NULL AS INT) AS page_index")
+    return cov.check_spans(c)
+
+
+@query("reference_violations", """
+SELECT CAST(o_orderkey AS STRING) AS id, 'unused_citation' AS violation FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 5)
+UNION ALL SELECT DISTINCT CAST(l_partkey AS STRING), 'unresolved_citation' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber < 5 AND o_orderstatus = 'P'""")
+def reference_violations(t):
+    claims = t.lineitem.where("l_linenumber < 5").selectExpr("l_partkey AS claim_id", "l_orderkey AS citation_id")
+    return cov.check_refs(claims, t.orders.where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS citation_id"))
+
+
+_PATH = ["discovered", "admitted", "downloading", "parsed", "embedding", "ready"]
+
+
+@query("illegal_transitions", """
+WITH s AS (SELECT user_id AS f, event_id AS q, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+l AS (SELECT f, q, CASE WHEN i = 5 AND f % 4 = 1 THEN 'terminal_failed' WHEN i < 6 THEN ['discovered', 'admitted', 'downloading', 'parsed', 'embedding', 'ready'][i + 1] ELSE 'parsed' END AS st,
+  CASE WHEN f % 8 = 1 THEN 'embedding' ELSE 'parse' END AS stage, i FROM s), p AS (SELECT *, lag(st) OVER (PARTITION BY f ORDER BY q) AS pv FROM l)
+SELECT f AS file_id, q AS seq, pv AS previous, st AS status FROM p WHERE (i = 5 AND st = 'terminal_failed' AND stage <> 'embedding') OR i >= 6""")
+def illegal_transitions(t):
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    log = t.events.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), i.alias("i"))
+    status = (F.when((F.col("i") == 5) & (F.col("file_id") % 4 == 1), "terminal_failed")
+              .when(F.col("i") < 6, F.get(F.array(*[F.lit(s) for s in _PATH]), F.col("i"))).otherwise("parsed"))
+    log = log.withColumn("status", status).withColumn("error_stage", F.when(F.col("file_id") % 8 == 1, "embedding").otherwise("parse"))
+    return cov.check_transitions(log)
+
+
+@query("admitted_events", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS k FROM events)
+SELECT event_id, k <= 1 AS admitted, CAST(CASE WHEN k > 1 THEN 60 - floor(extract(second FROM ts)) ELSE 0 END AS BIGINT) AS retry_after FROM r""")
+def admitted_events(t):
+    a = cov.admission(t.events, "user_id", "ts", "event_id", 1)
+    return a.select("event_id", "admitted", F.coalesce("retry_after", F.lit(0)).cast("long").alias("retry_after"))
+
+
+@query("tiered_admission", """
+WITH e AS (SELECT *, date_trunc('hour', ts) AS h FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, h ORDER BY ts, event_id) AS k FROM e),
+b AS (SELECT event_id, row_number() OVER (PARTITION BY h ORDER BY ts, event_id) AS m FROM a WHERE k <= 2)
+SELECT a.event_id, CASE WHEN k > 2 THEN 'user_limit' WHEN m <= 10 THEN 'admitted' ELSE 'overall_limit' END AS tier FROM a LEFT JOIN b USING (event_id)""")
+def tiered_admission(t):
+    # one stored hour is played as one minute, so that both limits bite on these sparse events
+    e = t.events.withColumn("at", F.expr("date_trunc('hour', ts) + make_dt_interval(0, 0, 0, (minute(ts) * 60 + second(ts)) / 60.1)"))
+    return cov.admission_tiers(e, "user_id", "at", "event_id", 2, 10).select("event_id", "tier")
+
+
+
+@query("scored_cases", """
+WITH v AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT k AS case_id, k % 3 <> 0 AND k % 5 <> 0 AS accuracy, k % 4 <> 0 AS citations, k % 7 <> 0 AS policy_ok, k % 5 <> 0 AS uncertainty,
+  k % 3 <> 0 AND k % 5 <> 0 AND k % 4 <> 0 AND k % 7 <> 0 AS all_ok FROM v""")
+def scored_cases(t):
+    want = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list("l_linenumber").alias("values"))
+    want = want.withColumn("status", F.lit("evidence_supported")).withColumn("policy", F.lit("v1"))
+    k = F.col("case_id")
+    got = want.select(
+        "case_id", F.when(k % 3 == 0, F.concat(F.col("values"), F.array(F.lit(99)))).otherwise(F.reverse("values")).alias("values"),
+        F.when(k % 5 == 0, "insufficient").otherwise("evidence_supported").alias("status"), F.when(k % 7 == 0, "v0").otherwise("v1").alias("policy"), (k % 4 != 0).alias("citations_ok"))
+    return cov.score_cases(got, want)
+
+
+@query("verified_citations", """
+SELECT doc_id AS citation_id, doc_id % 3 <> 0 AS quote_ok, doc_id % 4 <> 0 AS line_ok FROM documents""")
+def verified_citations(t):
+    c = t.documents.selectExpr("doc_id AS citation_id", "doc_id AS file_id", "5 AS start", "25 AS stop",
+                               "CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE substr(text, 6, 20) END AS quote",
+                               "1 + length(left(text, 5)) - length(replace(left(text, 5), '\\n', '')) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS line_start")
+    return cov.verify_citations(c, t.documents.withColumnRenamed("doc_id", "file_id"))
+
+
+@query("regression_verdicts", """
+SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'unexpected' WHEN o_orderkey % 10 = 2 THEN 'duplicated'
+  WHEN o_orderkey % 10 = 3 THEN 'fail' ELSE 'pass' END AS verdict FROM orders""")
+def regression_verdicts(t):
+    o = t.orders.selectExpr("o_orderkey AS case_id", "o_orderstatus AS status", "CAST(o_totalprice AS STRING) AS value")
+    m = F.col("case_id") % 10
+    actual = o.where(m != 0).withColumn("value", F.when(m == 3, "changed").otherwise(F.col("value")))
+    actual = actual.unionByName(o.where(m == 2))
+    return cov.regression_diff(actual, o.where(m != 1), ["status", "value"])

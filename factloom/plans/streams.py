@@ -1 +1,52 @@
-"""Queries of this area."""
+"""Streaming jobs fed from the given tables and read back when all input is taken in."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.plans.coverage import _CODE, _RUNS, _STAGE, _STATE, _runs
+from factloom.plans.registry import query
+from factloom.session import scratch_path
+from factloom.streaming import jobs
+
+
+def _stream(t, table: str):
+    schema = getattr(t, table).schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+
+
+def _events(t):
+    return _stream(t, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("streamed_admission", """
+SELECT user_id, CAST(date_trunc('minute', ts) AS STRING) AS minute, count(*) AS n, greatest(0, count(*) - 1) AS over FROM events GROUP BY 1, 2""")
+def streamed_admission(t):
+    out = scratch_path(t.spark, "admission")
+    jobs.stream_admission(_events(t), "user_id", "at", out, scratch_path(t.spark, "ckpt"), 1).awaitTermination()
+    return jobs.read_admission(t.spark, out, "user_id").select(
+        "user_id", F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "n", F.col("over").cast("long").alias("over"))
+
+
+@query("streamed_answers", "SELECT DISTINCT user_id, event_type FROM events")
+def streamed_answers(t):
+    # all drafts carry one time, so the whole stream lies within one watermark
+    drafts = _stream(t, "events").selectExpr("user_id", "event_type", "TIMESTAMP'2024-01-01 00:00:00' AS sent")
+    out = scratch_path(t.spark, "answers")
+    jobs.stream_answers(drafts, ["user_id", "event_type"], "sent", out, scratch_path(t.spark, "ckpt")).awaitTermination()
+    return t.spark.read.parquet(out).select("user_id", "event_type")
+
+
+@query("streamed_coverage", f"""
+WITH f AS (SELECT user_id AS run_id, event_id, {_STATE} AS status, {_CODE} AS code FROM events), r AS ({_RUNS})
+SELECT r.run_id, discovered, count_if(status = 'ready') AS ready, count_if(status = 'capped') AS capped, count_if(code = 'timeout') AS failed FROM r JOIN f USING (run_id) GROUP BY 1, 2""")
+def streamed_coverage(t):
+    changes = _stream(t, "events").selectExpr(
+        "user_id AS run_id", "event_id AS file_id", f"{_STATE} AS status", f"{_CODE} AS error_code", f"{_STAGE} AS error_stage").selectExpr(
+        "run_id", "file_id", "inline(array(struct(1 AS seq, 'discovered' AS status, CAST(NULL AS STRING) AS error_code, CAST(NULL AS STRING) AS error_stage), "
+        "struct(2 AS seq, status, error_code, error_stage)))")
+    out = scratch_path(t.spark, "states")
+    jobs.stream_states(changes, out, scratch_path(t.spark, "ckpt")).awaitTermination()
+    return jobs.stream_coverage(t.spark, out, _runs(t)).select("run_id", "discovered", "ready", "capped", "failed")
+
+

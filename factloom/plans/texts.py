@@ -185,11 +185,11 @@ _ARTIFACTS = {
 
 @query("accepted_artifacts", f"""
 WITH a AS ({select_sql(_ARTIFACTS, 'documents')} UNION ALL SELECT doc_id, CAST(doc_id % 3 AS STRING), n_chars + 1, source, 'v2', 'a2', true FROM documents
-  WHERE doc_id % 2 = 0)
+  WHERE lang = 'en')
 SELECT file_id, table_id, min(written_at) AS written_at FROM a JOIN documents d ON a.file_id = d.doc_id
 WHERE a.source_hash = d.source AND parser = 'v2' AND schema_version = 'a2' AND complete GROUP BY 1, 2""")
 def accepted_artifacts(t):
-    a = render(t.documents, _ARTIFACTS).unionByName(t.documents.where("doc_id % 2 = 0").selectExpr(
+    a = render(t.documents, _ARTIFACTS).unionByName(t.documents.where("lang = 'en'").selectExpr(
         "doc_id AS file_id", "CAST(doc_id % 3 AS STRING) AS table_id", "n_chars + 1 AS written_at", "source AS source_hash", "'v2' AS parser",
         "'a2' AS schema_version", "true AS complete"))
     files = t.documents.selectExpr("doc_id AS file_id", "source AS source_hash", "'v2' AS parser")
@@ -232,20 +232,21 @@ def artifact_problems(t):
 
 
 @query("replaced_blocks", """
-SELECT doc_id, n_chars + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_chars FROM documents""")
+SELECT doc_id, n_chars + CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS n_chars FROM documents""")
 def replaced_blocks(t):
     d = t.documents.select("doc_id", "n_chars")
-    return blocks.replace_blocks(d, d.where("doc_id % 4 = 0").withColumn("n_chars", F.col("n_chars") + 1), ["doc_id"])
+    fresh = t.documents.where("source = 'src3'").selectExpr("doc_id", "n_chars + 1 AS n_chars")
+    return blocks.replace_blocks(d, fresh, ["doc_id"])
 
 
 @query("attached_vectors", """
 WITH b AS (SELECT vec_id // 4 AS file_id, vec_id % 4 AS block_ord FROM embeddings),
-v AS (SELECT vec_id // 4 AS file_id, vec_id % 4 AS block_ord, label, embedding FROM embeddings WHERE vec_id % 9 <> 0)
+v AS (SELECT vec_id // 4 AS file_id, vec_id % 4 AS block_ord, label, embedding FROM embeddings WHERE label <> 3)
 SELECT file_id, block_ord, label, len(embedding)::INT AS dims FROM v WHERE file_id IN
   (SELECT file_id FROM (SELECT file_id, count(*) c FROM b GROUP BY 1) JOIN (SELECT file_id, count(*) k FROM v GROUP BY 1) USING (file_id) WHERE c = k)""")
 def attached_vectors(t):
     e = t.embeddings.selectExpr("vec_id", "vec_id DIV 4 AS file_id", "vec_id % 4 AS block_ord", "label", "embedding")
-    out = blocks.attach_vectors(e.select("file_id", "block_ord"), e.where("vec_id % 9 <> 0").drop("vec_id"), "cfg-1")
+    out = blocks.attach_vectors(e.select("file_id", "block_ord"), e.where("label <> 3").drop("vec_id"), "cfg-1")
     return out.select("file_id", "block_ord", "label", "dims")
 
 
