@@ -64,7 +64,8 @@ def field_id(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Whitespace runs to one blank, NUL removed, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "\\x00", ""), r"(?U)\s+", " "))
+    messy = c.rlike(r"(?U)\x00|\s{2}|[^\S ]")
+    return F.trim(F.when(messy, F.regexp_replace(F.regexp_replace(c, "\\x00", ""), r"(?U)\s+", " ")).otherwise(c))
 
 
 def _cut(t: Column, n: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from factloom.functions import vocab
 from factloom.functions.text import let, norm_key
-from factloom.functions.typing import compare_typed, condition, sure_kind, typed_cell
+from factloom.functions.typing import cell_as, compare_typed, condition, number_cell, sure_kind, typed_cell
 
 Predicate = tuple  # (column, op) | (column, op, literal) | (column, op, F.col(other))
 
@@ -33,10 +33,10 @@ def _operand(value) -> Column:
 
 
 def predicate(pred: Predicate) -> Column:
-    left = typed_cell(F.col(pred[0]))
     if len(pred) < 3:
-        return condition(left, pred[1])
-    return condition(left, pred[1], _operand(pred[2]), sure_kind(pred[2]))
+        return condition(typed_cell(F.col(pred[0])), pred[1])
+    kind = sure_kind(pred[2])
+    return condition(cell_as(F.col(pred[0]), kind), pred[1], _operand(pred[2]), kind)
 
 
 def all_of(preds: list[Predicate]) -> Column:
@@ -52,9 +52,9 @@ def validate_predicates(df: DataFrame, preds: list[Predicate]) -> DataFrame:
     """Per predicate: can its operand be compared with at least one non-null cell of the column? One pass."""
     checks = []
     for p in preds:
-        left = typed_cell(F.col(p[0]))
-        usable = (left["kind"] != "null") if len(p) < 3 else compare_typed(
-            left, _operand(p[2]), sure_kind(p[2])).isNotNull()
+        kind = sure_kind(p[2]) if len(p) > 2 else None
+        left = cell_as(F.col(p[0]), kind)
+        usable = (left["kind"] != "null") if len(p) < 3 else compare_typed(left, _operand(p[2]), kind).isNotNull()
         checks.append(usable)
     flags = df.select(*[c.alias(f"p{i}") for i, c in enumerate(checks)])
     wide = flags.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags.columns])
@@ -100,7 +100,7 @@ def aggregate_by(
     typed = df.select(
         hit.alias("_hit"),
         *[F.when(hit, F.col(k)).alias(k) for k in keys],
-        *[typed_cell(F.col(c)).alias(f"_t_{c}") for c in columns],
+        *[number_cell(F.col(c)).alias(f"_t_{c}") for c in columns],
         (F.coalesce(malformed, F.lit(False)) if malformed is not None else F.lit(False)).alias("_bad_row"),
         *( [F.col(order).alias("_ord")] if order else [] ),
     )
@@ -180,7 +180,7 @@ def extrema_rows(df: DataFrame, column: str, how: str = "maximum", by: list[str]
     one task.
     """
     by = by or []
-    num = typed_cell(F.col(column))["num"]
+    num = number_cell(F.col(column))["num"]
     numbered = df.withColumn("_num", num).where(F.col("_num").isNotNull())
     best = F.max if how == "maximum" else F.min
     if by:

@@ -26,7 +26,7 @@ SELECT row_ord, col, kind, coalesce(CASE WHEN kind = 'number' THEN {unit_sql('v'
   coalesce(CASE WHEN kind = 'boolean' THEN lower(v) IN ({quoted(vocab.TRUE_WORDS)}) END, false) AS truth
 FROM k""")
 def typed_cells(t):
-    cells = render(t.orders, ORDER_CELLS)
+    cells = render(t.spread("orders"), ORDER_CELLS)
     long = cells.select("row_ord", F.inline(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in _CELL_COLUMNS])))
     typed = long.withColumn("t", typing.typed_cell(F.col("v")))
@@ -40,7 +40,7 @@ def typed_cells(t):
 @query("normalised_keys", f"""
 SELECT doc_id, sha256({key_sql('text')}) AS key_hash, CAST(len({words_sql('text')}) AS BIGINT) AS n_words FROM documents""")
 def normalised_keys(t):
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", F.sha2(text.norm_key(F.col("text")), 256).alias("key_hash"),
         F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
 
@@ -54,7 +54,7 @@ def field_ids(t):
 
 
 def _vocabulary(t):
-    return (t.documents.select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("token"))
+    return (t.spread("documents").select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
@@ -113,7 +113,7 @@ k AS (SELECT *, {kind_sql('a')} AS ak, {kind_sql('b')} AS bk, {unit_sql('a')} AS
   {num_sql('a')} AS an, {num_sql('b')} AS bn, {date_sql('a')} AS ad, {date_sql('b')} AS bd FROM p)
 SELECT row_ord, coalesce(CAST({_CMP} AS STRING), 'incomparable') AS outcome FROM k""")
 def compared_cells(t):
-    p = render(t.orders, _PAIR)
+    p = render(t.spread("orders"), _PAIR)
     cmp = typing.compare_typed(typing.typed_cell(F.col("a")), typing.typed_cell(F.col("b")))
     return p.select("row_ord", F.coalesce(cmp.cast("string"), F.lit("incomparable")).alias("outcome"))
 
@@ -129,7 +129,7 @@ SELECT row_ord, price, shipped FROM c WHERE TRY_CAST(replace(price, '$', '') AS
   AND CAST(discount AS DECIMAL(28,10)) > CAST(tax AS DECIMAL(28,10)) AND quantity <> ''""")
 def typed_filter(t):
     # flag 'N' reads as a boolean and is therefore not comparable with the text 'r'
-    return rel.where_typed(render(t.lineitem, LINE_CELLS), _LINES).select("row_ord", "price", "shipped")
+    return rel.where_typed(render(t.spread("lineitem"), LINE_CELLS), _LINES).select("row_ord", "price", "shipped")
 
 
 @query("predicate_validation", f"""
@@ -141,7 +141,7 @@ UNION ALL SELECT 2, 'placed', 'le', bool_or(pk = 'date') FROM k
 UNION ALL SELECT 3, 'placed', 'eq', bool_or(pk = 'number') FROM k
 UNION ALL SELECT 4, 'status', 'eq', bool_or(sk IN ('text', 'identifier')) FROM k""")
 def predicate_validation(t):
-    return rel.validate_predicates(render(t.orders, ORDER_CELLS), [
+    return rel.validate_predicates(render(t.spread("orders"), ORDER_CELLS), [
         ("total", "gt", "$100"), ("total", "gt", "100 EUR"), ("placed", "le", "March 1, 1998"), ("placed", "eq", "17"),
         ("status", "eq", "pending review")])
 
@@ -151,7 +151,7 @@ WITH c AS ({select_sql(ORDER_CELLS, 'orders')})
 SELECT row_ord, 'order_id: ' || order_id || '; customer: ' || customer || '; total: ' ||
   CASE WHEN trim(total) = '' THEN 'null' ELSE total END || '; placed: ' || placed AS rendered FROM c""")
 def projected_rows(t):
-    return rel.project_rows(render(t.orders, ORDER_CELLS), "order_id", ["customer", "order_id", "total", "placed"]).select(
+    return rel.project_rows(render(t.spread("orders"), ORDER_CELLS), "order_id", ["customer", "order_id", "total", "placed"]).select(
         "row_ord", "rendered")
 
 
@@ -201,7 +201,7 @@ def mentioned_values(t):
         F.col("item_id").alias("row_id"),
         F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ").alias("opening"),
         F.array_join(F.slice(text.words(F.col("text")), 4, 2), " ").alias("two"))
-    hits = catalog.mention_join(t.documents.select("doc_id", "text"), "doc_id", table, "row_id", ["opening", "two"])
+    hits = catalog.mention_join(t.spread("documents").select("doc_id", "text"), "doc_id", table, "row_id", ["opening", "two"])
     return hits.select("doc_id", "row_id", "col")
 
 
@@ -274,7 +274,7 @@ def single_cell_lookups(t):
 
 @query("refused_predicate_is_empty", """SELECT CAST(0 AS BIGINT) AS published, count(*) AS orders FROM orders""")
 def refused_predicate_is_empty(t):
-    cells = render(t.orders, PLAIN_ORDER)
+    cells = render(t.spread("orders"), PLAIN_ORDER)
     checks = rel.validate_predicates(cells, [("placed", "gt", "17")])
     status = checks.agg(F.when(F.bool_and("comparable"), "complete").otherwise("unsupported").alias("status"))
     published = rel.gate(rel.where_typed(cells, [("placed", "gt", "17")]), status)

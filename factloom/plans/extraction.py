@@ -58,7 +58,7 @@ _EXPECTED = [(_pos(1), "'identifier'", _PARTS[1][2]), (_pos(3), "'date'", _DAY),
 @query("prose_literals", " UNION ALL ".join(
     f"SELECT o_orderkey AS row_ord, {s} AS start, {k} AS kind, {n} AS norm FROM orders" for s, k, n in _EXPECTED))
 def prose_literals(t):
-    d = render(t.orders, _PROSE_COLS)
+    d = render(t.spread("orders"), _PROSE_COLS)
     found = d.select("row_ord", F.inline(literals.extract_literals(F.col("text"))))
     return found.select("row_ord", F.col("start").cast("long").alias("start"), "kind", "norm")
 
@@ -67,7 +67,7 @@ def prose_literals(t):
 SELECT doc_id, count(*) AS n, string_agg(e, ' ' ORDER BY e) AS emails FROM (SELECT doc_id,
   unnest(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b')) AS e FROM documents) GROUP BY 1""")
 def document_emails(t):
-    found = t.documents.select("doc_id", F.explode(literals.extract_literals(F.col("text"))).alias("l")).where("l.kind = 'email'")
+    found = t.spread("documents").select("doc_id", F.explode(literals.extract_literals(F.col("text"))).alias("l")).where("l.kind = 'email'")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("l.raw")), " ").alias("emails"))
 
 
@@ -80,7 +80,7 @@ UNION ALL SELECT o_orderkey, 'status', 'not received' FROM orders WHERE o_orderk
 def comparable_values(t):
     text = ("'Invoice ORD-' || CAST(o_orderkey AS STRING) || ' of ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ': $' || CAST(o_custkey AS STRING) "
             "|| ',500.50 at ' || CAST(o_orderkey % 90 AS STRING) || '.50 % ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Not received' ELSE 'seen' END")
-    d = t.orders.selectExpr("o_orderkey AS row_ord", f"{text} AS text")
+    d = t.spread("orders").selectExpr("o_orderkey AS row_ord", f"{text} AS text")
     return d.select("row_ord", F.inline(literals.comparable_values(F.col("text")))).select("row_ord", "kind", "norm")
 
 
@@ -111,7 +111,7 @@ _EXPECTED_SQL = " UNION ALL ".join(
 
 
 def _sheets(t):
-    return t.part.selectExpr("p_partkey AS file_id", "0 AS block_ord", "1 AS line_start", f"{_PART_SHEET} AS text")
+    return t.spread("part").selectExpr("p_partkey AS file_id", "0 AS block_ord", "1 AS line_start", f"{_PART_SHEET} AS text")
 
 
 def _targets(t, names=_TARGETS):
@@ -186,7 +186,7 @@ UNION ALL SELECT s_suppkey, 'Q-' || CAST(s_suppkey AS STRING) || ' — Fee', 'pe
 UNION ALL SELECT s_suppkey, 'P-' || CAST(s_suppkey AS STRING) || ' — Lead owner', 'text', 'Nation ' || CAST(s_nationkey AS STRING) FROM supplier
 UNION ALL SELECT s_suppkey, 'Q-' || CAST(s_suppkey AS STRING) || ' — Lead owner', 'text', 'nobody' FROM supplier""")
 def column_values(t):
-    b = t.supplier.selectExpr("s_suppkey AS file_id", "1 AS line_start", f"{_GRID} AS text")
+    b = t.spread("supplier").selectExpr("s_suppkey AS file_id", "1 AS line_start", f"{_GRID} AS text")
     rows = tables.detect_text_tables(blocks.source_lines(b, ["file_id"]))
     return extract.extract_column(rows, _targets(t, ["fees", "owner"])).select("file_id", "label", "kind", "norm")
 
@@ -199,7 +199,7 @@ _VERTICAL = ("'Intro of supplier' || chr(10) || 'Agreed limits' || chr(10) || 'P
 SELECT s_suppkey AS file_id, 'Primary — Agreed limits' AS label, '$ ' || CASE WHEN s_suppkey = 0 THEN '0' ELSE CAST(s_suppkey AS STRING) || '000' END AS norm FROM supplier
 UNION ALL SELECT s_suppkey, 'Excess — Agreed limits', CAST(s_nationkey AS STRING) || '%' FROM supplier""")
 def vertical_values(t):
-    b = t.supplier.selectExpr("s_suppkey AS file_id", "1 AS line_start", f"{_VERTICAL} AS text")
+    b = t.spread("supplier").selectExpr("s_suppkey AS file_id", "1 AS line_start", f"{_VERTICAL} AS text")
     lines = blocks.source_lines(b, ["file_id"])
     return extract.vertical_pairs(lines, ["file_id"], _targets(t, ["limit"])).select("file_id", "label", "norm")
 
@@ -209,7 +209,7 @@ SELECT p_partkey AS row_ord, 'header' AS form, p_name || ' — Retail price' AS
 UNION ALL SELECT p_partkey, 'row', 'ECONOMY — Size', CAST(p_size AS STRING) FROM part WHERE p_type = 'ECONOMY'
 UNION ALL SELECT p_partkey, 'row', 'ECONOMY — Retail price', '$ ' || """ + _PRICE + """ FROM part WHERE p_type = 'ECONOMY'""")
 def cell_values(t):
-    p = t.part.selectExpr("p_partkey", "p_name AS `Item name`", "p_type AS `Kind`", "CAST(p_size AS STRING) AS `Size`",
+    p = t.spread("part").selectExpr("p_partkey", "p_name AS `Item name`", "p_type AS `Kind`", "CAST(p_size AS STRING) AS `Size`",
                           "'$' || CAST(p_retailprice AS STRING) AS `Retail price`")
     cells = tables.wide_to_cells(p, F.lit("part"), F.col("p_partkey"), ["Item name", "Kind", "Size", "Retail price"])
     found = extract.extract_from_cells(cells, _targets(t, ["price", "economy"]), ["table_id"])

@@ -109,7 +109,7 @@ UNION ALL SELECT path, 1, 2, 'Order', CAST(l_orderkey AS STRING), 1 FROM l WHERE
 UNION ALL SELECT path, 1, 2, 'Flag', l_returnflag, 1 FROM l WHERE l_linenumber = 7 UNION ALL SELECT path, 2, 4, 'Order', 'second', 1 FROM l WHERE l_linenumber = 7
 UNION ALL SELECT path, 2, 4, 'Quantity', 'a b', 1 FROM l WHERE l_linenumber = 7 UNION ALL SELECT path, 2, 4, 'Flag', l_linestatus || '"x', 1 FROM l WHERE l_linenumber = 7""")
 def csv_cells(t):
-    f = t.lineitem.selectExpr("CAST(l_orderkey * 10 + l_linenumber AS STRING) AS path", f"CAST({_CSV} AS BINARY) AS content")
+    f = t.spread("lineitem").selectExpr("CAST(l_orderkey * 10 + l_linenumber AS STRING) AS path", f"CAST({_CSV} AS BINARY) AS content")
     return readers.parse_csv_tables(f).select("path", "row_ord", "line_no", "header", "raw", "malformed")
 
 

@@ -16,11 +16,11 @@ s AS (SELECT *, CASE WHEN n_right = 0 THEN 'left_only' WHEN n_left = 0 THEN 'rig
 
 
 def _orders(t):
-    return render(t.orders, PLAIN_ORDER)
+    return render(t.spread("orders"), PLAIN_ORDER)
 
 
 def _lines(t):
-    return render(t.lineitem, LINE_CELLS)
+    return render(t.spread("lineitem"), LINE_CELLS)
 
 
 @query("reconciled_keys", f"""WITH {_SIDES}
@@ -43,8 +43,8 @@ r AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL
 SELECT 'ORD-' || CAST(k AS STRING) AS key, l.n AS n_left, r.n AS n_right, round(CAST(l.s AS DOUBLE), 2) AS sum_left,
   round(CAST(r.s AS DOUBLE), 2) AS sum_right, round(CAST(l.s - r.s AS DOUBLE), 2) AS difference FROM l JOIN r USING (k)""")
 def reconciled_measures(t):
-    orders = render(t.orders, {**PLAIN_ORDER, "total": "'$' || CAST(o_totalprice AS STRING)"})
-    lines = render(t.lineitem, LINE_CELLS)
+    orders = render(t.spread("orders"), {**PLAIN_ORDER, "total": "'$' || CAST(o_totalprice AS STRING)"})
+    lines = render(t.spread("lineitem"), LINE_CELLS)
     out = rec.reconcile_measures(orders, lines, ("order_id", "order_id"), ("total", "price"))
     d = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
     return rel.gate(out.result, out.status).select("key", "n_left", "n_right", d("sum_left"), d("sum_right"), d("difference"))
@@ -53,8 +53,8 @@ def reconciled_measures(t):
 @query("measures_with_clashing_units", """SELECT 'unsupported' AS status, CAST(0 AS BIGINT) AS published,
   (SELECT count(*) FROM orders) AS orders""")
 def measures_with_clashing_units(t):
-    orders = render(t.orders, {**PLAIN_ORDER, "total": "CAST(o_totalprice AS STRING) || ' EUR'"})
-    out = rec.reconcile_measures(orders, render(t.lineitem, LINE_CELLS), ("order_id", "order_id"), ("total", "price"))
+    orders = render(t.spread("orders"), {**PLAIN_ORDER, "total": "CAST(o_totalprice AS STRING) || ' EUR'"})
+    out = rec.reconcile_measures(orders, render(t.spread("lineitem"), LINE_CELLS), ("order_id", "order_id"), ("total", "price"))
     return out.status.select("status").withColumn(
         "published", rel.gate(out.result, out.status).agg(F.count(F.lit(1))).scalar()).withColumn(
         "orders", t.orders.agg(F.count(F.lit(1))).scalar())
@@ -65,7 +65,7 @@ SELECT 'orders' AS quantified, (SELECT count(*) FROM (SELECT DISTINCT o_orderkey
   (SELECT l_orderkey FROM lineitem))) = 0 AS verdict UNION ALL
 SELECT 'lines', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0""")
 def all_keys_matched(t):
-    orders, lines = _orders(t), render(t.lineitem, LINE_CELLS)
+    orders, lines = _orders(t), render(t.spread("lineitem"), LINE_CELLS)
     a = rec.all_matched(orders, lines, "order_id").select(F.lit("orders").alias("quantified"), "verdict")
     return a.unionByName(rec.all_matched(lines, orders, "order_id").select(F.lit("lines").alias("quantified"), "verdict"))
 
@@ -91,7 +91,7 @@ def looked_up_customers(t):
 SELECT 'unsupported' AS status, count(*) AS examined, count_if(o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS matched,
   CAST(0 AS BIGINT) AS malformed FROM orders""")
 def ambiguous_lookup_refused(t):
-    return rec.lookup_join(_orders(t), render(t.lineitem, LINE_CELLS), "order_id", "order_id", ["price"]).status
+    return rec.lookup_join(_orders(t), render(t.spread("lineitem"), LINE_CELLS), "order_id", "order_id", ["price"]).status
 
 
 @query("inferred_join_key", """
@@ -100,8 +100,8 @@ WITH n AS (SELECT (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderke
 SELECT 'order_id' AS left_key, 'order_id' AS right_key, overlap, round(least(overlap / nl, overlap / nr), 6) AS coverage,
   round(overlap / (nl + nr - overlap), 6) AS jaccard, round(1.0, 6)::DOUBLE AS identifier_ratio FROM n""")
 def inferred_join_key(t):
-    orders = render(t.orders, {"order_id": PLAIN_ORDER["order_id"], "status": "o_orderstatus", "row": "CAST(o_custkey AS STRING)"})
-    lines = render(t.lineitem, {"order_id": LINE_CELLS["order_id"], "status": "l_linestatus", "row": "CAST(l_linenumber AS STRING)"})
+    orders = render(t.spread("orders"), {"order_id": PLAIN_ORDER["order_id"], "status": "o_orderstatus", "row": "CAST(o_custkey AS STRING)"})
+    lines = render(t.spread("lineitem"), {"order_id": LINE_CELLS["order_id"], "status": "l_linestatus", "row": "CAST(l_linenumber AS STRING)"})
     r = rec.infer_join_key(orders, lines, [("status", "status"), ("order_id", "order_id"), ("row", "row")])
     f = lambda c: F.round(c, 6).alias(c)
     return r.select("left_key", "right_key", "overlap", f("coverage"), f("jaccard"), f("identifier_ratio"))
@@ -111,10 +111,10 @@ def inferred_join_key(t):
 SELECT 'common' AS how, 'amount' AS left_measure, 'amount' AS right_measure, count(*) AS orders FROM orders
 UNION ALL SELECT 'mentioned', 'total', 'price', count(*) FROM orders""")
 def inferred_measures(t):
-    a = render(t.orders, {"order_id": PLAIN_ORDER["order_id"], "amount": "CAST(o_totalprice AS STRING)", "flag": "o_orderstatus"})
-    b = render(t.lineitem, {"order_id": LINE_CELLS["order_id"], "amount": "CAST(l_extendedprice AS STRING)", "flag": "l_linestatus"})
+    a = render(t.spread("orders"), {"order_id": PLAIN_ORDER["order_id"], "amount": "CAST(o_totalprice AS STRING)", "flag": "o_orderstatus"})
+    b = render(t.spread("lineitem"), {"order_id": LINE_CELLS["order_id"], "amount": "CAST(l_extendedprice AS STRING)", "flag": "l_linestatus"})
     common = rec.infer_measures(a, b, [("order_id", "order_id"), ("amount", "amount"), ("flag", "flag")])
-    c, d = _orders(t).drop("row_ord"), render(t.lineitem, LINE_CELLS).drop("row_ord")
+    c, d = _orders(t).drop("row_ord"), render(t.spread("lineitem"), LINE_CELLS).drop("row_ord")
     named = rec.infer_measures(c, d, [("order_id", "order_id")], (["total"], ["price"]))
     return (common.withColumn("how", F.lit("common")).unionByName(named.withColumn("how", F.lit("mentioned")))
             .withColumn("orders", t.orders.agg(F.count(F.lit(1))).scalar()))

@@ -20,6 +20,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: spread over the cores if its files give fewer tasks than that.
+
+        Large tables have many splits and are left as they lie.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
 
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):

@@ -27,7 +27,7 @@ WITH {_TYPED}
 SELECT priority, count(*) AS orders, round(CAST(sum(num) AS DOUBLE), 2) AS sum_total, min(row_ord) AS first_ord,
   max(row_ord) AS last_ord, 'USD' AS unit FROM k WHERE dt >= DATE '1997-01-01' GROUP BY priority""")
 def grouped_totals_gated(t):
-    out = rel.aggregate_by(render(t.orders, ORDER_CELLS), ["priority"], [("count", None), ("sum", "total")],
+    out = rel.aggregate_by(render(t.spread("orders"), ORDER_CELLS), ["priority"], [("count", None), ("sum", "total")],
                            where=_ORDERS_SINCE, order="row_ord", limit=200)
     return rel.gate(out.result, out.status).select(
         "priority", F.col("count").alias("orders"), _d("sum_total", 2), "first_ord", "last_ord",
@@ -39,7 +39,7 @@ WITH {_TYPED}
 SELECT 'complete' AS status, count(*) AS examined, count_if(dt >= DATE '1997-01-01') AS matched, CAST(0 AS BIGINT) AS malformed
 FROM k""")
 def aggregate_status(t):
-    return rel.aggregate_by(render(t.orders, ORDER_CELLS), ["priority"], [("count", None), ("sum", "total")],
+    return rel.aggregate_by(render(t.spread("orders"), ORDER_CELLS), ["priority"], [("count", None), ("sum", "total")],
                             where=_ORDERS_SINCE, limit=200).status
 
 
@@ -50,7 +50,7 @@ SELECT count(*) AS n, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(28,10))) AS
   round(CAST(max(l_extendedprice) AS DOUBLE), 2) AS maximum_price FROM lineitem WHERE l_discount > l_tax""")
 def global_aggregate(t):
     out = rel.aggregate_by(
-        render(t.lineitem, LINE_CELLS), [], [("count", None)] + [(m, "price") for m in
+        render(t.spread("lineitem"), LINE_CELLS), [], [("count", None)] + [(m, "price") for m in
                                                                  ("sum", "average", "minimum", "maximum")],
         where=[("discount", "gt", F.col("tax"))])
     return rel.gate(out.result, out.status).select(
@@ -63,7 +63,7 @@ SELECT l_returnflag AS flag, l_linestatus AS line_status, count(*) AS n,
   round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS sum_price
 FROM lineitem GROUP BY 1, 2""")
 def grouped_metrics(t):
-    cells = render(t.lineitem, {**LINE_CELLS, "line_status": "l_linestatus", "quantity": "CAST(l_quantity AS STRING)"})
+    cells = render(t.spread("lineitem"), {**LINE_CELLS, "line_status": "l_linestatus", "quantity": "CAST(l_quantity AS STRING)"})
     out = rel.aggregate_by(cells, ["flag", "line_status"], [("count", None), ("sum", "quantity"), ("sum", "price")])
     return rel.gate(out.result, out.status).select(
         "flag", "line_status", F.col("count").alias("n"), _d("sum_quantity", 2), _d("sum_price", 2))
@@ -93,7 +93,7 @@ _MIXED_UNITS = {"row_ord": "l_orderkey * 10 + l_linenumber", "flag": "l_returnfl
 SELECT 'unsupported' AS status, count(*) AS examined, count(*) AS matched, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT)
   AS published FROM lineitem""")
 def mixed_units_refused(t):
-    out = rel.aggregate_by(render(t.lineitem, _MIXED_UNITS), ["flag"], [("sum", "price")])
+    out = rel.aggregate_by(render(t.spread("lineitem"), _MIXED_UNITS), ["flag"], [("sum", "price")])
     return out.status.withColumn("published", rel.gate(out.result, out.status).agg(F.count(F.lit(1))).scalar())
 
 
@@ -101,7 +101,7 @@ def mixed_units_refused(t):
 SELECT 'incomplete' AS status, count(*) AS examined, count(*) AS matched, count_if(o_orderkey % 1000 = 7) AS malformed,
   CAST(0 AS BIGINT) AS published FROM orders""")
 def malformed_blocks_result(t):
-    out = rel.aggregate_by(render(t.orders, PLAIN_ORDER), ["priority"], [("sum", "total")],
+    out = rel.aggregate_by(render(t.spread("orders"), PLAIN_ORDER), ["priority"], [("sum", "total")],
                            malformed=F.col("row_ord") % 1000 == 7)
     return out.status.withColumn("published", rel.gate(out.result, out.status).agg(F.count(F.lit(1))).scalar())
 
@@ -118,7 +118,7 @@ def cheapest_parts_per_brand(t):
 SELECT l_orderkey * 10 + l_linenumber AS row_ord, false AS is_single FROM lineitem
 WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem)""")
 def largest_quantity_lines(t):
-    lines = render(t.lineitem, {"row_ord": LINE_CELLS["row_ord"], "quantity": "CAST(l_quantity AS STRING)"})
+    lines = render(t.spread("lineitem"), {"row_ord": LINE_CELLS["row_ord"], "quantity": "CAST(l_quantity AS STRING)"})
     return rel.extrema_rows(lines, "quantity").select("row_ord", "is_single")
 
 
@@ -126,21 +126,21 @@ def largest_quantity_lines(t):
 SELECT l_returnflag AS flag, count(*) AS contributors, min(l_orderkey * 10 + l_linenumber) AS first_ord,
   max(l_orderkey * 10 + l_linenumber) AS last_ord FROM lineitem WHERE l_quantity >= 25 AND l_orderkey % 101 <> 0 GROUP BY 1""")
 def group_contributors(t):
-    return rel.contributors(render(t.lineitem, LINE_CELLS), ["flag"], "row_ord", [("quantity", "ge", 25)])
+    return rel.contributors(render(t.spread("lineitem"), LINE_CELLS), ["flag"], "row_ord", [("quantity", "ge", 25)])
 
 
 @query("universal_check", """
 SELECT count_if(NOT l_discount <= 0.08) = 0 AS verdict, count_if(NOT l_discount <= 0.08) AS failures, count(*) AS examined
 FROM lineitem""")
 def universal_check(t):
-    out = rel.complete_check(render(t.lineitem, LINE_CELLS), "discount", [("discount", "le", "0.08")])
+    out = rel.complete_check(render(t.spread("lineitem"), LINE_CELLS), "discount", [("discount", "le", "0.08")])
     return rel.gate(out.result, out.status)
 
 
 @query("universal_failures", """
 SELECT l_orderkey * 10 + l_linenumber AS row_ord FROM lineitem WHERE l_orderkey % 101 = 0""")
 def universal_failures(t):
-    return rel.complete_check(render(t.lineitem, LINE_CELLS), "quantity").audit.select("row_ord")
+    return rel.complete_check(render(t.spread("lineitem"), LINE_CELLS), "quantity").audit.select("row_ord")
 
 
 @query("overflow_refused", """
@@ -161,7 +161,7 @@ UNION ALL SELECT flag, 'sum_price', round(CAST(s AS DOUBLE), 2), 'USD' FROM g
 UNION ALL SELECT flag, 'maximum_price', round(CAST(m AS DOUBLE), 2), 'USD' FROM g""")
 def metric_rows(t):
     metrics = [("count", None), ("sum", "price"), ("maximum", "price")]
-    out = rel.aggregate_by(render(t.lineitem, LINE_CELLS), ["flag"], metrics)
+    out = rel.aggregate_by(render(t.spread("lineitem"), LINE_CELLS), ["flag"], metrics)
     return rel.metric_rows(out, ["flag"], metrics).select("flag", "metric", _d("value", 2), F.coalesce("unit", F.lit("")).alias("unit"))
 
 
@@ -170,14 +170,14 @@ WITH {_TYPED}, s AS (SELECT *, {kind_sql(squash_sql('total'))} AS tk, {kind_sql(
 SELECT customer, row_ord, CAST(row_number() OVER (PARTITION BY customer ORDER BY CASE WHEN pk = 'null' THEN 9 ELSE 2 END,
   dt DESC NULLS LAST, CASE WHEN tk = 'null' THEN 9 ELSE 1 END, num NULLS LAST, row_ord) AS BIGINT) AS position FROM s""")
 def typed_sort(t):
-    ranked = ordering.rank_typed(render(t.orders, ORDER_CELLS), [("placed", "desc"), ("total", "asc")], "row_ord", ["customer"])
+    ranked = ordering.rank_typed(render(t.spread("orders"), ORDER_CELLS), [("placed", "desc"), ("total", "asc")], "row_ord", ["customer"])
     return ranked.select("customer", "row_ord", F.col("position").cast("long").alias("position"))
 
 
 @query("groups_in_typed_order", """
 SELECT placed, count(*) AS n FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS placed FROM orders) GROUP BY placed""")
 def groups_in_typed_order(t):
-    out = rel.aggregate_by(render(t.orders, PLAIN_ORDER), ["placed"], [("count", None)])
+    out = rel.aggregate_by(render(t.spread("orders"), PLAIN_ORDER), ["placed"], [("count", None)])
     return ordering.sort_groups(out.result, [("placed", "desc")], ["placed"]).select("placed", F.col("count").alias("n"))
 
 

@@ -16,7 +16,7 @@ def _questions(t):
 
 
 def _docs(t):
-    return t.documents.select("doc_id", "source", "text")
+    return t.spread("documents").select("doc_id", "source", "text")
 
 
 # search forms of a token, as in the vocabulary check: forms plus regular plurals that stay equivalent
@@ -160,7 +160,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN covera
 SELECT doc_id, start, stop, coverage FROM r WHERE k = 1""")
 def best_excerpts(t):
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
-    d = t.documents.select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
+    d = t.spread("documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
     j = d.join(_questions(t), "item_id").select("doc_id", search.best_excerpt(F.col("text"), F.col("tokens")).alias("e"))
     return j.select("doc_id", *[F.col(f"e.{c}").cast("long").alias(c) for c in ("start", "stop", "coverage")])
 
@@ -168,7 +168,7 @@ def best_excerpts(t):
 @query("narrowed_excerpts")
 def narrowed_excerpts(t):
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
-    d = t.documents.select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
+    d = t.spread("documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
     j = d.join(_questions(t), "item_id").withColumn("e", search.best_excerpt(F.col("text"), F.col("tokens")))
     j = j.withColumn("n", search.narrow_excerpt(F.col("text"), F.col("e"), F.col("tokens")))
     return j.select("doc_id", "n.start", "n.stop", F.substring("text", F.col("n.start") + 1, F.col("n.stop") - F.col("n.start")).alias("excerpt"))
@@ -180,7 +180,7 @@ UNION ALL SELECT o_orderkey, 'distance', 'price went up by ' || CAST(o_custkey A
 def value_anchors(t):
     text = ("CASE WHEN o_orderkey % 2 = 0 THEN 'Seen by desk 4' || chr(10) || 'Total price: $' || CAST(o_custkey AS STRING) || '0' "
             "ELSE 'The price went up by ' || CAST(o_custkey AS STRING) || '.5% on 2020-01-01' END")
-    d = t.orders.selectExpr("o_orderkey", f"{text} AS text").withColumn("a", search.value_anchor(F.col("text"), F.array(F.lit("prices"))))
+    d = t.spread("orders").selectExpr("o_orderkey", f"{text} AS text").withColumn("a", search.value_anchor(F.col("text"), F.array(F.lit("prices"))))
     return d.where("a IS NOT NULL").select("o_orderkey", "a.form", F.substring("text", F.col("a.start") + 1, F.col("a.stop") - F.col("a.start")).alias("anchor"))
 
 

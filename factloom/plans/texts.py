@@ -43,7 +43,7 @@ SELECT doc_id, start, stop, 1 + length(substr(t, 1, start)) - length(replace(sub
   sha256(substr(t, start + 1, stop - start)) AS text_hash,
   1 + length(substr(t, 1, stop)) - length(replace(substr(t, 1, stop), chr(10), '')) AS line_end FROM c""")
 def text_chunks(t):
-    d = t.documents.select("doc_id", blocks.normalise_text(F.col("text")).alias("text"))
+    d = t.spread("documents").select("doc_id", blocks.normalise_text(F.col("text")).alias("text"))
     b = blocks.located(blocks.chunk_text(d, ["doc_id"]))
     return b.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "stop", "line_start", "line_end")], "text_hash")
 
@@ -72,7 +72,7 @@ n AS (SELECT doc_id, i AS line_no, CAST(off + length(line) - length(ltrim(line,
 
 def _lines(t):
     """Lines of documents, found block by block, with their positions in the whole document."""
-    b = blocks.chunk_lines(t.documents.select("doc_id", "text"), ["doc_id"])
+    b = blocks.chunk_lines(t.spread("documents").select("doc_id", "text"), ["doc_id"])
     lines = blocks.source_lines(b.withColumn("offset", F.col("start")), ["doc_id", "block_ord", "offset"])
     return lines.select("doc_id", "block_ord", F.col("line_no").cast("long").alias("line_no"),
                         (F.col("offset") + F.col("start")).cast("long").alias("start"),
@@ -189,7 +189,7 @@ WITH a AS ({select_sql(_ARTIFACTS, 'documents')} UNION ALL SELECT doc_id, CAST(d
 SELECT file_id, table_id, min(written_at) AS written_at FROM a JOIN documents d ON a.file_id = d.doc_id
 WHERE a.source_hash = d.source AND parser = 'v2' AND schema_version = 'a2' AND complete GROUP BY 1, 2""")
 def accepted_artifacts(t):
-    a = render(t.documents, _ARTIFACTS).unionByName(t.documents.where("lang = 'en'").selectExpr(
+    a = render(t.spread("documents"), _ARTIFACTS).unionByName(t.documents.where("lang = 'en'").selectExpr(
         "doc_id AS file_id", "CAST(doc_id % 3 AS STRING) AS table_id", "n_chars + 1 AS written_at", "source AS source_hash", "'v2' AS parser",
         "'a2' AS schema_version", "true AS complete"))
     files = t.documents.selectExpr("doc_id AS file_id", "source AS source_hash", "'v2' AS parser")
@@ -279,4 +279,4 @@ df AS (SELECT DISTINCT doc_id, unnest({forms_sql('tok')}) AS form FROM dt)
 SELECT doc_id, item_id, count(DISTINCT tok) AS coverage FROM df JOIN qf USING (form) GROUP BY 1, 2""")
 def token_coverage(t):
     q = t.benchmark.select("item_id", tx.query_tokens(F.col("text")).alias("tokens"))
-    return catalog.token_coverage(t.documents.select("doc_id", "text"), "doc_id", q, "item_id")
+    return catalog.token_coverage(t.spread("documents").select("doc_id", "text"), "doc_id", q, "item_id")

@@ -58,7 +58,7 @@ SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 7 IN (1, 5) THEN 'claim_va
   CASE WHEN o_orderkey % 7 IN (1, 5) AND o_orderkey % 5 IN (2, 3) THEN ',' ELSE '' END ||
   CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'unsupported_claim_token' ELSE '' END AS reasons FROM orders""")
 def verified_literals(t):
-    claims = t.orders.selectExpr("o_orderkey AS claim_id", f"{_CLAIM} AS claim_text", f"{_VALUE} AS claim_value")
+    claims = t.spread("orders").selectExpr("o_orderkey AS claim_id", f"{_CLAIM} AS claim_text", f"{_VALUE} AS claim_value")
     ev = t.orders.selectExpr("o_orderkey AS claim_id", "1 AS evidence_ord", f"{_EVIDENCE} AS quote", "CAST(NULL AS STRING) AS value",
                              "DATE'2021-03-03' AS effective_date")
     return verify.verify_literals(claims, ev).select("claim_id", F.array_join("literal_reasons", ",").alias("reasons"))
@@ -199,7 +199,7 @@ def publication_of_complete_answers(t):
 SELECT sha256('run-1|by priority|' || CAST(o_orderkey AS STRING)) AS claim_id, 'Order ORD-' || CAST(o_orderkey AS STRING) || ' totals ' || CAST(o_totalprice AS STRING) AS claim_text,
   CAST(o_totalprice AS STRING) AS claim_value, o_orderkey AS row_ord FROM orders""")
 def claim_rows(t):
-    r = render(t.orders, PLAIN_ORDER).withColumn("run", F.lit("run-1")).withColumn("say", F.concat_ws(" ", F.lit("Order"), "order_id", F.lit("totals"), "total"))
+    r = render(t.spread("orders"), PLAIN_ORDER).withColumn("run", F.lit("run-1")).withColumn("say", F.concat_ws(" ", F.lit("Order"), "order_id", F.lit("totals"), "total"))
     return verify.claim_rows(r, "run", "by priority", "row_ord", "say", "total")
 
 
