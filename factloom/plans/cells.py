@@ -118,10 +118,6 @@ def compared_cells(t):
     return p.select("row_ord", F.coalesce(cmp.cast("string"), F.lit("incomparable")).alias("outcome"))
 
 
-_LINES = [("price", "ge", "$20,000"), ("shipped", "lt", "6/1/1999"), ("flag", "ne", "r"), ("discount", "gt", F.col("tax")),
-          ("quantity", "not_null")]
-
-
 @query("typed_filter", f"""
 WITH c AS ({select_sql(LINE_CELLS, 'lineitem')})
 SELECT row_ord, price, shipped FROM c WHERE TRY_CAST(replace(price, '$', '') AS DECIMAL(28,10)) >= 20000
@@ -129,7 +125,9 @@ SELECT row_ord, price, shipped FROM c WHERE TRY_CAST(replace(price, '$', '') AS
   AND CAST(discount AS DECIMAL(28,10)) > CAST(tax AS DECIMAL(28,10)) AND quantity <> ''""")
 def typed_filter(t):
     # flag 'N' reads as a boolean and is therefore not comparable with the text 'r'
-    return rel.where_typed(render(t.spread("lineitem"), LINE_CELLS), _LINES).select("row_ord", "price", "shipped")
+    preds = [("price", "ge", "$20,000"), ("shipped", "lt", "6/1/1999"), ("flag", "ne", "r"), ("discount", "gt", F.col("tax")),
+             ("quantity", "not_null")]
+    return rel.where_typed(render(t.spread("lineitem"), LINE_CELLS), preds).select("row_ord", "price", "shipped")
 
 
 @query("predicate_validation", f"""
