@@ -64,7 +64,7 @@ def field_id(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Whitespace runs to one blank, NUL removed, trimmed."""
-    messy = c.rlike(r"(?U)\x00|\s{2}|[^\S ]")
+    messy = c.rlike(r"[\x00-\x1F]|  |[^\x00-\x7F]")
     return F.trim(F.when(messy, F.regexp_replace(F.regexp_replace(c, "\\x00", ""), r"(?U)\s+", " ")).otherwise(c))
 
 

@@ -6,16 +6,16 @@ An operator returns an ``Outcome``: the result, the contributing rows, and one s
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import vocab
 from factloom.functions.text import let, norm_key
-from factloom.functions.typing import cell_as, compare_typed, condition, number_cell, sure_kind, typed_cell
+from factloom.functions.typing import NUM, cell_as, compare_typed, condition, is_null_cell, number_cell, sure_kind, typed_cell
 
 Predicate = tuple  # (column, op) | (column, op, literal) | (column, op, F.col(other))
 
@@ -26,21 +26,36 @@ class Outcome(NamedTuple):
     status: DataFrame
 
 
+@lru_cache(maxsize=1024)
+def _typed_literal(value: str):
+    """A literal typed once, by the same rules as the cells (a one-row local relation; no job runs over data)."""
+    spark = SparkSession.active()
+    return spark.createDataFrame([(value,)], "v string").select(typed_cell(F.col("v")).alias("t")).first().t
+
+
 def _operand(value) -> Column:
     if isinstance(value, Column):
         return typed_cell(value)
-    return typed_cell(F.lit(str(value)))
+    t = _typed_literal(str(value))
+    types = {"kind": "string", "raw": "string", "unit": "string", "num": NUM, "dt": "date", "bool": "boolean"}
+    return F.struct(*[F.lit(t[n]).cast(d).alias(n) for n, d in types.items()])
 
 
 def predicate(pred: Predicate) -> Column:
     if len(pred) < 3:
-        return condition(typed_cell(F.col(pred[0])), pred[1])
+        null = is_null_cell(F.col(pred[0]))
+        return {"is_null": null, "not_null": ~null}[pred[1]]
     kind = sure_kind(pred[2])
     return condition(cell_as(F.col(pred[0]), kind), pred[1], _operand(pred[2]), kind)
 
 
+def _cost(pred: Predicate) -> int:
+    """Null tests first, then literals of a sure kind, then words and column pairs; a false one spares the rest."""
+    return 0 if len(pred) < 3 else 1 if sure_kind(pred[2]) else 2
+
+
 def all_of(preds: list[Predicate]) -> Column:
-    return reduce(lambda a, b: a & b, [predicate(p) for p in preds], F.lit(True))
+    return reduce(lambda a, b: a & b, [predicate(p) for p in sorted(preds, key=_cost)], F.lit(True))
 
 
 def where_typed(df: DataFrame, preds: list[Predicate]) -> DataFrame:
