@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from factloom.llm import decontamination, fingerprints, linededup, sharding  # noqa: F401
+from factloom.llm import decontamination, fingerprints, linededup, pieces, sharding  # noqa: F401
 from factloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
