@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with calibrated probabilities.
 
-Tokens are runs of letters, of digits and of other signs, hashed into ``BUCKETS``; each is followed by a marker of its kind, case and length. Every
-bucket has a fixed sparse random index vector; its context vector is the sum of the index vectors of the tokens around it, counted over all documents
+Tokens are runs of letters, of digits and of other signs, hashed into ``BUCKETS``; each is followed by a marker of its kind, case
+and length, or of repeating one of the two tokens before it. Every bucket has a fixed sparse random index vector; its context vector is the sum of the index vectors of the tokens around it, counted over all documents
 in integers, so the sum does not depend on how rows lie. A word's vector is its index vector beside its scaled context vector, a document's vector
 the mean over its tokens. The network learns from a bounded sample of labelled rows (``SAMPLE``: those with the lowest hash of their id); a fifth of the
 sample is held back to fit the temperature.
@@ -67,11 +67,13 @@ def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     upper = np.add.reduceat(_UPPER[letters], first)
     kind = kinds[starts].astype(np.int64)
     case = np.where(kind == 1, np.minimum(upper, 2), kind + 1)
+    owners = np.searchsorted(np.cumsum([len(b) + 1 for b in blobs]), starts, side="right")
+    for back in (1, 2):  # a token said again at once, or with one sign in between
+        case[back:] = np.where((hashes[back:] == hashes[:-back]) & (owners[back:] == owners[:-back]), 5, case[back:])
     size = np.searchsorted([2, 4, 8, 16], lengths, side="right")
     out = np.empty(2 * len(starts), np.int64)
     out[0::2] = (hashes % np.uint64(BUCKETS - MARKERS)).astype(np.int64)
     out[1::2] = BUCKETS - MARKERS + case * 5 + size
-    owners = np.searchsorted(np.cumsum([len(b) + 1 for b in blobs]), starts, side="right")
     return out, np.repeat(owners, 2)
 
 
