@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from factloom.llm import decontamination, fingerprints, jaccardjoin, linededup, pieces, quality, sharding  # noqa: F401
+from factloom.llm import decontamination, fingerprints, jaccardjoin, linededup, pagetext, pieces, quality, sharding  # noqa: F401
 from factloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
