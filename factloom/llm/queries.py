@@ -1,6 +1,8 @@
 """All registered queries of this subpackage."""
 
-from factloom.llm import decontamination, fingerprints, jaccardjoin, licences, linededup, pagetext, pieces, quality, sharding  # noqa: F401
+from factloom.llm import (  # noqa: F401
+    decontamination, fingerprints, jaccardjoin, licences, linededup, pagetext, pieces, quality, sharding, trainingorder,
+)
 from factloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
