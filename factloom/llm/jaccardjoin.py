@@ -51,7 +51,8 @@ def rough_counts(texts: DataFrame, width: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for rows in batches:
             sets = shingle_sets(rows.column(0).to_pylist(), width)
-            total += np.bincount(_cells(np.concatenate(sets)), minlength=COUNTERS)
+            if sets:
+                total += np.bincount(_cells(np.concatenate(sets)), minlength=COUNTERS)
         return total
 
     counts = summed_tables(texts.select("text"), fill, COUNTERS)

@@ -173,8 +173,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 
 
 def may_learn(doc_id: Column) -> Column:
-    """Rows whose labels may be used: those whose crc32 of the id, as text, is no multiple of 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+    """Rows whose labels may be used: those whose crc32 of the id, as text, is no multiple of 5; none with a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
