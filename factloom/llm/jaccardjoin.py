@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets collapse into one member first. A fixed-size table counts roughly
 how many documents hold each hash; every set is ordered from rare to common, and its first ``n - ceil(s * n) + 1`` hashes are its prefix: sets that
 are similar enough share a hash of their prefixes. Members with the same prefix and size make one group. Groups that share a prefix hash are
-compared by size and by the place of the hash, which bounds the overlap; what is left is expanded to members, whose whole sets are intersected.
+compared by size and by the place of the hash, which bounds the overlap; what is left is expanded to members, compared by how much their prefixes have in
+common, and at last the whole sets of the remaining pairs are intersected.
 
 Groups of near copies aren't paired off: for every prefix hash all groups meet the one where it comes first, and once these links have made
 components, only members of different components that share a prefix hash are compared. No link that would join two components is left out.
@@ -37,6 +38,9 @@ PERCENT = 90
 #: Cells of the table that counts hashes roughly.
 COUNTERS = 1 << 21
 
+#: Bits of the filters of this operator; see ``repeats``.
+PREFIX_BITS = 2 * FILTER_BITS
+
 _SLOT = np.uint64(64 - COUNTERS.bit_length() + 1)
 
 
@@ -112,6 +116,18 @@ def may_link(a_n: Column, a_place: Column, b_n: Column, b_place: Column, percent
     return sizes & (F.least(a_n - a_place, b_n - b_place).cast("bigint") * (100 + percent) >= needed)
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose prefixes have enough hashes in common. Of the set whose prefix ends first in the common order, only what follows its prefix
+    can meet hashes besides, so the overlap is at most the prefixes' common hashes and the longer remainder."""
+    side = sets.select("rep", "n", F.transform("toks", lambda t: t["token"]).alias("tokens"))
+    a = side.select(F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
+    b = side.select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    both = pairs.join(a, "a").join(b, "b")
+    rest = F.floor((F.lit(percent) * F.greatest("a_n", "b_n") + 99) / 100) - 1
+    most = F.size(F.array_intersect("a_tokens", "b_tokens")) + rest
+    return both.where(most * (100 + percent) >= (F.col("a_n") + F.col("b_n")).cast("bigint") * percent).select("a", "b")
+
+
 def linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     """The pairs ``a, b`` of ids whose sets are similar enough. Only documents in a pair give up their sets."""
     session = texts.sparkSession
@@ -150,7 +166,7 @@ def linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int, bits: i
     return written(both.where(similar("a_set", "b_set")).select("a", "b").distinct(), "linked")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = FILTER_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = PREFIX_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the size of its set and the smallest id that links reach from it."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     first = written(prefixes(texts, rough_counts(texts, width), width, percent), "prefixes")
@@ -175,7 +191,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     several = first.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo != hi")
     own = (usable.join(several.select("doc_id"), "doc_id").join(alone.select("same", "rep"), "same")
            .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b").distinct())
-    known = written(linked(texts, pairs.distinct(), width, percent, bits).union(own), "known")
+    known = written(linked(texts, plausible(pairs.distinct(), alone, percent), width, percent, bits).union(own), "known")
     found = components(known)
 
     # members of different components that share a hash: all against those outside the component of the hash's first member
@@ -187,7 +203,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     here = mixed.where(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"o_{c}") for c in ("place", "n", "rep", "label")])
     across = (here.join(mixed, "token").where((F.col("label") != F.col("o_label")) & may_link(F.col("n"), F.col("place"), F.col("o_n"), F.col("o_place"), percent))
               .select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct())
-    late = linked(texts, across, width, percent, bits)
+    late = linked(texts, plausible(across, alone, percent), width, percent, bits)
     if not late.isEmpty():
         found = components(known.union(late))
     rep = alone.select("same", "rep")
