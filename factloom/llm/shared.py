@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,37 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import shared_dir
+
 #: Rows of an Arrow batch at most: with texts of some 100 KB a batch stays within tens of MB.
 BATCH_ROWS = 512
 #: Cells of one segment of a fixed-size table, the unit in which tasks' tables are merged.
 SEGMENT = 1 << 16
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, as ``spark.checkpoint.dir`` names it. Only a local session may go without: it gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="factloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one; it goes when the session ends."""
-    path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, so a lost executor repeats only what reads it."""
     spark = df.sparkSession

@@ -22,12 +22,6 @@ BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.fixture(scope="module", autouse=True)
-def shared(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "clash", "clash", 1) for i, t in rows], SCHEMA)
 
