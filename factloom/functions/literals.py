@@ -7,6 +7,8 @@ dates are excluded inside the pattern, so their digits stay available as plain n
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,48 +16,58 @@ from factloom.functions import vocab
 from factloom.functions.text import let, nfkc, squash
 
 _CODES = "|".join(vocab.CURRENCY_CODES)
-_AMOUNT = r"[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
-MONEY = rf"[+-]?\s*(?:[$€£]|(?:{_CODES})\b)\s*{_AMOUNT}|{_AMOUNT}\s*(?:{_CODES})\b"
-PERCENT = r"(?<![\w.])[+-]?[0-9]+(?:\.[0-9]+)?\s*%"
-_LEAP = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
-ISO_DATE = (
-    r"\b(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])"
-    r"|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
-    rf"|{_LEAP}-02-29)\b"
-)
-_LONG = r"(?:Jan(?:uary)?|Mar(?:ch)?|May|July?|Aug(?:ust)?|Oct(?:ober)?|Dec(?:ember)?)"
-_SHORT = r"(?:Apr(?:il)?|June?|Sep(?:tember)?|Nov(?:ember)?)"
-_FEB = r"Feb(?:ruary)?"
-_ORD = r"(?:st|nd|rd|th)?,?\s+(?!0000)"
-MONTH_DATE = (
-    rf"\b(?:{_LONG}\.?\s+(?:0?[1-9]|[12][0-9]|3[01]){_ORD}[0-9]{{4}}"
-    rf"|{_SHORT}\.?\s+(?:0?[1-9]|[12][0-9]|30){_ORD}[0-9]{{4}}"
-    rf"|{_FEB}\.?\s+(?:0?[1-9]|1[0-9]|2[0-8]){_ORD}[0-9]{{4}}"
-    rf"|{_FEB}\.?\s+29{_ORD}{_LEAP})\b"
-)
-EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-URL = r"\bhttps?://[^\s<>]+"
-IDENTIFIER = r"\b(?=[A-Z0-9_/-]*[A-Z])(?=[A-Z0-9_/-]*[0-9])[A-Z][A-Z0-9]*(?:[-_/][A-Z0-9]+)+\b"
-NUMBER = r"(?<![\w.])[+-]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?![\w.])"
+_SIGNS = "".join(vocab.CURRENCY_SIGNS)
+#: Digits with optional groups of thousands and decimal places.
+_FIGURE = r"\d+(?:,\d{3})*(?:\.\d+)?"
+_CURRENCY = rf"(?:[{_SIGNS}]|\b(?:{_CODES})\b)"
+_UNIT_BEFORE, _UNIT_AFTER = rf"{_CURRENCY}\s*", rf"\s*(?:{_CODES})\b"
+_ALONE = r"(?<![\w.])"  # not inside a word or a dotted number
+MONEY = rf"[-+]?\s*{_UNIT_BEFORE}[-+]?{_FIGURE}|[-+]?{_FIGURE}{_UNIT_AFTER}"
+PERCENT = rf"{_ALONE}[-+]?{_FIGURE}\s*%"
+
+
+def _month_names(days: int) -> str:
+    """The months with so many days (in no leap year), each written out or as its first three letters; September also with four."""
+    own = [m for k, m in enumerate(vocab.MONTHS, 1) if calendar.monthrange(2001, k)[1] == days]
+    return "(?:" + "|".join(f"{m[:3]}t?(?:ember)?" if m == "september" else m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in own) + ")"
+
+
+def _month_numbers(days: int) -> str:
+    return "(?:" + "|".join(f"{k:02d}" for k in range(1, 13) if calendar.monthrange(2001, k)[1] == days) + ")"
+
+
+def _days(last: int, pad: str) -> str:
+    """1 to ``last`` (28 to 31), with a leading zero as ``pad`` asks."""
+    tens = {28: "1\\d|2[0-8]", 30: "[12]\\d|30", 31: "[12]\\d|3[01]"}[last]
+    return f"(?:{pad}[1-9]|{tens})"
+
+
+# years whose last two digits, or whose first two before 00, divide by four
+_FOURS = "|".join(f"{k:02d}" for k in range(4, 100, 4))
+_LEAP = rf"(?:\d\d(?:{_FOURS})|(?:00|{_FOURS})00)"
+_SOME_YEAR = r"(?!0000)"
+ISO_DATE = rf"\b{_SOME_YEAR}(?:\d{{4}}-(?:" + "|".join(f"{_month_numbers(n)}-{_days(n, '0')}" for n in (31, 30, 28)) + rf")|{_LEAP}-02-29)\b"
+_REST = rf"(?:st|nd|rd|th)?,?\s+{_SOME_YEAR}"
+MONTH_DATE = r"\b(?:" + "|".join(rf"{_month_names(n)}\.?\s+{_days(n, '0?')}{_REST}\d{{4}}" for n in (31, 30, 28)) + rf"|{_month_names(28)}\.?\s+29{_REST}{_LEAP})\b"
+EMAIL = r"\b[\w.%+-]+@[\w.-]+\.\p{Alpha}{2,}\b"
+URL = r"\bhttps?://[^<>\s]+"
+#: Runs of letters and digits joined by - _ or /, the first of which begins with a letter; it counts only with a digit in it.
+_JOINED = r"\b\p{Alpha}\p{Alnum}*(?:[/_-]\p{Alnum}+)+\b"
+NUMBER = rf"{_ALONE}[-+]?{_FIGURE}(?![\w.])"
 
 KINDS = ("money", "percent", "date", "email", "url", "identifier", "number")
-ANY_LITERAL = "(?i)(?:" + "|".join([MONEY, PERCENT, ISO_DATE, MONTH_DATE, EMAIL, URL, IDENTIFIER, NUMBER]) + ")"
-
-STATUS = (
-    r"\b(?:included|none|not\s+(?:applicable|available|included|provided|quoted|received)"
-    r"|pending|tbd|unknown|unlimited|waived)\b"
-)
-_PLAIN_MONEY = (
-    rf"(?:[$€£]|{_CODES})\s*[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]{{1,2}})?"
-    rf"|[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]{{1,2}})?\s*(?:{_CODES})\b"
-)
-_PLAIN_PERCENT = r"\b[0-9]+(?:\.[0-9]+)?\s*%"
-_FORMATTED = r"\b(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+)\b"
-_ANY_ISO = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
-_ANY_MONTH_DATE = rf"\b(?:{_LONG}|{_SHORT}|{_FEB})\.?\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}}\b"
-COMPARABLE = "(?i)(?:" + "|".join(
-    [_PLAIN_MONEY, _PLAIN_PERCENT, _ANY_ISO, _ANY_MONTH_DATE, IDENTIFIER, _FORMATTED, STATUS]
-) + ")"
+ANY_LITERAL = "(?i)(?:" + "|".join([MONEY, PERCENT, ISO_DATE, MONTH_DATE, EMAIL, URL, _JOINED, NUMBER]) + ")"
+
+#: Longer phrases first, so that none hides behind its beginning.
+STATUS = r"\b(?:" + "|".join(p.replace(" ", r"\s+") for p in sorted(vocab.STATUS_PHRASES, key=len, reverse=True)) + r")\b"
+_PLAIN_MONEY = rf"{_UNIT_BEFORE}{_FIGURE}|{_FIGURE}{_UNIT_AFTER}"
+_PLAIN_PERCENT = rf"\b{_FIGURE}\s*%"
+#: A number that its groups or its decimal places set apart from a mere count.
+_FORMATTED = r"\b(?=\d+[.,]\d)\d{1,3}(?:,\d{3})+(?:\.\d+)?\b|\b\d+\.\d+\b"
+_ANY_ISO = r"\b\d{4}-\d\d-\d\d\b"
+_ANY_MONTH_DATE = rf"\b(?:{_month_names(31)}|{_month_names(30)}|{_month_names(28)})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b"
+COMPARABLE = "(?i)(?:" + "|".join([_PLAIN_MONEY, _PLAIN_PERCENT, _ANY_ISO, _ANY_MONTH_DATE, _JOINED, _FORMATTED, STATUS]) + ")"
+IDENTIFIER = rf"(?=[\w/-]*\d){_JOINED}"
 
 
 def plain_decimal(c: Column) -> Column:
@@ -148,7 +160,8 @@ def extract_literals(text: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,stop:int,kind:string,raw:string,norm:string>>")
-    return F.when(text.rlike("[0-9@]|://"), F.transform(regex_spans(text, ANY_LITERAL), kinded)).otherwise(none)
+    spans = F.filter(regex_spans(text, ANY_LITERAL), lambda s: s["raw"].rlike("[0-9@:]"))  # joined words without a digit are none
+    return F.when(text.rlike("[0-9@]|://"), F.transform(spans, kinded)).otherwise(none)
 
 
 def comparable_values(text: Column) -> Column:
@@ -176,5 +189,5 @@ def comparable_values(text: Column) -> Column:
         )
         return F.struct(kind.alias("kind"), raw.alias("raw"), norm.alias("norm"))
 
-    hits = F.regexp_extract_all(text, F.lit(COMPARABLE), F.lit(0))
-    return F.transform(F.transform(hits, lambda h: F.trim(h)), finish)
+    hits = F.transform(F.regexp_extract_all(text, F.lit(COMPARABLE), F.lit(0)), lambda h: F.trim(h))
+    return F.transform(F.filter(hits, lambda h: h.rlike("[0-9]") | ~h.rlike("[/_-]")), finish)

@@ -6,6 +6,8 @@ call its static methods with ``java_method``. Only non-ASCII values take that wa
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -125,12 +127,17 @@ def covered(query_tokens: Column, text_tokens: Column) -> Column:
         lambda forms: F.size(F.filter(query_tokens, lambda q: F.arrays_overlap(token_forms(q), forms))))
 
 
+def key_words_of(phrase: str) -> list[str]:
+    """``key_words`` of a phrase known when the plan is made."""
+    return [w.casefold() for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", phrase))]
+
+
 def stop(tokens: Column, stop_words: tuple[str, ...]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop_words))
 
 
-def query_tokens(c: Column, limit: int = 12) -> Column:
-    """Content tokens of one question, most frequent first, first-seen order on ties."""
+def query_tokens(c: Column, limit: int | None = None) -> Column:
+    """Content tokens of one question, most frequent first, first-seen order on ties; the first ``limit`` of them if one is given."""
     from factloom.functions.vocab import QUERY_STOP_WORDS
 
     def ranked(tokens: Column) -> Column:
@@ -143,5 +150,6 @@ def query_tokens(c: Column, limit: int = 12) -> Column:
             ),
         )
 
-    best = F.slice(F.array_sort(let(stop(search_words(c), QUERY_STOP_WORDS), ranked)), 1, limit)
+    best = F.array_sort(let(stop(search_words(c), QUERY_STOP_WORDS), ranked))
+    best = best if limit is None else F.slice(best, 1, limit)
     return F.transform(best, lambda s: s["t"])

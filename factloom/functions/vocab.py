@@ -26,9 +26,6 @@ QUERY_STOP_WORDS = (
     "which", "with",
 )
 
-# Generic words left out when a looked-up cell is compared with its request.
-REQUEST_NOISE = ("binder", "document", "file", "quote", "revision", "source", "state", "stated")
-
 # First header and second header of field/value tables.
 ROW_LABEL_HEADERS = ("control", "field", "item", "record", "subjectivity", "term")
 ROW_VALUE_HEADERS = ("position", "quoted term", "quoted value", "recorded position", "status", "value")
@@ -80,3 +77,28 @@ LEGAL_TRANSITIONS = (
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
           "november", "december")
+
+# Phrases that stand for a value.
+STATUS_PHRASES = ("included", "none", "not applicable", "not available", "not included", "not provided", "not quoted", "not received", "pending", "tbd",
+                  "unknown", "unlimited", "waived")
+
+# Verbs between a label and its value, verbs by which a source reports one, and words that make a number a change of another.
+COPULAS = ("is", "are", "was", "were")
+REPORTING_VERBS = ("list", "lists", "report", "reports", "show", "shows", "state", "states", "support", "supports")
+REPORTERS = ("document", "file", "source")
+CHANGE_WORDS = ("higher", "lower", "increase", "decrease", "difference")
+
+# Words that raise or lower the authority of a source, what can be denied, what denies it, and what an id of control is an id of.
+CONTROL_WORDS = ("approved", "authorized", "change control", "change controlled", "executed", "ratified", "signed")
+CONTROL_THINGS = ("appointment letter", "approval", "authorization", "change request", "meeting resolution", "ratification")
+CONTROL_IDS = ("approval", "change", "revision", "signature", "version")
+DRAFT_WORDS = ("anecdotal", "draft", "estimate", "informal", "narrative", "note", "proposed", "rumor", "unapproved", "uncontrolled", "unsupported", "unverified")
+DENIALS = ("lack", "lacks", "no", "not", "pending", "until", "without")
+
+# Orders to the reader of a text.
+ORDER_VERBS = ("disregard", "ignore")
+ORDER_TIMES = ("previous", "prior")
+ORDER_PHRASES = ("system prompt", "you are chatgpt")
+
+# Words by which a question asks for a time.
+TIME_WORDS = ("date", "dated", "effective", "expiration", "expire", "expired", "expires", "issued", "period", "renewal")

@@ -32,7 +32,8 @@ def expand_hierarchy(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max
         n = level.count()
         if n == 0:
             break
-        if left is not None and n > left:
+        full = left is not None and n > left  # with nothing left, one row more is enough to tell that something is missing
+        if full:
             gaps.append(level.orderBy(F.desc("path"), F.desc("id")).limit(1).select(
                 F.col("parent_id").alias("id"), F.lit(None).cast("string").alias("name"), "path", F.lit("resource_limit").alias("reason")))
             level = cut_lineage(level.orderBy("path", "id").limit(left))
@@ -42,10 +43,10 @@ def expand_hierarchy(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max
             gaps.append(folders.select("id", "name", "path", F.lit("depth_limit").alias("reason")))
             break
         fresh = folders.join(visited, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        if full:
+            break
         if left is not None:
-            left -= min(n, left)
-            if left == 0:
-                break
+            left -= n
         frontier = cut_lineage(fresh)
         visited = visited.unionByName(frontier.select("id"))
     schema_gap = "id string, name string, path array<string>, reason string"

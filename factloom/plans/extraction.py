@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import literals
 from factloom.operators import blocks, extract, tables, tagging
 from factloom.plans.registry import query
-from factloom.plans.shared import render
+from factloom.plans.shared import quoted, render, words_sql
 
 # --- literals in prose -------------------------------------------------------------------------------------------
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
@@ -217,27 +217,35 @@ def cell_values(t):
 
 
 # --- question log ------------------------------------------------------------------------------------------------
-_ASK = ("CASE conv_id % 8 WHEN 0 THEN 'List all orders where price is above 5 ' WHEN 1 THEN 'How many rows per region, sorted by count? ' "
-        "WHEN 2 THEN 'Compare revision 1 and revision 2 ' WHEN 3 THEN 'Do all records have an owner? ' WHEN 4 THEN 'Reconcile orders against invoices ' "
-        "WHEN 5 THEN 'Summarize the table ' WHEN 6 THEN 'What is the largest claim row? ' ELSE 'renewal of ' END")
-_WANT = ("CASE conv_id % 8 WHEN 0 THEN 'filter,list' WHEN 1 THEN 'aggregate,group,order' WHEN 2 THEN 'compare' WHEN 3 THEN 'completeness,list' "
-         "WHEN 4 THEN 'join' WHEN 5 THEN 'summary' WHEN 6 THEN 'aggregate' ELSE 'lookup' END")
-_MODE = ("CASE conv_id % 8 WHEN 0 THEN 'structured' WHEN 1 THEN 'structured' WHEN 2 THEN 'mixed' WHEN 3 THEN 'structured' WHEN 4 THEN 'mixed' "
-         "WHEN 5 THEN 'structured' WHEN 6 THEN 'structured' ELSE 'direct' END")
+_ASK = ("CASE conv_id % 8 WHEN 0 THEN 'List all orders where price is above 5. ' WHEN 1 THEN 'How many rows per region, sorted by count? ' "
+        "WHEN 2 THEN 'Compare revision 1 and revision 2. ' WHEN 3 THEN 'Do all records have an owner? ' WHEN 4 THEN 'Reconcile orders against invoices. ' "
+        "WHEN 5 THEN 'Summarize the table. ' WHEN 6 THEN 'What is the largest claim row? ' ELSE '' END || text")
 
 
-@query("tagged_questions", f"""
-SELECT conv_id, turn, {_WANT} AS intents, {_MODE} AS mode, conv_id % 8 NOT IN (2, 7) AS complete_data FROM conversations WHERE role = 'user'""")
-def tagged_questions(t):
-    q = t.conversations.where("role = 'user'").selectExpr("conv_id", "turn", f"{_ASK} AS question")
-    tagged = tagging.tag_questions(q, "question")
-    return tagged.select("conv_id", "turn", F.array_join("intents", ",").alias("intents"), "mode", F.col("needs_complete_data").alias("complete_data"))
+def _said_sql(single: tuple[str, ...], double: tuple[str, ...]) -> str:
+    return "(" + " OR ".join([f"list_has_any(w, [{quoted(single)}])", *[f"contains(' ' || array_to_string(w, ' ') || ' ', ' {p} ')" for p in double]]) + ")"
 
 
-@query("question_mix", f"""
-SELECT mode, intents, count(*) AS n FROM (SELECT {_MODE} AS mode, {_WANT} AS intents FROM conversations WHERE role = 'user') GROUP BY 1, 2""")
-def question_mix(t):
-    q = t.conversations.where("role = 'user'").selectExpr(f"{_ASK} AS question")
-    return tagging.tag_questions(q, "question").groupBy("mode", F.array_join("intents", ",").alias("intents")).agg(F.count(F.lit(1)).alias("n"))
+_FLAGS = ", ".join(f"{_said_sql(*said)} AS f_{i}" for i, said in tagging.ASKED.items())
+_ANY = lambda names: "(" + " OR ".join(f"f_{n}" for n in names) + ")"
+_TAGS = f"""f AS (SELECT *, {_FLAGS}, {_said_sql(tagging.DATA_SETS, ())} AS f_data FROM (
+    SELECT conv_id, turn, {words_sql(f"({_ASK})")} AS w FROM conversations WHERE role = 'user')),
+g AS (SELECT *, ({_ANY(tagging.SET_WIDE)} OR (f_data AND {_ANY(('exceptions', 'summary'))})) AS complete_data,
+    concat_ws(',', {', '.join(f"CASE WHEN f_{i} THEN '{i}' END" for i in tagging.ASKED)}) AS said FROM f),
+h AS (SELECT conv_id, turn, CASE WHEN said = '' THEN 'lookup' ELSE said END AS intents, CASE WHEN f_compare OR f_join THEN 'mixed'
+    WHEN complete_data AND {_ANY(tagging.TABULAR)} THEN 'structured' WHEN f_list THEN 'exhaustive' ELSE 'direct' END AS mode, complete_data FROM g)"""
+
+
+def _tagged(t):
+    """User turns as they are, every eighth conversation each with another opening sentence."""
+    return tagging.tag_questions(t.conversations.where("role = 'user'").selectExpr("conv_id", "turn", f"{_ASK} AS question"), "question")
 
 
+@query("tagged_questions", f"WITH {_TAGS} SELECT conv_id, turn, intents, mode, complete_data FROM h")
+def tagged_questions(t):
+    return _tagged(t).select("conv_id", "turn", F.array_join("intents", ",").alias("intents"), "mode", F.col("needs_complete_data").alias("complete_data"))
+
+
+@query("question_mix", f"WITH {_TAGS} SELECT mode, intents, count(*) AS n FROM h GROUP BY 1, 2")
+def question_mix(t):
+    return _tagged(t).groupBy("mode", F.array_join("intents", ",").alias("intents")).agg(F.count(F.lit(1)).alias("n"))

@@ -49,8 +49,8 @@ _OV = lambda a, b: f"len(list_intersect({forms_sql(a)}, {forms_sql(b)})) > 0"  #
 
 @query("label_first_search", f"""
 WITH {_LEX}, {_SEQ},
-lab AS (SELECT DISTINCT doc_id, lw FROM (SELECT doc_id, {words_sql('l')} AS lw FROM (SELECT doc_id, unnest(regexp_extract_all(text,
-  '((?:[\\p{{L}}\\p{{N}}]+\\s+){{0,11}}[\\p{{L}}\\p{{N}}]+)\\s*(?:[:=|\\t]|\\s[-–—]\\s|\\s(?:is|are|was|were)\\s)', 1)) AS l FROM documents))),
+lab AS (SELECT DISTINCT doc_id, lw FROM (SELECT doc_id, {words_sql('l')} AS lw FROM (SELECT doc_id, regexp_extract(p, '[\\p{{L}}\\p{{N}}\\s]*$') AS l FROM (
+  SELECT doc_id, unnest(string_split_regex(text, '\\s*(?:[:=|\t]|\\s[-–—]\\s|\\s(?:is|are|was|were)\\s)')[1:-2]) AS p FROM documents)))  WHERE len(lw) > 0),
 tail AS (SELECT DISTINCT doc_id, lw[-1] AS z FROM lab),
 hit AS (SELECT DISTINCT item_id, doc_id FROM tail JOIN (SELECT item_id, a, unnest({search_forms_sql('a')}) AS f FROM seq) s ON f = z
   WHERE {_OV('a', 'z')}),
@@ -98,9 +98,9 @@ def vector_search(t):
 
 @query("vector_search_in_blocks", f"WITH {_COS} SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank FROM vr WHERE rank <= 3")
 def vector_search_in_blocks(t):
-    """The block-against-block way, taken when the questions are too many to send to every task."""
+    """The same with several blocks of questions."""
     e = t.embeddings.select("vec_id", "embedding")
-    out = search.vector_search(e, e.withColumnRenamed("vec_id", "query_id"), 3, dims=64, max_sent=100)
+    out = search.vector_search(e, e.withColumnRenamed("vec_id", "query_id"), 3, dims=64, query_blocks=3)
     return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.operators import blocks
+from factloom.plans import texts  # noqa: F401  its checks are used here
 from factloom.plans.coverage import _CODE, _RUNS, _STAGE, _STATE, _runs
-from factloom.plans.registry import query
+from factloom.plans.registry import ORACLE, query
 from factloom.session import scratch_path
 from factloom.streaming import jobs
 
@@ -28,13 +30,24 @@ def streamed_admission(t):
         "user_id", F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "n", F.col("over").cast("long").alias("over"))
 
 
-@query("streamed_answers", "SELECT DISTINCT user_id, event_type FROM events")
+@query("streamed_answers", "SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS sent FROM events GROUP BY 1, 2")
 def streamed_answers(t):
-    # all drafts carry one time, so the whole stream lies within one watermark
-    drafts = _stream(t, "events").selectExpr("user_id", "event_type", "TIMESTAMP'2024-01-01 00:00:00' AS sent")
+    """Drafts at the times of the events, which lie days apart, sent twice over: each key is stored once, with its first time."""
     out = scratch_path(t.spark, "answers")
-    jobs.stream_answers(drafts, ["user_id", "event_type"], "sent", out, scratch_path(t.spark, "ckpt")).awaitTermination()
-    return t.spark.read.parquet(out).select("user_id", "event_type")
+    for _ in range(2):
+        drafts = _events(t).select("user_id", "event_type", F.col("at").alias("sent"))
+        jobs.stream_answers(drafts, ["user_id", "event_type"], "sent", out, scratch_path(t.spark, "ckpt")).awaitTermination()
+    return t.spark.read.parquet(out).select("user_id", "event_type", F.date_format("sent", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+
+
+@query("streamed_blocks", ORACLE["text_chunks"])
+def streamed_blocks(t):
+    """The documents as a stream, in blocks: the same as the blocks of the table."""
+    out = scratch_path(t.spark, "blocks")
+    texts = _stream(t, "documents").select("doc_id", blocks.normalise_text(F.col("text")).alias("text"))
+    jobs.stream_chunks(texts, ["doc_id"], out, scratch_path(t.spark, "ckpt")).awaitTermination()
+    b = blocks.located(t.spark.read.parquet(out).drop("batch_id"))
+    return b.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "stop", "line_start", "line_end")], "text_hash")
 
 
 @query("streamed_coverage", f"""

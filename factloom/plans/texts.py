@@ -264,7 +264,7 @@ def complete_artifacts(t):
 _QT = f"""q AS (SELECT item_id, tok, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, p) AS rk FROM
   (SELECT item_id, tok, count(*) AS n, min(p) AS p FROM (SELECT item_id, generate_subscripts(w, 1) AS p, unnest(w) AS tok FROM
     (SELECT item_id, list_filter({long_words_sql('text')}, lambda x: x NOT IN ({quoted(vocab.QUERY_STOP_WORDS)})) AS w FROM benchmark)) GROUP BY 1, 2)),
-qt AS (SELECT item_id, tok, rk FROM q WHERE rk <= 12)"""
+qt AS (SELECT item_id, tok, rk FROM q)"""
 
 
 @query("question_tokens", f"WITH {_QT} SELECT item_id, string_agg(tok, ' ' ORDER BY rk) AS tokens FROM qt GROUP BY 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +28,29 @@ def build_session(app: str = "factloom", master: str | None = None, **extra: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a temporary one only where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. A local session that names none keeps its intermediate tables beside its warehouse;
+    on a cluster the setting is required."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    fallback = os.path.join(tempfile.gettempdir(), f"factloom-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
+    _gone_at_exit(spark, own)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/factloom/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; it is removed when the session ends."""
+    path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    _gone_at_exit(spark, path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

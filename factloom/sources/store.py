@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.session import scratch_path
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
 
 def plan_answers(new: DataFrame, existing: DataFrame) -> DataFrame:
     """What becomes of each new answer ``(workspace_id, key, question)``: ``append`` with its ordinal, ``replay`` or ``conflict``.
@@ -29,12 +36,7 @@ def write_answers(new: DataFrame, path: str) -> None:
     """Appends the answers which ``plan_answers`` marks; a second run of the same batch appends nothing."""
     spark = new.sparkSession
     schema = "workspace_id long, key string, question string, ordinal long"
-    try:
-        existing = spark.read.schema(schema).parquet(path)
-    except Exception as exc:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        existing = spark.createDataFrame([], schema)
+    existing = spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
     planned = plan_answers(new, existing).where("action = 'append'").select(
         F.col("workspace_id").cast("long").alias("workspace_id"), "key", "question", "ordinal")
     planned.write.mode("append").parquet(path)
@@ -46,5 +48,14 @@ def write_manifest(files: DataFrame, path: str) -> None:
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Replaces blocks by (run, file bucket); the caller hands in all blocks of the buckets it touches."""
-    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "bucket").parquet(path)
+    """Replaces the blocks of the files handed in, by (run, file bucket); other files' blocks in the same buckets stay. ``blocks`` has ``file_id``."""
+    spark = blocks.sparkSession
+    rows = blocks
+    if table_exists(spark, path):
+        stored = spark.read.schema(blocks.schema).parquet(path).select(*blocks.columns)
+        beside = stored.join(blocks.select("run_id", "bucket").distinct(), ["run_id", "bucket"], "left_semi").join(
+            blocks.select("run_id", "file_id").distinct(), ["run_id", "file_id"], "left_anti").select(*blocks.columns)
+        rows = blocks.unionByName(beside)
+    staged = scratch_path(spark, "blocks")
+    rows.write.parquet(staged)
+    spark.read.schema(blocks.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "bucket").parquet(path)

@@ -1,18 +1,24 @@
 """Admission, answers, coverage and block streams.
 
-Every job writes through ``foreachBatch`` with the batch id in the data, so a batch that is run again after a lost
-executor replaces its own rows instead of adding to them.
+Every job writes through ``foreachBatch`` so that a batch that runs again after a lost executor replaces its own rows or changes nothing. No job has a
+watermark: rows count however late they come. Keyed results are merged into a fixed number of buckets by their key, so a table does not fall into
+more parts with every batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators import coverage
 from factloom.operators.blocks import chunk_text
+from factloom.session import scratch_path
 from factloom.sources import files as readers
+from factloom.sources.store import table_exists
+
+#: Buckets of a merged table; each batch rewrites those that its keys fall into.
+BUCKETS = 16
 
 
 def _sink(path: str):
@@ -24,44 +30,56 @@ def _sink(path: str):
     return write
 
 
+def _merge(batch: DataFrame, path: str, key: list[str], rank: Column, buckets: int) -> None:
+    """One row for each key: of the stored one and those of the batch, the one with the highest ``rank``. The same batch twice changes nothing."""
+    spark = batch.sparkSession
+    fresh = batch.withColumn("bucket", F.pmod(F.hash(*key), F.lit(buckets)))
+    rows = fresh
+    if table_exists(spark, path):
+        touched = fresh.select("bucket").distinct()
+        rows = spark.read.schema(fresh.schema).parquet(path).join(touched, "bucket", "left_semi").select(*fresh.columns).unionByName(fresh)
+    rest = [c for c in fresh.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("s")).select(*key, "s.*")
+    staged = scratch_path(spark, "merged")
+    best.write.parquet(staged)
+    spark.read.schema(best.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def stream_admission(events: DataFrame, user: str, ts: str, out: str, checkpoint: str, per_minute: int) -> StreamingQuery:
-    """Counts per user and one-minute window with the number over the limit; late data up to two minutes counts.
+    """Counts per user and minute, by batch; ``read_admission`` adds them up and tells what is over the limit."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(F.date_trunc("minute", ts).alias("minute"), user).agg(F.count(F.lit(1)).alias("n"))
+        _sink(out)(counted.withColumn("per_minute", F.lit(per_minute)), batch_id)
 
-    Update mode emits a window again when it grows; ``read_admission`` takes the newest row. State older than the
-    watermark is dropped.
-    """
-    counted = (events.withWatermark(ts, "2 minutes").groupBy(F.window(ts, "1 minute"), user).agg(F.count(F.lit(1)).alias("n"))
-               .select(F.col("window.start").alias("minute"), user, "n", F.greatest(F.lit(0), F.col("n") - per_minute).alias("over")))
-    return (counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(_sink(out)).start())
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def read_admission(spark: SparkSession, out: str, user: str) -> DataFrame:
     rows = spark.read.parquet(out)
-    return rows.groupBy("minute", user).agg(F.max_by(F.struct("n", "over"), "batch_id").alias("r")).select("minute", user, "r.n", "r.over")
+    counts = rows.groupBy("minute", user).agg(F.sum("n").alias("n"), F.max("per_minute").alias("_limit"))
+    return counts.select("minute", user, "n", F.greatest(F.lit(0), F.col("n") - F.col("_limit")).alias("over"))
+
 
+def stream_answers(drafts: DataFrame, key: list[str], ts: str, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each idempotency key once, whenever it is sent again: the stored answer stays, and of several in one batch the earliest counts."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        _merge(numbered, out, key, F.struct(-F.col("batch_id"), -F.unix_micros(F.col(ts).cast("timestamp"))), buckets)
 
-def stream_answers(drafts: DataFrame, key: list[str], ts: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Each idempotency key once, even when drafts are sent again within the watermark."""
-    once = drafts.withWatermark(ts, "10 minutes").dropDuplicatesWithinWatermark(key)
-    return (once.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(_sink(out)).start())
+    return drafts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def stream_states(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Newest state per file of each micro-batch; ``read_states`` merges the batches."""
+def stream_states(changes: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Newest state per file, merged with what is stored."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c not in ("run_id", "file_id", "seq")]
-        newest = batch.groupBy("run_id", "file_id").agg(F.max(F.struct("seq", *rest)).alias("s")).select("run_id", "file_id", "s.*")
-        _sink(out)(newest, batch_id)
+        rest = [c for c in batch.columns if c not in ("run_id", "file_id")]
+        _merge(batch, out, ["run_id", "file_id"], F.struct("seq", *[c for c in rest if c != "seq"]), buckets)
 
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def read_states(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out).drop("batch_id")
-    rest = [c for c in rows.columns if c not in ("run_id", "file_id", "seq")]
-    return rows.groupBy("run_id", "file_id").agg(F.max(F.struct("seq", *rest)).alias("s")).select("run_id", "file_id", "s.*")
+    return spark.read.parquet(out).drop("bucket")
 
 
 def stream_coverage(spark: SparkSession, out: str, runs: DataFrame) -> DataFrame:
@@ -69,6 +87,14 @@ def stream_coverage(spark: SparkSession, out: str, runs: DataFrame) -> DataFrame
     return coverage.coverage_manifest(read_states(spark, out), runs)
 
 
+def stream_chunks(texts: DataFrame, keys: list[str], out: str, checkpoint: str, text: str = "text") -> StreamingQuery:
+    """Addressed blocks of the texts of a stream."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _sink(out)(chunk_text(batch, keys, text), batch_id)
+
+    return texts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def stream_blocks(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.txt") -> StreamingQuery:
     """New text files of a folder to addressed blocks, each file once."""
     incoming = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import blocks, coverage, extract, hierarchy, search, tables, verify
+from factloom.operators import blocks, coverage, extract, hierarchy, search, tables, tagging, verify
 
 
 def _first_fit(files, max_bytes, cap):
@@ -68,13 +68,13 @@ def test_chunks_match_model_and_spans(spark):
         blocks.chunk_text(df, ["d"], limit=100)
 
 
-@pytest.mark.parametrize("max_sent", [4096, 7])
-def test_vector_search_is_exact(spark, max_sent):
+@pytest.mark.parametrize("blocks", [{}, {"vector_blocks": 3, "query_blocks": 4}])
+def test_vector_search_is_exact(spark, blocks):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8)).astype("float32")
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     q = df.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    got = {(r.query_id, r.rank): r.vec_id for r in search.vector_search(df, q, 4, dims=8, max_sent=max_sent).collect()}
+    got = {(r.query_id, r.rank): r.vec_id for r in search.vector_search(df, q, 4, dims=8, **blocks).collect()}
     unit = v.astype("float64") / np.linalg.norm(v.astype("float64"), axis=1, keepdims=True)
     for i in range(20):
         best = np.argsort(-(unit @ unit[i]), kind="stable")[:4]
@@ -114,6 +114,42 @@ def test_hierarchy_ends_on_cycles_and_limits(spark):
     assert res.count() == 2 and [g.reason for g in gaps.collect()] == ["resource_limit"]
 
 
+def test_hierarchy_limit_met_exactly_on_a_level(spark):
+    edges = spark.createDataFrame([("w", "a", "A", True, False), ("w", "b", "B", False, False), ("a", "c", "C", False, False)],
+                                  "parent_id string, id string, name string, is_folder boolean, trashed boolean")
+    roots = spark.createDataFrame([("w", "W")], "id string, name string")
+    for limit, found, reasons in ((1, 1, ["resource_limit"]), (2, 2, ["resource_limit"]), (3, 3, []), (4, 3, [])):
+        res, gaps = hierarchy.expand_hierarchy(edges, roots, max_resources=limit)
+        assert (res.count(), [g.reason for g in gaps.collect()]) == (found, reasons)
+
+
+def test_one_label_is_found_like_many_in_every_inflection(spark):
+    said = "Sky: blue\nFly = green\nowner_id: A-17\nBox is red\nA very long label of far more than eight words in one single row: " + "x" * 300
+    b = spark.createDataFrame([(1, 0, 1, said)], "file_id int, block_ord int, line_start int, text string")
+    names = ["skies", "flies", "owner_id", "boxes", "very long label of far more than eight words in one single row"]
+    targets = spark.createDataFrame(list(enumerate(names)), "target_id int, target string")
+    many = {r.target_id: r.raw for r in extract.extract_many(b, ["file_id", "block_ord"], targets).collect()}
+    one = {i: r.raw for i, n in enumerate(names) for r in extract.extract_labeled(b, ["file_id", "block_ord"], n).collect()}
+    assert many == one == {0: "blue", 1: "green", 2: "A-17", 3: "red", 4: "x" * 300}
+
+
+def test_questions_are_tagged_by_their_words(spark):
+    want = {"List all orders where price is above 5": ("filter,list", "structured", True), "How many rows per region, sorted by count?": ("aggregate,group,order", "structured", True),
+            "Compare revision 1 and revision 2": ("compare", "mixed", False), "Do all records have an owner?": ("completeness,list", "structured", True),
+            "Reconcile orders against invoices": ("join", "mixed", True), "Summarize the table": ("summary", "structured", True),
+            "Summarize the story": ("summary", "direct", False), "List each name": ("list", "exhaustive", True), "What is the fee?": ("lookup", "direct", False), "": ("lookup", "direct", False)}
+    df = spark.createDataFrame([(q,) for q in want] + [(None,)], "q string")
+    got = {r.q: (",".join(r.intents), r.mode, r.needs_complete_data) for r in tagging.tag_questions(df, "q").collect()}
+    assert got == {**want, None: ("lookup", "direct", False)}
+
+
+def test_authority_looks_at_denials_near_by(spark):
+    df = spark.createDataFrame([("Approved by the board: X", 4), ("This was not, as some say, approved: X", -6), ("No rain. " + "word " * 9 + "signed X", 4),
+                                ("draft X", -4), ("Revision id 7, X", 2), ("pending change request X", -6), ("plain X", 0)], "t string, s int")
+    for r in df.select("t", "s", verify.authority_score(F.col("t"), F.lit("X")).alias("got")).collect():
+        assert r.got == r.s, r.t
+
+
 def test_one_value_per_label_form(spark):
     said = ("Project owner: Ann Lee; Fee = $5.00\nThe source lists renewal date — May 1, 2024\nStatus is open. Owner was Bo\n"
             "| Owner | Cy |\n2024-01-02 - Review date\nBudget of 7 EUR\nLead\n\nDee")

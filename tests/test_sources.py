@@ -76,10 +76,27 @@ def test_answers_are_written_once(spark, tmp_path):
 
 def test_blocks_are_replaced_by_bucket(spark, tmp_path):
     path = str(tmp_path / "blocks")
-    df = spark.createDataFrame([("r", 0, "old"), ("r", 1, "kept")], "run_id string, bucket int, text string")
+    df = spark.createDataFrame([("r", 0, "f", "old"), ("r", 0, "f", "gone"), ("r", 0, "g", "beside"), ("r", 1, "h", "kept")], "run_id string, bucket int, file_id string, text string")
     store.write_blocks(df, path)
-    store.write_blocks(df.where("bucket = 0").withColumn("text", F.lit("new")), path)
-    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["kept", "new"]
+    store.write_blocks(df.where("text = 'old'").withColumn("text", F.lit("new")), path)
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["beside", "kept", "new"]
+
+
+def test_answers_stream_keeps_the_first_for_good(spark, tmp_path):
+    folder, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    schema = "k string, said string, sent timestamp"
+
+    def send(name, rows):
+        spark.createDataFrame(rows, "k string, said string, sent string").selectExpr("k", "said", "CAST(sent AS timestamp) AS sent").coalesce(1).write.parquet(str(folder / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(folder))
+        jobs.stream_answers(stream, ["k"], "sent", out, ckpt, buckets=2).awaitTermination()
+
+    folder.mkdir()
+    send("one", [("a", "late twin", "2024-01-01 10:00:05"), ("a", "first", "2024-01-01 10:00:00"), ("b", "only", "2024-01-05 00:00:00")])
+    send("two", [("a", "hours later", "2024-01-01 18:00:00"), ("c", "behind all others", "2020-01-01 00:00:00")])
+    send("three", [("c", "again", "2019-01-01 00:00:00"), ("b", "again", "2024-01-05 00:00:00")])
+    assert {(r.k, r.said) for r in spark.read.parquet(out).collect()} == {("a", "first"), ("b", "only"), ("c", "behind all others")}
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_new_files_become_blocks_once(spark, tmp_path):
