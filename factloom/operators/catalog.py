@@ -84,6 +84,16 @@ def compatible_tables(headers: DataFrame) -> DataFrame:
     return per.join(sizes, "header_hash")
 
 
+def tables_to_union(scored: DataFrame, headers: DataFrame, request: list[str], slack: int = 1) -> DataFrame:
+    """For each request the table with the highest score (of equals the one with the smallest id) and every other whose score is at most ``slack`` lower
+    and whose ordered header keys are the same: ``request, table_id, score``."""
+    j = scored.join(compatible_tables(headers).select("table_id", "header_hash"), "table_id")
+    tops = j.groupBy(*request).agg(F.max("score").alias("_top"))
+    lead = j.join(tops, request).where("score = _top").groupBy(*request, "_top").agg(F.min_by("header_hash", "table_id").alias("_hash"))
+    near = j.join(lead, request).where((F.col("header_hash") == F.col("_hash")) & (F.col("score") >= F.col("_top") - slack))
+    return near.select(*request, "table_id", "score")
+
+
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """Union by position of tables whose normalised headers agree in order; others are refused."""
     first = [" ".join(c.replace("_", " ").casefold().split()) for c in tables[0].columns]

@@ -63,8 +63,8 @@ def top_k_per(df: DataFrame, partition: list[str], k: int, *order: Column, name:
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def top_k_per_source(df: DataFrame, query: list[str], source: str, rank: Column, per: int = 3,
-                     total: int = 6) -> DataFrame:
+def top_k_per_source(df: DataFrame, query: list[str], source: str, rank: Column, per: int,
+                     total: int) -> DataFrame:
     """At most ``per`` rows of a source and ``total`` rows of a query, best ranks first."""
     capped = top_k_per(df, [*query, source], per, rank, name="_in_source")
     return top_k_per(capped, query, total, rank, name="position").drop("_in_source")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import vocab
-from factloom.functions.text import let, norm_key
+from factloom.functions.text import covered, let, norm_key, search_words, stop
 from factloom.functions.typing import NUM, cell_as, compare_typed, condition, is_null_cell, number_cell, sure_kind, typed_cell
 
 Predicate = tuple  # (column, op) | (column, op, literal) | (column, op, F.col(other))
@@ -292,15 +292,22 @@ def row_label(columns: list[str], ordinal: Column) -> Column:
     return F.coalesce(*[pick(c) for c in columns], F.concat(F.lit("Row "), ordinal.cast("string")))
 
 
-def lookup_cell(df: DataFrame, request_keys: list[str], column: str) -> DataFrame:
+def lookup_cell(df: DataFrame, request_keys: list[str], column: str, asked: str | None = None, said: str | None = None) -> DataFrame:
     """One cell per request, only where exactly one row answers it; otherwise the request yields nothing.
 
+    With ``asked`` (the request in words) and ``said`` (what the row and its source say), the row must also hold at least half of the request's
+    content words, generic ones (``vocab.REQUEST_NOISE``) left aside.
+
     ``df`` holds candidate rows already joined to their requests. Counting and picking happen in one combine-able
     aggregate, so a request with very many candidate rows costs no more than its partial counts.
     """
-    found = df.groupBy(*request_keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.max(F.col(column)).alias("value"))
-    return found.where((F.col("_rows") == 1) & (typed_cell(F.col("value"))["kind"] != "null")).drop("_rows")
+    about = F.lit(True)
+    if asked is not None and said is not None:
+        wanted = stop(F.array_distinct(search_words(F.coalesce(F.col(asked), F.lit("")))), (*vocab.QUERY_STOP_WORDS, *vocab.REQUEST_NOISE))
+        about = let(wanted, lambda w: 2 * covered(w, search_words(F.coalesce(F.col(said), F.lit("")))) >= F.size(w))
+    found = df.withColumn("_about", about).groupBy(*request_keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.col(column)).alias("value"), F.bool_and("_about").alias("_about"))
+    return found.where((F.col("_rows") == 1) & F.col("_about") & (typed_cell(F.col("value"))["kind"] != "null")).drop("_rows", "_about")
 
 
 STATUS_SCHEMA = T.StructType([

@@ -203,8 +203,36 @@ def publish(verdicts: DataFrame, answers: DataFrame) -> DataFrame:
     return j.select("answer_id", "approved", "suppressed", status.alias("status"))
 
 
-def fallback_passages(evidence: DataFrame, answers: DataFrame, n: int = 6) -> DataFrame:
-    """Up to six safe quotes of an answer without approved claims."""
+def judged_claims(claims: DataFrame, evidence: DataFrame, blocks: DataFrame, retrieved: DataFrame, runs: DataFrame, cited: int = 2) -> DataFrame:
+    """The whole way from draft claims and their evidence to verdicts: every quote is looked up in its block and checked for scope, what is left must
+    contain the claim's values, dates and numbers, and the relation must be borne out by it.
+
+    ``claims``: ``(answer_id, claim_id, relation, claim_text, claim_value)``; ``evidence``: ``(claim_id, evidence_ord, block_id, run_id, quote, value,
+    effective_date, entity, field, scope)``. Adds ``authorized``, ``policy_note``, sorted distinct ``reasons`` (none: approved) and, for approved claims,
+    the first ``cited`` pieces of evidence as ``citations``: ``array<struct<evidence_ord, role, block_id, first_line, last_line>>``.
+    """
+    found = resolve_quotes(evidence, blocks.drop("run_id")).select(*evidence.columns, "file_id", "reason", "first_line", "last_line")
+    scoped = scope_evidence(found, blocks, retrieved, runs)
+    faults = scoped.select("claim_id", F.explode(F.array_compact(F.concat("reasons", F.array("reason")))).alias("fault"))
+    faults = faults.groupBy("claim_id").agg(F.collect_set("fault").alias("faults"))  # as many as there are codes
+    sound = scoped.where(F.col("reason").isNull() & (F.size("reasons") == 0))
+    literal = verify_literals(claims, sound.select("claim_id", "evidence_ord", "quote", "value", "effective_date"))
+    related = authorize_relation(literal, sound).join(faults, "claim_id", "left")
+    none = F.array().cast("array<string>")
+    shown = sound.groupBy("claim_id").agg(F.count(F.lit(1)).alias("shown"))
+    verdicts = related.join(shown, "claim_id", "left").withColumn("reasons", F.array_sort(F.array_distinct(F.concat(
+        F.coalesce("faults", none), F.coalesce("literal_reasons", none),
+        F.when(F.col("shown").isNull() & F.col("faults").isNull(), F.array(F.lit("claim_without_evidence"))).otherwise(none)))))
+    verdicts = verdicts.drop("faults", "literal_reasons", "shown")
+    roles = assign_roles(sound, verdicts.where(F.size("reasons") == 0))
+    order = F.row_number().over(Window.partitionBy("claim_id").orderBy("evidence_ord", "block_id"))
+    first = roles.withColumn("_n", order).where(F.col("_n") <= cited).groupBy("claim_id").agg(F.sort_array(F.collect_list(
+        F.struct("evidence_ord", "role", "block_id", "first_line", "last_line"))).alias("citations"))
+    return verdicts.join(first, "claim_id", "left")
+
+
+def fallback_passages(evidence: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` safe quotes of an answer without approved claims."""
     from factloom.operators.ordering import top_k_per
 
     safe = evidence.where("reason IS NULL").groupBy("answer_id", "block_id", "quote").agg(F.min("evidence_ord").alias("first"))

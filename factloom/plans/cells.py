@@ -262,14 +262,38 @@ def colliding_headers(t):
 
 
 @query("single_cell_lookups", """
-SELECT l_orderkey AS request, min(CAST(l_extendedprice AS STRING)) AS value FROM lineitem
-WHERE l_linenumber = 3 GROUP BY 1 HAVING count(*) = 1""")
+SELECT l_orderkey AS request, min(CAST(l_extendedprice AS STRING)) AS value FROM lineitem GROUP BY 1 HAVING count(*) = 1""")
 def single_cell_lookups(t):
-    found = t.lineitem.where("l_linenumber = 3").selectExpr(
-        "l_orderkey AS request", "CAST(l_extendedprice AS STRING) AS price")
+    found = t.lineitem.selectExpr("l_orderkey AS request", "CAST(l_extendedprice AS STRING) AS price")
     return rel.lookup_cell(found, ["request"], "price")
 
 
+@query("covered_lookups", """
+SELECT l_orderkey AS request, min(CAST(l_extendedprice AS STRING)) AS value FROM lineitem GROUP BY 1 HAVING count(*) = 1 AND l_orderkey % 3 <> 2""")
+def covered_lookups(t):
+    """Every third request asks for more that its row does not hold than it does."""
+    found = t.lineitem.selectExpr(
+        "l_orderkey AS request", "CAST(l_extendedprice AS STRING) AS price", "'Price list of parts ' || CAST(l_partkey AS STRING) || ' ' || l_linestatus AS said",
+        "CASE l_orderkey % 3 WHEN 0 THEN 'What is the price of part ' || CAST(l_partkey AS STRING) || '?' WHEN 1 THEN 'the stated price, document revision' "
+        "ELSE 'price agreed with the second haulage company' END AS asked")
+    return rel.lookup_cell(found, ["request"], "price", "asked", "said")
+
+
+@query("tables_to_union", f"""
+WITH h AS (SELECT DISTINCT table_id, position, header FROM ({select_sql(_TWO, 'part')})),
+k AS (SELECT table_id, string_agg({key_sql('header')}, '|' ORDER BY position, header) AS header_key FROM h GROUP BY 1),
+s AS (SELECT o_custkey % 7 AS request, k.table_id, k.header_key, count(*) % 5 AS score FROM orders JOIN k ON CAST(substr(k.table_id, 7) AS INT) % 11 = o_custkey % 11 GROUP BY ALL),
+b AS (SELECT *, max(score) OVER (PARTITION BY request) AS top FROM s),
+l AS (SELECT request, arg_min(header_key, table_id) AS header_key FROM b WHERE score = top GROUP BY 1)
+SELECT b.request, b.table_id, b.score FROM b JOIN l USING (request, header_key) WHERE b.score >= b.top - 1""")
+def tables_to_union(t):
+    headers = render(t.part, _TWO).distinct()
+    ids = headers.select("table_id").distinct()
+    scored = (t.orders.select("o_custkey").join(ids, F.substring("table_id", 7, 9).cast("int") % 11 == F.col("o_custkey") % 11)
+              .groupBy((F.col("o_custkey") % 7).alias("request"), "table_id").agg((F.count(F.lit(1)) % 5).alias("score")))
+    return catalog.tables_to_union(scored, headers, ["request"])
+
+
 @query("refused_predicate_is_empty", """SELECT CAST(0 AS BIGINT) AS published, count(*) AS orders FROM orders""")
 def refused_predicate_is_empty(t):
     cells = render(t.spread("orders"), PLAIN_ORDER)

@@ -50,14 +50,12 @@ def reconciled_measures(t):
     return rel.gate(out.result, out.status).select("key", "n_left", "n_right", d("sum_left"), d("sum_right"), d("difference"))
 
 
-@query("measures_with_clashing_units", """SELECT 'unsupported' AS status, CAST(0 AS BIGINT) AS published,
-  (SELECT count(*) FROM orders) AS orders""")
+@query("measures_with_clashing_units", """SELECT 'unsupported' AS status, CAST(0 AS BIGINT) AS published""")
 def measures_with_clashing_units(t):
     orders = render(t.spread("orders"), {**PLAIN_ORDER, "total": "CAST(o_totalprice AS STRING) || ' EUR'"})
     out = rec.reconcile_measures(orders, render(t.spread("lineitem"), LINE_CELLS), ("order_id", "order_id"), ("total", "price"))
     return out.status.select("status").withColumn(
-        "published", rel.gate(out.result, out.status).agg(F.count(F.lit(1))).scalar()).withColumn(
-        "orders", t.orders.agg(F.count(F.lit(1))).scalar())
+        "published", rel.gate(out.result, out.status).agg(F.count(F.lit(1))).scalar())
 
 
 @query("all_keys_matched", """
@@ -108,24 +106,23 @@ def inferred_join_key(t):
 
 
 @query("inferred_measures", """
-SELECT 'common' AS how, 'amount' AS left_measure, 'amount' AS right_measure, count(*) AS orders FROM orders
-UNION ALL SELECT 'mentioned', 'total', 'price', count(*) FROM orders""")
+SELECT 'common' AS how, 'amount' AS left_measure, 'amount' AS right_measure UNION ALL SELECT 'mentioned', 'total', 'price'""")
 def inferred_measures(t):
     a = render(t.spread("orders"), {"order_id": PLAIN_ORDER["order_id"], "amount": "CAST(o_totalprice AS STRING)", "flag": "o_orderstatus"})
     b = render(t.spread("lineitem"), {"order_id": LINE_CELLS["order_id"], "amount": "CAST(l_extendedprice AS STRING)", "flag": "l_linestatus"})
     common = rec.infer_measures(a, b, [("order_id", "order_id"), ("amount", "amount"), ("flag", "flag")])
     c, d = _orders(t).drop("row_ord"), render(t.spread("lineitem"), LINE_CELLS).drop("row_ord")
     named = rec.infer_measures(c, d, [("order_id", "order_id")], (["total"], ["price"]))
-    return (common.withColumn("how", F.lit("common")).unionByName(named.withColumn("how", F.lit("mentioned")))
-            .withColumn("orders", t.orders.agg(F.count(F.lit(1))).scalar()))
+    return common.withColumn("how", F.lit("common")).unionByName(named.withColumn("how", F.lit("mentioned")))
 
 
 @query("equivalent_headers", """
-SELECT 'Line numbers' AS l_name, 'line number' AS r_name, count(*) AS lines FROM lineitem
-UNION ALL SELECT 'Order IDs', 'order_id', count(*) FROM lineitem""")
+SELECT substr(a.column_name, 3) AS l_name, upper(substr(b.column_name, 3)) || 's' AS r_name FROM (DESCRIBE customer) a JOIN (DESCRIBE supplier) b
+  ON substr(a.column_name, 3) = substr(b.column_name, 3)""")
 def equivalent_headers(t):
-    pairs = rec.headers_equivalent(["Line numbers", "Order IDs", "Flag"], ["order_id", "line number", "return flag"], t.spark)
-    return pairs.select("l_name", "r_name").withColumn("lines", t.lineitem.agg(F.count(F.lit(1))).scalar())
+    """Headers of two given tables, without their prefixes; those of the other table in capitals and in the plural."""
+    pairs = rec.headers_equivalent([c[2:] for c in t.customer.columns], [c[2:].upper() + "s" for c in t.supplier.columns], t.spark)
+    return pairs.select("l_name", "r_name")
 
 
 @query("duplicated_keys", """

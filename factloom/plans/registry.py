@@ -21,13 +21,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: spread over the cores if its files give fewer tasks than that.
+        """A table for work that is heavy per row, as its files are split; a session that sets ``spark.factloom.spread`` deals it out anew to so many tasks.
 
-        Large tables have many splits and are left as they lie.
+        Only that setting decides. Tables of one row group, as in tests and on one machine, give a single task without it.
         """
         df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        tasks = self.spark.conf.get("spark.factloom.spread", None)
+        return df.repartition(int(tasks)) if tasks else df
 
 
 def query(name: str, sql: str | None = None):

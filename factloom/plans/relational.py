@@ -194,7 +194,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_
 SELECT lang, source, doc_id, CAST(position AS BIGINT) AS position FROM b WHERE position <= 6""")
 def top_documents_per_source(t):
     ranked = t.documents.withColumn("_r", F.struct(-F.col("n_chars"), F.col("doc_id")))
-    return ordering.top_k_per_source(ranked, ["lang"], "source", F.col("_r")).select(
+    return ordering.top_k_per_source(ranked, ["lang"], "source", F.col("_r"), per=3, total=6).select(
         "lang", "source", "doc_id", F.col("position").cast("long").alias("position"))
 
 

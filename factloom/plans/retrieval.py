@@ -143,7 +143,7 @@ z AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC,
 SELECT item_id, doc_id, coverage, CAST(position AS BIGINT) AS position FROM z WHERE position <= 6""")
 def selected_passages(t):
     cand = search.lexical_search(_docs(t), ["doc_id"], _questions(t), "item_id").select("item_id", "doc_id", F.col("rank").alias("position"))
-    out = search.select_passages(cand, _docs(t), _questions(t), "item_id", "doc_id")
+    out = search.select_passages(cand, _docs(t), _questions(t), "item_id", "doc_id", per=3, total=6)
     return out.select("item_id", "doc_id", "coverage", F.col("position").cast("long").alias("position"))
 
 

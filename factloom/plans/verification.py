@@ -112,6 +112,41 @@ def published_answers(t):
     return verify.publish(v, answers)
 
 
+# drafts about documents: a quote from anywhere in the text (every eleventh is made up), a value out of it (every fifth is not), some out of scope
+_SPOT = "1 + doc_id * 7919 % greatest(length(text) - 40, 1)"
+_CUT = f"CASE WHEN doc_id % 11 = 3 THEN 'never written ' || CAST(doc_id AS STRING) ELSE substr(text, {_SPOT}, 40) END"
+_SAID = f"CASE WHEN doc_id % 5 = 0 THEN 'nowhere to be read' WHEN regexp_like({_CUT}, '[0-9$€£]') THEN NULL ELSE substr({_CUT}, 6, 12) END"
+_DRAFTS_SQL = f"""d AS (SELECT doc_id, source, lang, text, {_CUT} AS q, {_SAID.replace("regexp_like", "regexp_matches")} AS v, CASE WHEN doc_id % 13 = 5 THEN 'fr' ELSE lang END AS run, doc_id % 17 = 4 AS unseen FROM documents),
+r AS (SELECT *, list_sort(list_distinct(list_filter([CASE WHEN strpos(text, q) = 0 THEN 'exact_quote_not_found' END,
+    CASE WHEN strpos(text, q) > 0 AND strpos(substr(text, strpos(text, q) + 1), q) > 0 THEN 'ambiguous_exact_quote' END,
+    CASE WHEN run <> lang THEN 'evidence_outside_authorized_run' END, CASE WHEN run = lang AND unseen THEN 'evidence_not_in_retrieval_set' END], lambda x: x IS NOT NULL))) AS bad FROM d),
+c AS (SELECT *, CASE WHEN len(bad) > 0 THEN bad WHEN doc_id % 5 = 0 THEN ['claim_value_not_evidenced'] ELSE [] END AS reasons, strpos(text, q) AS p FROM r)"""
+
+
+def _judged(t):
+    d = t.documents
+    claims = d.selectExpr("source AS answer_id", "doc_id AS claim_id", "'fact' AS relation", "'The text says so' AS claim_text", f"{_SAID} AS claim_value")
+    ev = d.selectExpr("doc_id AS claim_id", "1 AS evidence_ord", "doc_id AS block_id", "CASE WHEN doc_id % 13 = 5 THEN 'fr' ELSE lang END AS run_id", f"{_CUT} AS quote",
+                      "CAST(NULL AS STRING) AS value", "CAST(NULL AS DATE) AS effective_date", "'text' AS entity", "'words' AS field", "lang AS scope")
+    seen = d.where("doc_id % 17 <> 4").selectExpr("lang AS run_id", "doc_id AS block_id")
+    runs = d.select(F.col("lang").alias("run_id")).distinct().withColumn("terminal", F.lit(True))
+    return verify.judged_claims(claims, ev, _doc_blocks(t), seen, runs)
+
+
+@query("judged_claims", f"""WITH {_DRAFTS_SQL} SELECT doc_id AS claim_id, array_to_string(reasons, ',') AS reasons,
+  CAST(CASE WHEN len(reasons) = 0 THEN 5 + length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) ELSE -1 END AS BIGINT) AS cited_line FROM c""")
+def judged_claims(t):
+    line = F.coalesce(F.get("citations", F.lit(0))["first_line"], F.lit(-1)).cast("long")
+    return _judged(t).select("claim_id", F.array_join("reasons", ",").alias("reasons"), line.alias("cited_line"))
+
+
+@query("published_sources", f"""WITH {_DRAFTS_SQL} SELECT source AS answer_id, count_if(len(reasons) = 0) AS approved, count_if(len(reasons) > 0) AS suppressed,
+  CASE WHEN count_if(len(reasons) = 0) > 0 THEN 'evidence_supported' ELSE 'insufficient' END AS status FROM c GROUP BY 1""")
+def published_sources(t):
+    answers = t.documents.select(F.col("source").alias("answer_id")).distinct().withColumns({"has_gaps": F.lit(False), "terminal": F.lit(True)})
+    return verify.publish(_judged(t), answers)
+
+
 @query("fallback_passages", """
 WITH e AS (SELECT conv_id AS answer_id, turn, left(text, 20) AS quote FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 0),
 s AS (SELECT answer_id, quote, min(turn) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first) AS k FROM s)
@@ -120,7 +155,7 @@ def fallback_passages(t):
     ev = t.conversations.selectExpr("conv_id AS answer_id", "'b' AS block_id", "left(text, 20) AS quote", "turn AS evidence_ord",
                                     "CASE WHEN turn % 2 = 1 THEN 'exact_quote_not_found' END AS reason")
     answers = t.conversations.select(F.col("conv_id").alias("answer_id")).distinct().withColumn("approved", F.when(F.col("answer_id") % 3 == 0, 1).otherwise(0))
-    return verify.fallback_passages(ev, answers).select("answer_id", "first", F.sha2("quote", 256).alias("quote_hash"))
+    return verify.fallback_passages(ev, answers, n=6).select("answer_id", "first", F.sha2("quote", 256).alias("quote_hash"))
 
 
 @query("price_conflicts", """

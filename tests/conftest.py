@@ -12,7 +12,7 @@ from factloom.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "8g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+        "spark.driver.memory": "8g", "spark.factloom.spread": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
