@@ -6,6 +6,7 @@ An operator returns an ``Outcome``: the result, the contributing rows, and one s
 
 from __future__ import annotations
 
+import operator
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -15,8 +16,9 @@ from pyspark.sql import types as T
 
 from factloom.functions import vocab
 from factloom.functions.text import covered, let, norm_key, search_words, stop
-from factloom.functions.typing import NUM, cell_as, compare_typed, condition, is_null_cell, number_cell, sure_kind, typed_cell
+from factloom.functions.typing import NUM, PLAIN_DATE, PLAIN_DOLLARS, PLAIN_NUMBER, cell_as, compare_typed, condition, is_null_cell, number_cell, sure_kind, typed_cell
 
+COMPARISONS = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
 Predicate = tuple  # (column, op) | (column, op, literal) | (column, op, F.col(other))
 
 
@@ -46,7 +48,20 @@ def predicate(pred: Predicate) -> Column:
         null = is_null_cell(F.col(pred[0]))
         return {"is_null": null, "not_null": ~null}[pred[1]]
     kind = sure_kind(pred[2])
-    return condition(cell_as(F.col(pred[0]), kind), pred[1], _operand(pred[2]), kind)
+    general = condition(cell_as(F.col(pred[0]), kind), pred[1], _operand(pred[2]), kind)
+    if kind not in ("number", "date"):
+        return general
+    # cells in their plainest form are compared in generated code, without being typed first
+    cell, literal = F.col(pred[0]), _typed_literal(str(pred[2]))
+    if kind == "number" and literal.num is not None:
+        value = F.lit(literal.num).cast(NUM)
+        return (F.when(cell.rlike(PLAIN_NUMBER), F.coalesce(COMPARISONS[pred[1]](cell.try_cast(NUM), value), F.lit(False)))
+                .when(cell.rlike(PLAIN_DOLLARS), F.lit(literal.unit in (None, "USD"))
+                      & F.coalesce(COMPARISONS[pred[1]](F.substring(cell, 2, 40).try_cast(NUM), value), F.lit(False)))
+                .otherwise(general))
+    if kind == "date" and literal.dt is not None:
+        return F.when(cell.rlike(PLAIN_DATE), F.coalesce(COMPARISONS[pred[1]](F.try_to_date(cell, "yyyy-MM-dd"), F.lit(literal.dt)), F.lit(False))).otherwise(general)
+    return general
 
 
 def _cost(pred: Predicate) -> int:
