@@ -247,24 +247,33 @@ KIND_ORDER = ("currency", "percent", "date", "identifier", "number", "status")
 def find_conflicts(values: DataFrame, subject: list[str]) -> DataFrame:
     """Subjects for which different files state different values of one kind, with the first such pair of files.
 
-    Values are reduced to distinct (file, value) first. A pair exists exactly when a subject has two values and two
-    files; the first left side is the smallest row that has a partner, which three grouped counts tell. No pairs
-    are ever listed.
+    Where a subject has two values and two files, the left file is always its first: either the others state two values, or the one they state is not
+    the only one of the first file. So each file's two smallest values are enough, and every file meets the first one only. No pairs are ever listed.
     """
     d = values.select(*subject, "kind", "file_id", "norm").distinct()
     g = [*subject, "kind"]
-    total = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("norm").alias("n_values"), F.count_distinct("file_id").alias("n_files"))
-    total = total.where("n_values > 1 AND n_files > 1")
-    by_file = d.groupBy(*g, "file_id").agg(F.count(F.lit(1)).alias("nf"))
-    by_norm = d.groupBy(*g, "norm").agg(F.count(F.lit(1)).alias("nn"))
-    able = d.join(total, g).join(by_file, [*g, "file_id"]).join(by_norm, [*g, "norm"]).where("n - nf - nn + 1 > 0")
-    left = able.groupBy(*g).agg(F.min(F.struct("file_id", "norm")).alias("left"))
-    right = d.join(left, g).where((F.col("file_id") != F.col("left.file_id")) & (F.col("norm") != F.col("left.norm")))
-    right = right.groupBy(*g).agg(F.min(F.struct("file_id", "norm")).alias("right"))
+    turn = F.row_number().over(Window.partitionBy(*g, "file_id").orderBy("norm"))
+    files = d.withColumn("_turn", turn).where("_turn <= 2").groupBy(*g, "file_id").agg(
+        F.min("norm").alias("one"), F.max(F.when(F.col("_turn") == 2, F.col("norm"))).alias("two"))
+    counts = d.groupBy(*g).agg(F.count_distinct("norm").alias("n_values")).where("n_values > 1")
+    first = files.groupBy(*g).agg(F.count(F.lit(1)).alias("n_files"), F.min(F.struct("file_id", "one", "two")).alias("f")).where("n_files > 1").join(counts, g)
+
+    def other(than: str) -> Column:
+        """A file's smallest value besides that one."""
+        return F.when(F.col("one") != F.col(than), F.col("one")).otherwise(F.col("two"))
+
+    def least(than: str) -> Column:
+        return F.min(F.when(other(than).isNotNull(), F.struct("file_id", other(than).alias("norm"))))
+
+    rest = files.join(first, g).where(F.col("file_id") != F.col("f.file_id")).groupBy(*g, "n_values", "n_files", "f").agg(
+        F.min("one").alias("low"), F.max(F.coalesce("two", "one")).alias("high"), least("f.one").alias("a"), least("f.two").alias("b"))
+    # the first file's smaller value is the left one, unless all the others state just that
+    plain = (F.col("low") != F.col("high")) | (F.col("f.one") != F.col("low"))
+    pair = rest.withColumn("right", F.when(plain, F.col("a")).otherwise(F.col("b")))
     order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
-    return total.join(left, g).join(right, g).select(
-        *g, "n_values", "n_files", order.alias("kind_rank"),
-        F.col("left.file_id").alias("left_file"), F.col("left.norm").alias("left_value"),
+    return pair.select(
+        *g, "n_values", "n_files", order.alias("kind_rank"), F.col("f.file_id").alias("left_file"),
+        F.when(plain, F.col("f.one")).otherwise(F.col("f.two")).alias("left_value"),
         F.col("right.file_id").alias("right_file"), F.col("right.norm").alias("right_value"))
 
 
