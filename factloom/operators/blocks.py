@@ -119,8 +119,10 @@ def locator_label(line_start: Column, quote: Column, page_label: Column, page_in
     return F.when(line_start.isNotNull(), lines).otherwise(page)
 
 
-def bounded_quote(text: Column, start: Column, stop: Column, limit: int = 2000) -> Column:
-    return F.substring(text, start + 1, F.least(stop - start, F.lit(limit)))
+def bounded_quote(text: Column, start: Column, stop: Column, limit: int | None = None) -> Column:
+    """The span of a text, or its first ``limit`` characters if a limit is given."""
+    length = stop - start
+    return F.substring(text, start + 1, length if limit is None else F.least(length, F.lit(limit)))
 
 
 def located(blocks: DataFrame) -> DataFrame:

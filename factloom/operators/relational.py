@@ -12,7 +12,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions import vocab
 from factloom.functions.text import covered, let, norm_key, search_words, stop
@@ -323,9 +322,3 @@ def lookup_cell(df: DataFrame, request_keys: list[str], column: str, asked: str
     found = df.withColumn("_about", about).groupBy(*request_keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(F.col(column)).alias("value"), F.bool_and("_about").alias("_about"))
     return found.where((F.col("_rows") == 1) & F.col("_about") & (typed_cell(F.col("value"))["kind"] != "null")).drop("_rows", "_about")
-
-
-STATUS_SCHEMA = T.StructType([
-    T.StructField("status", T.StringType()), T.StructField("examined", T.LongType()),
-    T.StructField("matched", T.LongType()), T.StructField("malformed", T.LongType()),
-])

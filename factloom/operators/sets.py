@@ -42,14 +42,6 @@ def bags_equal(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
 
 
-def bag_contains(big: Column, small: Column) -> Column:
-    """Every element of ``small`` occurs in ``big`` at least as often."""
-    def count(arr: Column, v: Column) -> Column:
-        return F.size(F.filter(arr, lambda x: x == v))
-
-    return F.forall(F.array_distinct(small), lambda v: count(big, v) >= count(small, v))
-
-
 def multiset_diff(actual: DataFrame, expected: DataFrame, key: list[str], value: str) -> DataFrame:
     """Per key: are the two value bags equal, and does the actual one contain the expected one?
 

@@ -149,10 +149,20 @@ def tiered_admission(t):
 
 
 
-@query("scored_cases", """
+_SCORED = """
 WITH v AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT k AS case_id, k % 3 <> 0 AND k % 5 <> 0 AS accuracy, k % 4 <> 0 AS citations, k % 7 <> 0 AS policy_ok, k % 5 <> 0 AS uncertainty,
-  k % 3 <> 0 AND k % 5 <> 0 AND k % 4 <> 0 AND k % 7 <> 0 AS all_ok FROM v""")
+  k % 3 <> 0 AND k % 5 <> 0 AND k % 4 <> 0 AND k % 7 <> 0 AS all_ok FROM v"""
+
+
+@query("scored_case_means", f"""SELECT round(avg(accuracy::INT), 9) AS accuracy, round(avg(citations::INT), 9) AS citations, round(avg(policy_ok::INT), 9) AS policy_ok,
+  round(avg(uncertainty::INT), 9) AS uncertainty, round(avg(all_ok::INT), 9) AS all_ok FROM ({_SCORED})""")
+def scored_case_means(t):
+    means = cov.score_means(scored_cases(t))
+    return means.select(*[F.round(c, 9).alias(c) for c in means.columns])
+
+
+@query("scored_cases", _SCORED)
 def scored_cases(t):
     want = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list("l_linenumber").alias("values"))
     want = want.withColumn("status", F.lit("evidence_supported")).withColumn("policy", F.lit("v1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import verify
+from factloom.operators import blocks, verify
 from factloom.operators import relational as rel
 from factloom.plans.registry import query
 from factloom.plans.shared import PLAIN_ORDER, render
@@ -147,6 +147,21 @@ def published_sources(t):
     return verify.publish(_judged(t), answers)
 
 
+@query("quote_locators", r"""
+WITH q AS (SELECT doc_id, text, doc_id * 31 % length(text) AS a, doc_id * 31 % length(text) + 20 + doc_id % 300 AS b FROM documents WHERE length(text) > 0)
+SELECT doc_id, substr(text, a + 1, b - a) AS quote, substr(text, a + 1, least(b - a, 100)) AS excerpt,
+  CASE WHEN doc_id % 3 = 0 THEN 'page ' || CASE WHEN doc_id % 2 = 0 THEN 'iv' ELSE CAST(doc_id % 9 + 1 AS STRING) END
+    ELSE 'lines ' || CAST(5 + doc_id AS STRING) || '-' || CAST(5 + doc_id + length(substr(text, a + 1, b - a)) - length(replace(substr(text, a + 1, b - a), chr(10), '')) AS STRING) END AS locator FROM q""")
+def quote_locators(t):
+    """A quote from anywhere in each document, whole and as an excerpt, with the label of its place: lines, or a page where there are none."""
+    q = t.documents.where("length(text) > 0").selectExpr(
+        "doc_id", "text", "CAST(doc_id * 31 % length(text) AS INT) AS a", "CAST(doc_id * 31 % length(text) + 20 + doc_id % 300 AS INT) AS b",
+        "CASE WHEN doc_id % 3 <> 0 THEN 5 + doc_id END AS line", "CASE WHEN doc_id % 2 = 0 THEN 'iv' END AS page", "doc_id % 9 AS page_index")
+    quote = blocks.bounded_quote(F.col("text"), F.col("a"), F.col("b"))
+    return q.select("doc_id", quote.alias("quote"), blocks.bounded_quote(F.col("text"), F.col("a"), F.col("b"), 100).alias("excerpt"),
+                    blocks.locator_label(F.col("line"), quote, F.col("page"), F.col("page_index")).alias("locator"))
+
+
 @query("fallback_passages", """
 WITH e AS (SELECT conv_id AS answer_id, turn, left(text, 20) AS quote FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 0),
 s AS (SELECT answer_id, quote, min(turn) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first) AS k FROM s)
