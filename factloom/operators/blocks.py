@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.literals import regex_spans
@@ -197,14 +197,12 @@ def replace_blocks(stored: DataFrame, fresh: DataFrame, file_keys: list[str]) ->
 
 def attach_vectors(blocks: DataFrame, vectors: DataFrame, config: str) -> DataFrame:
     """Vectors joined to a file's blocks by ordinal, all or nothing per file (the counts must agree)."""
-    nb = blocks.groupBy("file_id").agg(F.count(F.lit(1)).alias("nb"))
-    nv = vectors.groupBy("file_id").agg(F.count(F.lit(1)).alias("nv"), F.count_distinct("block_ord").alias("dv"))
-    whole = nb.join(nv, "file_id").where("nb = nv AND nv = dv").select("file_id")
-    joined = blocks.join(vectors, ["file_id", "block_ord"])
-    matched = joined.groupBy("file_id").agg(F.count(F.lit(1)).alias("nj"))
-    whole = whole.join(matched.join(nb, "file_id").where("nj = nb").select("file_id"), "file_id")
-    return joined.join(whole, "file_id", "left_semi").withColumns({
-        "dims": F.size("embedding"), "embedding_config": F.lit(config)})
+    both = blocks.withColumn("_b", F.lit(True)).join(vectors.withColumn("_v", F.lit(True)), ["file_id", "block_ord"], "full")
+    # every block has its vector and every vector its block, none of them twice
+    alone = F.count(F.lit(1)).over(Window.partitionBy("file_id", "block_ord")) == 1
+    fit = both.withColumn("_fit", F.col("_b").isNotNull() & F.col("_v").isNotNull() & alone)
+    whole = fit.withColumn("_whole", F.bool_and("_fit").over(Window.partitionBy("file_id"))).where("_whole")
+    return whole.drop("_b", "_v", "_fit", "_whole").withColumns({"dims": F.size("embedding"), "embedding_config": F.lit(config)})
 
 
 def artifact_complete(files: DataFrame, blocks: DataFrame) -> DataFrame:
