@@ -27,11 +27,11 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, so a lost executor repeats only what reads it."""
     spark = df.sparkSession
     path = scratch_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -92,15 +92,14 @@ def permuted(numbers: np.ndarray, size: int, key: int = KEY, back: bool = False)
     return out.astype(np.int64)
 
 
-_SEQUENCE = {"part": pa.int32(), "place": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.int32(), "packed": pa.binary()}
+_SEQUENCE = {"part": pa.int32(), "place": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.int32(), "tokens": pa.binary()}
 
 
 def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """Packed sequences: task and place in it, the documents with tokens in it, its tokens without filling, and the compressed tokens."""
+    """Packed sequences: task and place in it, the documents with tokens in it, the number of its tokens without filling, and the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         part, place = TaskContext.get().partitionId(), 0
         rest, owners = np.zeros(0, np.uint16), []  # tokens that wait for a full sequence, and (document, tokens) of each piece of them
 
@@ -118,7 +117,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                         need -= count
                         k += 1
                 full = np.concatenate((piece, np.full(length - len(piece), END, np.uint16))) if len(piece) < length else piece
-                rows.append((part, place, ids, len(piece), squeeze(full.astype("<u2").tobytes())))
+                rows.append((part, place, ids, len(piece), full.astype("<u2").tobytes()))
                 place += 1
                 at += length
             return tokens[at:], runs[k:], rows
@@ -136,7 +135,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         if done:
             yield as_batch(done)
 
-    return mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "part int, place bigint, doc_ids array<bigint>, n_tokens int, packed binary")
+    return mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "part int, place bigint, doc_ids array<bigint>, n_tokens int, tokens binary")
 
 
 def shard_name(shard: int) -> str:
@@ -150,7 +149,7 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
     more where shards would pass ``SHARD`` slots.
     """
     spark = docs.sparkSession
-    rows = written(sequences(docs, path, length), "sequences")
+    rows = written(sequences(docs, path, length), "sequences", "zstd")  # many sequences in a row compress better than each alone
     counts = dict(rows.groupBy("part").count().collect())  # a number for each task
     before, total = {}, 0
     for part in sorted(counts):
@@ -164,6 +163,11 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
     def slot(part: pd.Series, place: pd.Series) -> pd.Series:
         return pd.Series(permuted(part.map(before).to_numpy(np.int64) + place.to_numpy(np.int64), total, key))
 
+    @F.pandas_udf("binary")
+    def packed(tokens: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(level=9).compress
+        return pd.Series([squeeze(t) for t in tokens], dtype=object)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         store.create_dir(base, recursive=True)
@@ -192,7 +196,7 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
             yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "at", "doc_ids", "n_tokens", "crc32"])
         close()
 
-    dealt = (rows.select(slot("part", "place").alias("slot"), "doc_ids", "n_tokens", "packed").withColumn("shard", F.expr(f"slot div {size}"))
+    dealt = (rows.select(slot("part", "place").alias("slot"), "doc_ids", "n_tokens", packed("tokens").alias("packed")).withColumn("shard", F.expr(f"slot div {size}"))
              .select("slot", "shard", "doc_ids", "n_tokens", "packed").repartitionByRange(shards, "shard").sortWithinPartitions("slot"))
     return written(mapped(dealt, write, "slot bigint, shard bigint, at bigint, doc_ids array<bigint>, n_tokens int, crc32 bigint"), "shard-index")
 
