@@ -1,21 +1,22 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Every page is a sequence of tokens: its structural elements by path, and its texts. For each host and path one pass gathers a fingerprint of the
-occurrence vector (on which page how often), combined by exclusive or, so that it needs no row for each page; paths with equal vectors make one
-equivalence class. A class is valid if at least half of the host's pages have it, two at least, and with it the class of each path around its
-members, so classes nest; the valid ones are the host's template. A slot of the template holds furniture if all its pages say the same there, or if most
-of what it holds is links. A second pass drops the template's furniture and what its elements' meaning or names say isn't the article, and keeps the
-other slots.
+Every page is a list of texts, each at the path of the elements around it. A host's pages whose longest text
+(of one container, outside links and named furniture) is the same are one page content and count once, so copies of a page and repeated rows don't look like a
+template, also if a date or a side column differs; where furniture is longer than every article, a host thus has no template and keeps it. A path is a slot
+of the host's template if at least half of its page contents have it, two at least. A slot holds furniture if its container (the path without the paragraph, heading, list item or cell at its end) says the
+same in all contents that have it, or if most of what it holds is links; a heading or sentence that stays the same beside others that change is kept.
+A second pass drops the template's furniture and what its elements' meaning or names say isn't the article, and keeps the other slots.
 
 Inside an article or main element only meaning and names decide, as copies of one article on a host would otherwise look like a template. If a page
 has such an element with text, what stands outside of it goes.
 
-Defined results: null or empty html gives an empty text; a null url is a host of its own; a host with a single page has no template; texts in page order,
+Defined results: null or empty html gives an empty text; a null url is a host of its own; a host with a single page content has no template; texts in page order,
 one block a line.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,68 +31,79 @@ from factloom.llm.shared import bounded_batches, mapped, written
 
 #: Share of linked characters from which a slot counts as a list of links.
 LINKS = 0.6
-#: Entries of a task's table of paths; a fuller one is sent on, to be combined with the others.
-HELD = 50_000
 #: Bytes of all templates up to which they are sent to every task; beyond, pages are joined with theirs by a shuffle.
 SENT = 8 << 20
 
-_STATS = {"host": pa.string(), "path": pa.string(), "vector": pa.int64(), "pages": pa.int64(), "chars": pa.int64(), "linked": pa.int64(),
-          "low": pa.int64(), "high": pa.int64()}
+#: Elements that hold one piece of a text; what stands around them is the container.
+_PIECE = re.compile(r">(?:p|h[1-6]|li|dt|dd|td|th|tr|blockquote|pre|figcaption|caption)(?:\.[^>]*)?$")
+
+_STATS = {"host": pa.string(), "path": pa.string(), "content": pa.int64(), "chars": pa.int64(), "linked": pa.int64(), "said": pa.int64()}
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _container(path: str) -> str:
+    """The path without the list item, paragraph or cell at its end."""
+    while (cut := _PIECE.sub("", path)) != path:
+        path = cut
+    return path
+
+
 def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
-def slot_stats(pages: DataFrame) -> DataFrame:
-    """For each host and path with text outside an article: the vector's fingerprint, the pages that have it, characters, linked ones, and the lowest
-    and highest hash of what a page says there."""
+def _digest(text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
 
-        def send() -> pa.RecordBatch:
-            rows = [(*k, *v) for k, v in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STATS.values(), strict=True)], names=list(_STATS))
+def slots_of(page: str | None) -> tuple[int, dict[str, tuple[int, int, int]]]:
+    """A digest of the page's longest text in one container outside named furniture and links, and for each path with text outside an article: characters,
+    linked ones, and a digest of all that the path's container says."""
+    said: dict[str, list[Block]] = {}
+    around: dict[str, list[Block]] = {}
+    for b in blocks(page):
+        if b.kind != "furniture":
+            around.setdefault(_container(b.path), []).append(b)
+            if b.kind == "open":
+                said.setdefault(b.path, []).append(b)
+    texts = {c: "\n".join(b.text for b in own) for c, own in around.items()}
+    plain = [texts[c] for c, own in around.items() if sum(b.linked for b in own) < LINKS * sum(len(b.text) for b in own)]
+    content = _digest(max(reversed(plain), key=len, default=""))  # of equally long ones the last
+    return content, {p: (sum(len(b.text) for b in own), sum(b.linked for b in own), _digest(texts[_container(p)])) for p, own in said.items()}
 
+
+def slot_stats(pages: DataFrame) -> DataFrame:
+    """For each host and path with text outside an article, each page content counted once: the contents that have it, characters, linked ones, and the
+    lowest and highest digest of what a page says in its container. The empty path stands for all contents of the host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for host, number, page in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
-                said: dict[str, list[Block]] = {"": []}
-                for b in blocks(page):
-                    if b.kind == "open":
-                        said.setdefault(b.path, []).append(b)
-                for path, own in said.items():
-                    text = _signed(xxhash.xxh3_64_intdigest("\n".join(b.text for b in own)))
-                    vector = _signed(xxhash.xxh3_64_intdigest(f"{number}:{len(own)}"))
-                    new = [vector, 1, sum(len(b.text) for b in own), sum(b.linked for b in own), text, text]
-                    old = held.get((host, path))
-                    held[host, path] = new if old is None else [old[0] ^ vector, old[1] + 1, old[2] + new[2], old[3] + new[3], min(old[4], text), max(old[5], text)]
-            if len(held) > HELD:
-                yield send()
-        if held:
-            yield send()
-
-    rows = mapped(pages, run, "host string, path string, vector bigint, pages bigint, chars bigint, linked bigint, low bigint, high bigint")
-    return rows.groupBy("host", "path").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
+            out: set[tuple] = set()
+            for host, page in zip(*(rows.column(k).to_pylist() for k in range(2)), strict=True):
+                content, slots = slots_of(page)
+                out.add((host, "", content, 0, 0, 0))
+                out.update((host, path, content, *own) for path, own in slots.items())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STATS.values(), strict=True)], names=list(_STATS))
+
+    rows = mapped(pages, run, "host string, path string, content bigint, chars bigint, linked bigint, said bigint")
+    once = rows.groupBy("host", "path", "content").agg(
+        F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.min("said").alias("low"), F.max("said").alias("high"))
+    return once.groupBy("host", "path").agg(
+        F.count("*").alias("contents"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, drops``: the paths of the furniture slots of the host's template. At least half of a host's pages have each of them, so there are no
-    more than twice as many as a page has blocks."""
+    """``host, drops``: the paths of the furniture slots of the host's template. At least half of a host's page contents have each of them, so there are
+    no more than twice as many as a page has blocks."""
     stats = written(slot_stats(pages), "slots")
-    hosts = stats.where("path = ''").select("host", F.col("pages").alias("all_pages"))
-    classes = stats.where("path != ''").groupBy("host", "vector").agg(F.max("pages").alias("support"), F.count("*").alias("members"))
-    valid = classes.join(hosts, "host").where((F.col("support") >= 2) & (2 * F.col("support") >= F.col("all_pages"))).select("host", "vector")
+    hosts = stats.where("path = ''").select("host", F.col("contents").alias("all_contents"))
     furniture = (F.col("low") == F.col("high")) | (F.col("linked") >= LINKS * F.col("chars"))
-    slots = stats.where((F.col("path") != "") & furniture).join(valid, ["host", "vector"])
-    return slots.groupBy("host").agg(F.collect_set("path").alias("drops"))
+    slots = stats.where((F.col("path") != "") & (F.col("contents") >= 2) & furniture).join(hosts, "host")
+    return slots.where(2 * F.col("contents") >= F.col("all_contents")).groupBy("host").agg(F.collect_set("path").alias("drops"))
 
 
 def main_text(page: str | None, drops: set[str]) -> str:
@@ -101,10 +113,10 @@ def main_text(page: str | None, drops: set[str]) -> str:
     return "\n".join(b.text for b in inside or [b for b in found if b.path not in drops])
 
 
-def extracted(pages: DataFrame, out: str = "main_text", html: str = "html", url: str = "url", page: str = "page_id") -> DataFrame:
+def extracted(pages: DataFrame, out: str = "main_text", html: str = "html", url: str = "url") -> DataFrame:
     """All rows and columns, and the page's main text as ``out``."""
     host = host_of(F.col(url))
-    found = written(templates(pages.select(host.alias("host"), F.col(page).cast("string").alias("page"), F.col(html).alias("html"))), "templates")
+    found = written(templates(pages.select(host.alias("host"), F.col(html).alias("html"))), "templates")
     size = found.agg(F.sum(F.length(F.concat_ws("", "drops")))).first()[0] or 0
     found = found.select(F.col("host").alias("__host"), F.col("drops").alias("__drops"))
     found = F.broadcast(found) if size <= SENT else found

@@ -278,6 +278,30 @@ def test_templates_find_furniture_without_names(spark):
     assert pagetext.extracted(pages.limit(0)).count() == 0
 
 
+def page_texts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {(r["page_id"], r["main_text"]) for r in pagetext.extracted(pages).collect()}
+
+
+def test_copied_pages_and_repeated_rows_keep_their_text(spark):
+    def page(k, banner="Welcome to all"):
+        return f"<body><nav><a>at {k}</a></nav><div class=t1>{banner}</div><div class=t3><p>Story {k} begins</p><p>and ends {k}</p></div></body>"
+
+    whole = "Welcome to all\nStory 1 begins\nand ends 1"
+    copies = [(1, "http://a.com/1", page(1)), (2, "http://a.com/2", page(1).replace("at 1", "at 2"))]
+    repeated = [(3, "http://b.com/1", page(1))] * 2
+    assert page_texts(spark, copies + repeated) == {(k, whole) for k in (1, 2, 3)}
+    dated = [(k, f"http://d.com/{k}", page(1, f"May {k}")) for k in (5, 6)]
+    assert page_texts(spark, dated) == {(k, f"May {k}\nStory 1 begins\nand ends 1") for k in (5, 6)}
+    doubled = [(k, f"http://c.com/{k}", page(k)) for k in range(4) for _ in range(2)]
+    assert page_texts(spark, doubled) == {(k, f"Story {k} begins\nand ends {k}") for k in range(4)}
+
+
+def test_headings_that_half_of_the_pages_share_are_kept(spark):
+    rows = [(k, f"http://a.com/{k}", f"<div class=t1>Hello</div><div class=t3>{'<h2>Background</h2>' if k % 2 else ''}<p>Story {k}</p></div>") for k in range(6)]
+    assert page_texts(spark, rows) == {(k, "Background\n" * (k % 2) + f"Story {k}") for k in range(6)}
+
+
 def test_pages_query_equals_plain_article(spark):
     import html
 
