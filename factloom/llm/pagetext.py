@@ -7,8 +7,11 @@ of the host's template if at least half of its page contents have it, two at lea
 same in all contents that have it, or if most of what it holds is links; a heading or sentence that stays the same beside others that change is kept.
 A second pass drops the template's furniture and what its elements' meaning or names say isn't the article, and keeps the other slots.
 
-Inside an article or main element only meaning and names decide, as copies of one article on a host would otherwise look like a template. If a page
-has such an element with text, what stands outside of it goes.
+The slots decide on every page, inside article and main elements too: a teaser in an article element that stays the same while the pages' longest texts
+differ goes. If such an element with text is left, what stands outside of it goes.
+
+Tokens are the paths of texts, not single tags and words, and the vector of a path on the pages isn't compared with others: equivalence classes, their
+order and their nesting are not built, and each path's own number of contents decides.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; a host with a single page content has no template; texts in page order,
 one block a line.
@@ -60,15 +63,13 @@ def _digest(text: str) -> int:
 
 
 def slots_of(page: str | None) -> tuple[int, dict[str, tuple[int, int, int]]]:
-    """A digest of the page's longest text in one container outside named furniture and links, and for each path with text outside an article: characters,
-    linked ones, and a digest of all that the path's container says."""
+    """A digest of the page's longest text in one container outside named furniture and links, and for each path with text: characters, linked ones, and a digest of all that the path's container says."""
     said: dict[str, list[Block]] = {}
     around: dict[str, list[Block]] = {}
     for b in blocks(page):
         if b.kind != "furniture":
             around.setdefault(_container(b.path), []).append(b)
-            if b.kind == "open":
-                said.setdefault(b.path, []).append(b)
+            said.setdefault(b.path, []).append(b)
     texts = {c: "\n".join(b.text for b in own) for c, own in around.items()}
     plain = [texts[c] for c, own in around.items() if sum(b.linked for b in own) < LINKS * sum(len(b.text) for b in own)]
     content = _digest(max(reversed(plain), key=len, default=""))  # of equally long ones the last
@@ -76,7 +77,7 @@ def slots_of(page: str | None) -> tuple[int, dict[str, tuple[int, int, int]]]:
 
 
 def slot_stats(pages: DataFrame) -> DataFrame:
-    """For each host and path with text outside an article, each page content counted once: the contents that have it, characters, linked ones, and the
+    """For each host and path with text, each page content counted once: the contents that have it, characters, linked ones, and the
     lowest and highest digest of what a page says in its container. The empty path stands for all contents of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +109,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, drops: set[str]) -> str:
     """The page's article, given the furniture slots of its host."""
-    found = [b for b in blocks(page) if b.kind != "furniture"]
-    inside = [b for b in found if b.kind == "main"]
-    return "\n".join(b.text for b in inside or [b for b in found if b.path not in drops])
+    found = [b for b in blocks(page) if b.kind != "furniture" and b.path not in drops]
+    return "\n".join(b.text for b in [b for b in found if b.kind == "main"] or found)
 
 
 def extracted(pages: DataFrame, out: str = "main_text", html: str = "html", url: str = "url") -> DataFrame:

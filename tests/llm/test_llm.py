@@ -297,6 +297,14 @@ def test_copied_pages_and_repeated_rows_keep_their_text(spark):
     assert page_texts(spark, doubled) == {(k, f"Story {k} begins\nand ends {k}") for k in range(4)}
 
 
+def test_teaser_articles_are_furniture(spark):
+    teaser = "<article class=card><h2>Read this</h2><p>It is new</p></article>"
+    rows = [(k, f"http://a.com/{k}", f"<div class=story><p>Story {k} begins here and goes on</p></div>{teaser}") for k in range(4)]
+    assert page_texts(spark, rows) == {(k, f"Story {k} begins here and goes on") for k in range(4)}
+    copies = [(k, f"http://b.com/{k}", f"<article><p>One story on two pages</p></article><div class=x>May {k}</div>") for k in range(2)]
+    assert page_texts(spark, copies) == {(k, "One story on two pages") for k in range(2)}
+
+
 def test_headings_that_half_of_the_pages_share_are_kept(spark):
     rows = [(k, f"http://a.com/{k}", f"<div class=t1>Hello</div><div class=t3>{'<h2>Background</h2>' if k % 2 else ''}<p>Story {k}</p></div>") for k in range(6)]
     assert page_texts(spark, rows) == {(k, "Background\n" * (k % 2) + f"Story {k}") for k in range(6)}
