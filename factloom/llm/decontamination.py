@@ -1,14 +1,16 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A seed is a fixed mask over ``SPAN`` consecutive tokens; only the positions marked 1 are hashed, so a seed still hits where tokens at the other
-positions were replaced. All windows of test items and of training texts are hashed under every mask and joined. Around each hit the tokens of
-both sides are compared in one window of ``WINDOW`` tokens (the whole item, if it is shorter), which confirms it if ``SIMILAR`` of them are equal.
+positions were replaced. All windows of test items and of training texts are hashed under every mask and joined. From each hit the run of aligned tokens
+is extended to both sides while that raises its score (equal tokens less ``SIMILAR`` of its length), by ``REACH`` tokens at most; a run of at least ``SPAN``
+tokens of which ``SIMILAR`` are equal confirms the hit, so that a part of an item is found as well. Items of ``WHOLE`` to ``SPAN`` - 1 tokens are
+hashed whole, against all training windows of their length.
 
 A Bloom filter over the item hashes, whose size the number of item hashes fixes and ``MOST_BITS`` bounds, keeps training windows that can't hit
 out of the join; it never drops one that can. Training texts themselves are not shuffled: a window that may hit carries its neighbourhood as
 32-bit token hashes.
 
-Defined results: null or empty texts and items match nothing; items shorter than ``SPAN`` tokens are no evidence and match nothing; equal items
+Defined results: null or empty texts and items match nothing; items shorter than ``WHOLE`` tokens are no evidence and match nothing; equal items
 each match; rows that share a ``doc_id`` count as one document; a null ``doc_id`` is a value of its own.
 """
 
@@ -23,8 +25,11 @@ from factloom.llm.registry import query, table
 #: Fixed masks of eight compared positions among twelve.
 MASKS = ("111010011011", "110110101101", "101101110011")
 SPAN = 12
-WINDOW = 30
+#: Tokens by which a hit is extended to each side.
+REACH = 18
 SIMILAR = 0.8
+#: Tokens of an item from which it is searched for whole.
+WHOLE = 3
 MOST_BITS = 1 << 22
 
 
@@ -41,10 +46,20 @@ def seeds(toks: Column, mask: str, number: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(number), *[F.get(toks, i + k) for k in on]))
 
 
-def all_seeds(toks: Column) -> Column:
-    """(position, hash) of every window under every mask."""
-    lists = [F.transform(seeds(toks, m, n), lambda h, i: F.struct(i.alias("at"), h.alias("seed"))) for n, m in enumerate(MASKS)]
-    return F.when(F.size(toks) >= SPAN, F.concat(*lists)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
+def whole_windows(toks: Column, length: int) -> Column:
+    """Hash of every window of ``length`` tokens, by position from 0."""
+    starts = F.when(F.size(toks) >= length, F.sequence(F.lit(0), F.size(toks) - length)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(-length), *[F.get(toks, i + k) for k in range(length)]))
+
+
+def all_seeds(toks: Column, lengths: list[int] | None = None) -> Column:
+    """(position, hash) of every window under every mask, and of the windows of ``lengths`` tokens."""
+    def placed(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("seed")))
+
+    none = F.array().cast("array<struct<at:int,seed:bigint>>")
+    masked = F.when(F.size(toks) >= SPAN, F.concat(*[placed(seeds(toks, m, n)) for n, m in enumerate(MASKS)])).otherwise(none)
+    return F.concat(masked, *[placed(whole_windows(toks, n)) for n in lengths]) if lengths else masked
 
 
 def _filter_of(index: DataFrame) -> tuple[list[int], int]:
@@ -66,21 +81,48 @@ def _probes(seed: Column, bits: int) -> list[Column]:
     return [seed.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(seed, 34).bitwiseAND(F.lit(bits - 1))]
 
 
-def item_index(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """One row for each seed of each item: the seed, its item and position, and the window of item tokens that a hit there compares."""
-    toks = items.select(F.col(item).alias("item_id"), tokens(F.col(text)).alias("toks")).where(F.size("toks") >= SPAN)
-    rows = toks.select("item_id", "toks", F.explode(all_seeds(F.col("toks"))).alias("s"))
-    length = F.least(F.size("toks"), F.lit(WINDOW))
-    first = F.least(F.greatest(F.col("s.at") - (WINDOW - SPAN) // 2, F.lit(0)), F.size("toks") - length)
-    return rows.select(F.col("s.seed").alias("seed"), "item_id", (F.col("s.at") - first).alias("before"), first.alias("item_from"),
-                       F.slice("toks", first + 1, length).alias("item_toks")).distinct()
+def item_tokens(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    return items.select(F.col(item).alias("item_id"), tokens(F.col(text)).alias("toks")).where(F.size("toks") >= WHOLE)
+
+
+def short_lengths(toks: DataFrame) -> list[int]:
+    """The lengths of items below ``SPAN`` tokens that occur."""
+    return sorted(r["n"] for r in toks.select(F.size("toks").alias("n")).where(F.col("n") < SPAN).distinct().collect())
+
+
+def item_index(toks: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row for each seed of each item: the seed, its item and length, and the item tokens around it that a hit there compares."""
+    long = toks.where(F.size("toks") >= SPAN).select("item_id", "toks", F.explode(all_seeds(F.col("toks"))).alias("s"), F.lit(SPAN).alias("span"))
+    for n in lengths:
+        here = F.struct(F.lit(0).alias("at"), F.get(whole_windows(F.col("toks"), n), 0).alias("seed"))
+        long = long.union(toks.where(F.size("toks") == n).select("item_id", "toks", here.alias("s"), F.lit(n).alias("span")))
+    first = F.greatest(F.col("s.at") - REACH, F.lit(0))
+    return long.select(F.col("s.seed").alias("seed"), "item_id", "span", (F.col("s.at") - first).alias("before"), first.alias("item_from"),
+                       F.slice("toks", first + 1, F.col("s.at") - first + F.col("span") + REACH).alias("item_toks")).distinct()
+
+
+def _extended(same: Column, start: Column, step: int, similar: float) -> Column:
+    """Length, equal tokens and score of the best extension, over the tokens (1: equal) from ``start`` on; the longest of equally good ones."""
+    part = F.slice(same, start + 1, F.size(same)) if step > 0 else F.reverse(F.slice(same, 1, start))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("eq"), F.lit(0).alias("best_n"), F.lit(0).alias("best_eq"), F.lit(0.0).alias("best"))
+
+    def longer(a: Column, x: Column) -> Column:
+        n, eq = a["n"] + 1, a["eq"] + x
+        score = F.round(eq - similar * n, 6)
+        better = score >= a["best"]
+        return F.struct(n.alias("n"), eq.alias("eq"), F.when(better, n).otherwise(a["best_n"]).alias("best_n"),
+                        F.when(better, eq).otherwise(a["best_eq"]).alias("best_eq"), F.when(better, score).otherwise(a["best"]).alias("best"))
+
+    return F.aggregate(part, zero, longer)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row for each document and item that share a passage: ``doc_id, item_id, similarity`` (share of equal tokens in the best window),
-    ``first_token, last_token`` (of the confirmed windows, in the document) and ``n_hits``."""
-    index = item_index(items, item, item_text)
+    """One row for each document and item that share a passage: ``doc_id, item_id, similarity`` (share of equal tokens in the best run),
+    ``first_token, last_token`` (of the confirmed runs, in the document) and ``n_hits``."""
+    whole = item_tokens(items, item, item_text)
+    lengths = short_lengths(whole)
+    index = item_index(whole, lengths)
     words, bits = _filter_of(index)
     cells = _constant(words, "array<bigint>")
 
@@ -88,21 +130,26 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
         tests = [F.getbit(F.get(cells, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _probes(seed, bits)]
         return tests[0] & tests[1]
 
-    reach = WINDOW - SPAN
     toks = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("toks"))
-    hits = toks.select("doc_id", "toks", F.explode(F.filter(all_seeds(F.col("toks")), lambda s: may_hit(s["seed"]))).alias("s"))
-    start = F.greatest(F.col("s.at") - reach, F.lit(0))
+    hits = toks.select("doc_id", "toks", F.explode(F.filter(all_seeds(F.col("toks"), lengths), lambda s: may_hit(s["seed"]))).alias("s"))
+    start = F.greatest(F.col("s.at") - REACH, F.lit(0))
     near = hits.select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"), start.alias("near_from"),
-                       F.slice("toks", start + 1, F.col("s.at") - start + WINDOW).alias("near"))
+                       F.slice("toks", start + 1, F.col("s.at") - start + SPAN + REACH).alias("near"))
     joined = near.join(index, "seed")
     offset = F.col("at") - F.col("before") - F.col("near_from")
-    same = F.aggregate(F.transform("item_toks", lambda t, i: F.when((F.col("offset") + i >= 0) & (F.get("near", F.col("offset") + i) == t), 1).otherwise(0)),
-                       F.lit(0), lambda a, x: a + x)
-    judged = joined.withColumn("offset", offset).withColumn("similarity", same / F.size("item_toks")).where(F.col("similarity") >= similar)
-    from_token = F.col("near_from") + F.col("offset")
+    same = F.transform("item_toks", lambda t, i: F.when((F.col("offset") + i >= 0) & (F.get("near", F.col("offset") + i) == t), 1).otherwise(0))
+    runs = joined.withColumn("offset", offset).withColumn("same", same)
+    runs = runs.withColumn("left", _extended(F.col("same"), F.col("before"), -1, similar)).withColumn(
+        "right", _extended(F.col("same"), F.col("before") + F.col("span"), 1, similar))
+    core = F.aggregate(F.slice("same", F.col("before") + 1, F.col("span")), F.lit(0), lambda a, x: a + x)
+    length = F.col("left.best_n") + F.col("span") + F.col("right.best_n")
+    equal = F.col("left.best_eq") + core + F.col("right.best_eq")
+    judged = runs.withColumn("length", length).withColumn("similarity", equal / length).where(
+        (F.col("similarity") >= similar) & ((F.col("span") == SPAN) | (core == F.col("span"))))
+    from_token = F.col("near_from") + F.col("offset") + F.col("before") - F.col("left.best_n")
     return judged.groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"), F.greatest(F.min(from_token), F.lit(0)).alias("first_token"),
-        (F.max(from_token + F.size("item_toks")) - 1).alias("last_token"), F.count("*").alias("n_hits"))
+        (F.max(from_token + F.col("length")) - 1).alias("last_token"), F.count("*").alias("n_hits"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

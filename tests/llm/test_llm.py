@@ -134,6 +134,20 @@ def test_decontamination_finds_substituted_passages_and_no_others(spark):
     assert decontamination.contaminated(frame(spark, docs), index.where("item_id > 7")).count() == 0
 
 
+def test_decontamination_finds_parts_of_items_and_short_items(spark):
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(1, filler(48)), (2, filler(7)), (3, filler(11)), (4, filler(60))]
+    long, other = items[0][1].split(), items[3][1].split()
+    changed = [w if k not in (5, 11) else "new" for k, w in enumerate(other[20:36])]
+    docs = [(1, f"{filler(20)} {' '.join(long[:6])}\n{' '.join(long[35:])} {filler(20)}"), (2, f"{filler(9)} {items[1][1].title()}? {filler(9)}"), (3, items[2][1]),
+            (4, f"{filler(30)} {' '.join(changed)} {filler(30)}"), (5, f"{filler(20)} {' '.join(long[10:21])} {filler(20)}"), (6, " ".join(items[1][1].split()[:6]))]
+    found = decontamination.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert {r["doc_id"]: (r["first_token"], r["last_token"]) for r in found if r["doc_id"] < 4} == {1: (26, 38), 2: (9, 15), 3: (0, 10)}
+    assert all(0.8 <= r["similarity"] <= 1 for r in found)
+
+
 # sharding
 
 
