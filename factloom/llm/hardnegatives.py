@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.registry import query, table
-from factloom.llm.shared import batch, mapped, written
+from factloom.llm.shared import in_batches, mapped, written
 
 #: Rows and anchors of a block on average, bytes of a block's vectors, and anchors whose scores are held at once.
 ROWS = 1 << 12
@@ -175,17 +175,6 @@ def windowed(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterat
                 yield anchor_id, w[0], w[2], other, w[1], score
 
 
-def _batched(rows: Iterator[tuple], schema: dict[str, pa.DataType], most: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield batch(schema, **dict(zip(schema, zip(*held, strict=True), strict=True)))
-            held = []
-    if held:
-        yield batch(schema, **dict(zip(schema, zip(*held, strict=True), strict=True)))
-
-
 _MINED = {"anchor_id": pa.int64(), "positive_id": pa.int64(), "rank": pa.int32(), "negative_id": pa.int64(), "positive_score": pa.int64(), "negative_score": pa.int64()}
 MINED = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
 
@@ -201,11 +190,11 @@ def mined(rows: DataFrame, every: int = 100, most: int = MOST, least: int = LEAS
     anchors = kept.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.xxhash64("vec_id", "label", "q").alias("anchor_no"),
                                           F.col("label").alias("label"), F.col("q").alias("q"))  # columns of their own, as both sides come from one table
     near = _sorted(scored_pairs(anchors, kept, tuple(counts), most, least))
-    positives = written(mapped(near, lambda batches: _batched(first_pairs(batches, most), _PAIR), PAIR), "positives")
+    positives = written(mapped(near, lambda batches: in_batches(first_pairs(batches, most), _PAIR), PAIR), "positives")
     # at most `most` to an anchor
     windows = positives.groupBy("anchor_id", "anchor_no").agg(F.collect_list(F.lit(LIMIT) - F.shiftright("packed", 1)).alias("windows"))
     strange = scored_pairs(anchors.join(windows, ["anchor_id", "anchor_no"]), kept, tuple(counts), most, least)
-    return mapped(_sorted(positives.unionByName(strange)), lambda batches: _batched(windowed(batches, most, least), _MINED), MINED)
+    return mapped(_sorted(positives.unionByName(strange)), lambda batches: in_batches(windowed(batches, most, least), _MINED), MINED)
 
 
 _SQL = """

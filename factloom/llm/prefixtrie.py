@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.registry import query, table
-from factloom.llm.shared import batch, mapped, written
+from factloom.llm.shared import batch, in_batches, mapped, written
 
 #: Turns of a segment, rows of a shard (a segment more at most), ids that are joined to one string.
 SEGMENT = 1 << 13
@@ -326,14 +326,13 @@ def ended(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = nodes.where(F.col("kind") == ENDS).select("a", "b", "conv_id")
     ordered = rows.repartitionByRange("a", "b", "conv_id").sortWithinPartitions("a", "b", "conv_id")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """A node wholly inside a partition is hashed at once; one at an edge, or with very many ids, leaves strings of at most ``piece`` ids."""
         edge, key, ids = True, None, []
 
-        def strings(whole: bool) -> pa.RecordBatch:
+        def strings(whole: bool) -> tuple:
             text = ",".join(map(str, ids))
-            return batch(_ENDS, a=[key[0]], b=[key[1]], first=[ids[0]], ids=[None if whole else text],
-                         sha256=[hashlib.sha256(text.encode()).hexdigest() if whole else None])
+            return (*key, ids[0], None, hashlib.sha256(text.encode()).hexdigest()) if whole else (*key, ids[0], text, None)
 
         for a, b, values, new in _runs(batches):
             if new and key is not None:
@@ -351,22 +350,22 @@ def ended(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
             yield strings(False)
 
     kind = "a bigint, b bigint, first bigint, ids string, sha256 string"
-    parts = written(mapped(ordered, joined, kind), "ends")
+    parts = written(mapped(ordered, lambda batches: in_batches(joined(batches), _ENDS), kind), "ends")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         digest, key = None, None
         for a, b, values, new in _runs(batches):
             if new:
                 if key is not None:
-                    yield batch(_ENDS, a=[key[0]], b=[key[1]], first=[0], ids=[None], sha256=[digest.hexdigest()])
+                    yield *key, 0, None, digest.hexdigest()
                 digest, key = hashlib.sha256(), (a, b)
             for k, text in enumerate(values):
                 digest.update(("" if new and k == 0 else ",").encode() + text.encode())
         if key is not None:
-            yield batch(_ENDS, a=[key[0]], b=[key[1]], first=[0], ids=[None], sha256=[digest.hexdigest()])
+            yield *key, 0, None, digest.hexdigest()
 
     edges = parts.where("sha256 IS NULL").repartition("a", "b").sortWithinPartitions("a", "b", "first").select("a", "b", "ids")
-    return parts.where("sha256 IS NOT NULL").union(mapped(edges, hashed, kind)).select("a", "b", F.col("sha256").alias("ends_sha256"))
+    return parts.where("sha256 IS NOT NULL").union(mapped(edges, lambda batches: in_batches(hashed(batches), _ENDS), kind)).select("a", "b", F.col("sha256").alias("ends_sha256"))
 
 
 def trie(conversations: DataFrame, block: int = BLOCK, head: int = HEAD, segment: int = SEGMENT, most: int = SHARD) -> DataFrame:

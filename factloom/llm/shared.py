@@ -50,6 +50,18 @@ def batch(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 
 
+def in_batches(rows: Iterator[tuple], schema: dict[str, pa.DataType], most: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows gathered into batches of at most ``most``."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield batch(schema, **dict(zip(schema, zip(*held, strict=True), strict=True)))
+            held = []
+    if held:
+        yield batch(schema, **dict(zip(schema, zip(*held, strict=True), strict=True)))
+
+
 _TABLE = {"segment": pa.int32(), "cells": pa.binary()}
 
 
