@@ -1,16 +1,18 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A seed is a fixed mask over ``SPAN`` consecutive tokens; only the positions marked 1 are hashed, so a seed still hits where tokens at the other
-positions were replaced. All windows of test items and of training texts are hashed under every mask and joined. From each hit the run of aligned tokens
-is extended to both sides while that raises its score (equal tokens less ``SIMILAR`` of its length), by ``REACH`` tokens at most; a run of at least ``SPAN``
-tokens of which ``SIMILAR`` are equal confirms the hit, so that a part of an item is found as well. Items of ``WHOLE`` to ``SPAN`` - 1 tokens are
-hashed whole, against all training windows of their length.
+A seed is a fixed mask over neighbouring tokens; only the positions marked 1 are hashed, so a seed still hits where tokens at the other positions were
+replaced. All windows of test items and of training texts are hashed under every mask and joined. ``MASKS`` are for items of ``LONG`` tokens and more,
+``SHORT_MASKS`` for shorter ones; a mask that no item needs is left out. Together they hit nearly every item with a fifth of its tokens replaced (tested
+by enumeration). A hit is confirmed if the item lies in the text from its first to its last token with at least ``SIMILAR`` of them equal, or, so that a
+part of an item is found as well, if the run of aligned tokens around the hit is at least ``LONG`` tokens and ``SIMILAR`` equal; the run is extended to both sides while
+that raises its score (equal tokens less ``SIMILAR`` of its length), by ``REACH`` tokens at most.
 
 A Bloom filter over the item hashes, whose size the number of item hashes fixes and ``MOST_BITS`` bounds, keeps training windows that can't hit
-out of the join; it never drops one that can. Training texts themselves are not shuffled: a window that may hit carries its neighbourhood as
+out of the join; it never drops one that can. It also holds the first two compared tokens of the masks, so that most windows cost one look-up. The tokens of a
+text are read in generated code, one window after the other; texts themselves are not shuffled: a window that may hit carries its neighbourhood as
 32-bit token hashes.
 
-Defined results: null or empty texts and items match nothing; items shorter than ``WHOLE`` tokens are no evidence and match nothing; equal items
+Defined results: null or empty texts and items match nothing; items of fewer than ``WHOLE`` tokens are no evidence and match nothing; equal items
 each match; rows that share a ``doc_id`` count as one document; a null ``doc_id`` is a value of its own.
 """
 
@@ -22,83 +24,93 @@ from pyspark.sql import functions as F
 from factloom.llm.fingerprints import _constant
 from factloom.llm.registry import query, table
 
-#: Fixed masks of eight compared positions among twelve.
-MASKS = ("111010011011", "110110101101", "101101110011")
-SPAN = 12
+#: Fixed masks of six compared tokens for long items, of four for items below ``LONG`` tokens, of three for items of three.
+MASKS = ("11101011", "110100111", "111111", "111001101")
+SHORT_MASKS = ("1111", "11011", "11101", "10111")
+TINY_MASKS = ("111",)
+LONG = 12
 #: Tokens by which a hit is extended to each side.
 REACH = 18
 SIMILAR = 0.8
-#: Tokens of an item from which it is searched for whole.
+#: Tokens of an item from which it is searched for.
 WHOLE = 3
 MOST_BITS = 1 << 22
 
 
-def tokens(text: Column) -> Column:
-    """32-bit hashes of the words of a text, without regard to case and punctuation."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.hash(w))
+def masks_of(length: int) -> tuple[str, ...]:
+    """The masks under which an item of this length is hashed."""
+    return MASKS if length >= LONG else SHORT_MASKS if length > 3 else TINY_MASKS
 
 
-def seeds(toks: Column, mask: str, number: int) -> Column:
-    """Hash of every window under one mask, by position from 0; ``toks`` should be a plain column of at least ``SPAN`` tokens."""
-    on = [k for k, c in enumerate(mask) if c == "1"]
-    starts = F.sequence(F.lit(0), F.size(toks) - SPAN)
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(number), *[F.get(toks, i + k) for k in on]))
+def words(text: Column) -> Column:
+    """The words of a text, without regard to case and punctuation; only the first and the last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def whole_windows(toks: Column, length: int) -> Column:
-    """Hash of every window of ``length`` tokens, by position from 0."""
-    starts = F.when(F.size(toks) >= length, F.sequence(F.lit(0), F.size(toks) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(-length), *[F.get(toks, i + k) for k in range(length)]))
+def compared(mask: str) -> list[int]:
+    return [k for k, c in enumerate(mask) if c == "1"]
 
 
-def all_seeds(toks: Column, lengths: list[int] | None = None) -> Column:
-    """(position, hash) of every window under every mask, and of the windows of ``lengths`` tokens."""
-    def placed(hashes: Column) -> Column:
-        return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("seed")))
+def seed(at: Column, mask: str) -> Column:
+    """Hash of the window of ``words`` that begins at ``at`` under a mask."""
+    return F.xxhash64(F.lit(mask), *[F.get("words", at + k) for k in compared(mask)])
 
-    none = F.array().cast("array<struct<at:int,seed:bigint>>")
-    masked = F.when(F.size(toks) >= SPAN, F.concat(*[placed(seeds(toks, m, n)) for n, m in enumerate(MASKS)])).otherwise(none)
-    return F.concat(masked, *[placed(whole_windows(toks, n)) for n in lengths]) if lengths else masked
 
+def start(at: Column, step: int) -> Column:
+    """Hash of the first two compared tokens of a window, which are ``step`` apart."""
+    return F.xxhash64(F.lit(step), F.get("words", at), F.get("words", at + step))
 
-def _filter_of(index: DataFrame) -> tuple[list[int], int]:
-    """Bits of the item hashes, 64 to a number, and the number of bits: about 16 for each hash, rounded up to a power of two."""
-    hashes = index.select("seed").distinct()
+
+def steps(masks: list[str]) -> list[int]:
+    return sorted({compared(m)[1] for m in masks})
+
+
+def windows(rows: DataFrame, masks: list[str], *keep: str) -> DataFrame:
+    """A row for each window and mask: ``at``, ``seed``, ``span``, besides ``words`` and ``keep``."""
+    seeds = F.array(*[F.struct(seed(F.col("at"), m).alias("seed"), F.lit(len(m)).alias("span")) for m in masks])
+    return rows.select("words", "at", *keep, F.explode(seeds).alias("s")).select("words", "at", *keep, "s.seed", "s.span")
+
+
+def _filter_of(hashes: DataFrame) -> tuple[list[int], int]:
+    """Bits of the hashes (column ``h``), 64 to a number, and the number of bits: about 16 for each hash, rounded up to a power of two."""
+    hashes = hashes.distinct()
     count = hashes.count()
     bits = 1 << 10
     while bits < min(16 * count, MOST_BITS):
         bits *= 2
-    both = hashes.select(F.explode(F.array(*_probes(F.col("seed"), bits))).alias("bit"))
+    both = hashes.select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("bit"))
     cells = both.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
-    words = [0] * (bits // 64)
+    words_ = [0] * (bits // 64)
     for cell, value in cells:
-        words[cell] = value
-    return words, bits
+        words_[cell] = value
+    return words_, bits
 
 
-def _probes(seed: Column, bits: int) -> list[Column]:
-    return [seed.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(seed, 34).bitwiseAND(F.lit(bits - 1))]
+def _probes(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 34).bitwiseAND(F.lit(bits - 1))]
 
 
-def item_tokens(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    return items.select(F.col(item).alias("item_id"), tokens(F.col(text)).alias("toks")).where(F.size("toks") >= WHOLE)
+def item_words(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``item_id, words, length`` of the items that are searched for."""
+    return items.select(F.col(item).alias("item_id"), F.filter(words(F.col(text)), lambda w: w != "").alias("words")).withColumn(
+        "length", F.size("words")).where(F.col("length") >= WHOLE)
 
 
-def short_lengths(toks: DataFrame) -> list[int]:
-    """The lengths of items below ``SPAN`` tokens that occur."""
-    return sorted(r["n"] for r in toks.select(F.size("toks").alias("n")).where(F.col("n") < SPAN).distinct().collect())
+def item_seeds(items: DataFrame) -> DataFrame:
+    """One row for each seed of each item: ``seed, span, at`` and the item."""
+    placed = items.select("item_id", "length", "words", F.posexplode("words").alias("at", "word"))
+    parts = []
+    for masks, here in ((MASKS, F.col("length") >= LONG), (SHORT_MASKS, F.col("length").between(4, LONG - 1)), (TINY_MASKS, F.col("length") == 3)):
+        parts.append(windows(placed.where(here), list(masks), "item_id", "length").where(F.col("at") + F.col("span") <= F.col("length")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-def item_index(toks: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row for each seed of each item: the seed, its item and length, and the item tokens around it that a hit there compares."""
-    long = toks.where(F.size("toks") >= SPAN).select("item_id", "toks", F.explode(all_seeds(F.col("toks"))).alias("s"), F.lit(SPAN).alias("span"))
-    for n in lengths:
-        here = F.struct(F.lit(0).alias("at"), F.get(whole_windows(F.col("toks"), n), 0).alias("seed"))
-        long = long.union(toks.where(F.size("toks") == n).select("item_id", "toks", here.alias("s"), F.lit(n).alias("span")))
-    first = F.greatest(F.col("s.at") - REACH, F.lit(0))
-    return long.select(F.col("s.seed").alias("seed"), "item_id", "span", (F.col("s.at") - first).alias("before"), first.alias("item_from"),
-                       F.slice("toks", first + 1, F.col("s.at") - first + F.col("span") + REACH).alias("item_toks")).distinct()
+def item_index(seeds: DataFrame) -> DataFrame:
+    """The seed, its item, and the hashes of the item tokens around it that a hit there compares."""
+    first = F.greatest(F.col("at") - REACH, F.lit(0))
+    near = F.slice("words", first + 1, F.col("at") - first + F.col("span") + REACH)
+    return seeds.select("seed", "item_id", "span", "length", (F.col("at") - first).alias("before"), first.alias("item_from"),
+                        F.transform(near, lambda w: F.hash(w)).alias("item_toks")).distinct()
 
 
 def _extended(same: Column, start: Column, step: int, similar: float) -> Column:
@@ -118,38 +130,47 @@ def _extended(same: Column, start: Column, step: int, similar: float) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row for each document and item that share a passage: ``doc_id, item_id, similarity`` (share of equal tokens in the best run),
+    """One row for each document and item that share a passage: ``doc_id, item_id, similarity`` (share of equal tokens in the item or the best run),
     ``first_token, last_token`` (of the confirmed runs, in the document) and ``n_hits``."""
-    whole = item_tokens(items, item, item_text)
-    lengths = short_lengths(whole)
-    index = item_index(whole, lengths)
-    words, bits = _filter_of(index)
-    cells = _constant(words, "array<bigint>")
-
-    def may_hit(seed: Column) -> Column:
-        tests = [F.getbit(F.get(cells, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _probes(seed, bits)]
+    searched = item_words(items, item, item_text)
+    kinds = searched.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in (F.col("length") >= LONG, F.col("length").between(4, LONG - 1), F.col("length") == 3)]).first()
+    masks = [m for group, used in zip((MASKS, SHORT_MASKS, TINY_MASKS), kinds, strict=True) if used for m in group] or list(MASKS)
+    seeds = item_seeds(searched)
+    starts = seeds.select(F.explode(F.array(*[start(F.col("at"), k) for k in steps(masks)])).alias("h"))
+    cells, bits = _filter_of(seeds.select(F.col("seed").alias("h")).union(starts))
+    table_ = _constant(cells, "array<bigint>")
+
+    def held(h: Column) -> Column:
+        tests = [F.getbit(F.get(table_, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _probes(h, bits)]
         return tests[0] & tests[1]
 
-    toks = docs.select(F.col(doc).alias("doc_id"), tokens(F.col(text)).alias("toks"))
-    hits = toks.select("doc_id", "toks", F.explode(F.filter(all_seeds(F.col("toks"), lengths), lambda s: may_hit(s["seed"]))).alias("s"))
-    start = F.greatest(F.col("s.at") - REACH, F.lit(0))
-    near = hits.select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"), start.alias("near_from"),
-                       F.slice("toks", start + 1, F.col("s.at") - start + SPAN + REACH).alias("near"))
-    joined = near.join(index, "seed")
-    offset = F.col("at") - F.col("before") - F.col("near_from")
+    split = docs.select(F.col(doc).alias("doc_id"), words(F.col(text)).alias("words"))
+    begun = F.lit(False)
+    for k in steps(masks):
+        begun = begun | held(start(F.col("at"), k))
+    placed = split.select("doc_id", "words", F.posexplode("words").alias("at", "word")).where(begun)
+    hits = windows(placed, masks, "doc_id").where(held(F.col("seed")))
+    first = F.greatest(F.col("at") - REACH, F.lit(0))
+    blank = (F.get("words", F.lit(0)) == "").cast("int")  # a text that begins with a sign has an empty word first
+    near = hits.select("doc_id", "seed", (F.col("at") - first).alias("in_near"), (first - blank).alias("near_from"), F.transform(
+        F.slice("words", first + 1, F.col("at") - first + F.col("span") + REACH), lambda w: F.hash(w)).alias("near"))
+    joined = near.join(item_index(seeds), "seed")
     same = F.transform("item_toks", lambda t, i: F.when((F.col("offset") + i >= 0) & (F.get("near", F.col("offset") + i) == t), 1).otherwise(0))
-    runs = joined.withColumn("offset", offset).withColumn("same", same)
+    runs = joined.withColumn("offset", F.col("in_near") - F.col("before")).withColumn("same", same)
     runs = runs.withColumn("left", _extended(F.col("same"), F.col("before"), -1, similar)).withColumn(
         "right", _extended(F.col("same"), F.col("before") + F.col("span"), 1, similar))
-    core = F.aggregate(F.slice("same", F.col("before") + 1, F.col("span")), F.lit(0), lambda a, x: a + x)
+    total = lambda cells: F.aggregate(cells, F.lit(0), lambda a, x: a + x)
     length = F.col("left.best_n") + F.col("span") + F.col("right.best_n")
-    equal = F.col("left.best_eq") + core + F.col("right.best_eq")
-    judged = runs.withColumn("length", length).withColumn("similarity", equal / length).where(
-        (F.col("similarity") >= similar) & ((F.col("span") == SPAN) | (core == F.col("span"))))
-    from_token = F.col("near_from") + F.col("offset") + F.col("before") - F.col("left.best_n")
+    equal = F.col("left.best_eq") + total(F.slice("same", F.col("before") + 1, F.col("span"))) + F.col("right.best_eq")
+    inside = (F.col("item_from") == 0) & (F.size("same") == F.col("length")) & (F.col("offset") >= 0) & (F.col("offset") + F.col("length") <= F.size("near"))
+    run = F.struct((equal / length).alias("similarity"), length.alias("n"), (F.col("before") - F.col("left.best_n")).alias("start"))
+    whole = F.struct((total(F.col("same")) / F.col("length")).alias("similarity"), F.col("length").alias("n"), F.lit(0).alias("start"))
+    found = F.when((length >= LONG) & (equal / length >= similar), run).when(inside & (whole["similarity"] >= similar), whole)
+    judged = runs.withColumn("found", found).where(F.col("found").isNotNull())
+    from_token = F.col("near_from") + F.col("offset") + F.col("found.start")
     return judged.groupBy("doc_id", "item_id").agg(
-        F.max("similarity").alias("similarity"), F.greatest(F.min(from_token), F.lit(0)).alias("first_token"),
-        (F.max(from_token + F.col("length")) - 1).alias("last_token"), F.count("*").alias("n_hits"))
+        F.max("found.similarity").alias("similarity"), F.greatest(F.min(from_token), F.lit(0)).alias("first_token"),
+        (F.max(from_token + F.col("found.n")) - 1).alias("last_token"), F.count("*").alias("n_hits"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
