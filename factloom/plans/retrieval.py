@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import search
+from factloom.operators import search, vectorindex
 from factloom.plans.registry import query
 from factloom.plans.shared import forms_sql, long_words_sql, words_sql
 from factloom.plans.texts import _LINES, _QT
+from factloom.session import scratch_path
 
 
 def _questions(t):
@@ -96,6 +97,42 @@ def vector_search(t):
     return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+def _indexed(t):
+    e = t.embeddings.select("vec_id", "embedding")
+    return e, vectorindex.build_index(e, scratch_path(t.spark, "vector-index"), dims=64, k=5)
+
+
+@query("indexed_vector_search", f"WITH {_COS} SELECT query_id, vec_id, round(sim, 6) AS similarity FROM vr WHERE rank = 1")
+def indexed_vector_search(t):
+    """The nearest vector of every vector through the stored index: itself or an equal one with a smaller id, which any list keeps together."""
+    e, index = _indexed(t)
+    out = vectorindex.index_search(index, e.withColumnRenamed("vec_id", "query_id"), 5)
+    return out.where("rank = 1").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_index_recall", """
+SELECT count(*) AS questions, CAST(5 * count(*) AS BIGINT) AS results, TRUE AS enough, TRUE AS exact, TRUE AS fewer FROM embeddings""")
+def vector_index_recall(t):
+    """The index beside the exact search, over all vectors as questions: is the recall at least 0.9, are all similarities exact, are fewer pairs compared?"""
+    e, index = _indexed(t)
+    asked = e.withColumnRenamed("vec_id", "query_id")
+    found = vectorindex.index_search(index, asked, 5).select("query_id", "vec_id", "similarity")
+    best = search.vector_search(e, asked, 5, dims=64).select("query_id", "vec_id", F.col("similarity").alias("true"))
+    held = index.lists.groupBy("list").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    pairs = e.crossJoin(held).agg((F.sum("n") * index.probes < F.count("*") * F.count("*")).alias("fewer"))  # one row on the right
+    both = best.join(found, ["query_id", "vec_id"], "full_outer")
+    out = both.agg(F.count_distinct("query_id").alias("questions"), F.count("similarity").alias("results"),
+                   (F.count_if(F.col("true").isNotNull() & F.col("similarity").isNotNull()) / F.count("true") >= 0.9).alias("enough"),
+                   F.coalesce(F.bool_and(F.abs(F.col("true") - F.col("similarity")) < 1e-8), F.lit(True)).alias("exact"))
+    return out.crossJoin(pairs)
+
+
+@query("vector_index_lists", "SELECT vec_id, CAST(1 AS BIGINT) AS lists FROM embeddings")
+def vector_index_lists(t):
+    """Every vector is in one inverted list."""
+    return _indexed(t)[1].lists.groupBy("vec_id").agg(F.count_distinct("list").alias("lists"))
+
+
 @query("vector_search_in_blocks", f"WITH {_COS} SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank FROM vr WHERE rank <= 3")
 def vector_search_in_blocks(t):
     """The same with several blocks of questions."""
