@@ -189,17 +189,18 @@ def row_labels(t):
 
 
 @query("mentioned_values", rf"""
-WITH v AS (SELECT item_id AS row_id, 'opening' AS col,
-    array_to_string(({words_sql('text')})[1:3], ' ') AS phrase FROM benchmark
-  UNION ALL SELECT item_id, 'two', array_to_string(({words_sql('text')})[4:5], ' ') FROM benchmark),
+WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark),
+v AS (SELECT item_id * 1000 + p AS row_id, 'phrase' AS col, array_to_string(w[greatest(1, least(p, len(w) - 2)):greatest(1, least(p, len(w) - 2)) + 2], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, len(w), 3)) AS p FROM w)),
 d AS (SELECT doc_id, ' ' || {key_sql('text')} || ' ' AS body FROM documents)
 SELECT d.doc_id, v.row_id, v.col FROM d JOIN v ON contains(d.body, ' ' || v.phrase || ' ') WHERE length(v.phrase) >= 2""")
 def mentioned_values(t):
-    table = t.benchmark.select(
-        F.col("item_id").alias("row_id"),
-        F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ").alias("opening"),
-        F.array_join(F.slice(text.words(F.col("text")), 4, 2), " ").alias("two"))
-    hits = catalog.mention_join(t.spread("documents").select("doc_id", "text"), "doc_id", table, "row_id", ["opening", "two"])
+    """The benchmark texts as a table of short values: all of their words, three to a value."""
+    words = t.benchmark.select("item_id", text.words(F.col("text")).alias("w")).where("size(w) > 0").select(
+        "item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(3))).alias("p"))
+    start = F.greatest(F.lit(1), F.least(F.col("p"), F.size("w") - 2))
+    table = words.select((F.col("item_id") * 1000 + F.col("p")).alias("row_id"), F.array_join(F.slice("w", start, 3), " ").alias("phrase"))
+    hits = catalog.mention_join(t.spread("documents").select("doc_id", "text"), "doc_id", table, "row_id", ["phrase"])
     return hits.select("doc_id", "row_id", "col")
 
 

@@ -96,10 +96,11 @@ def unbalanced_counts(t):
 
 @query("span_violations", """
 SELECT doc_id AS citation_id, 'empty_span' AS violation FROM documents WHERE doc_id % 5 = 0 UNION ALL
-SELECT doc_id, 'span_length' FROM documents WHERE CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 20 END <> length(substr(text, 11, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END)) UNION ALL SELECT doc_id, 'locator' FROM documents WHERE doc_id % 9 = 0""")
+SELECT doc_id, 'span_length' FROM documents WHERE CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 20 END <> length(substr(text, 1 + doc_id * 31 % greatest(length(text), 1), CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END)) UNION ALL SELECT doc_id, 'locator' FROM documents WHERE doc_id % 9 = 0""")
 def span_violations(t):
-    c = t.documents.selectExpr("doc_id AS citation_id", "CASE WHEN doc_id % 5 = 0 THEN 30 ELSE 10 END AS start", "30 AS stop",
-                               "substr(text, 11, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END) AS quote", "CASE WHEN doc_id % 9 <> 0 THEN 3 END AS line_start", "CAST(NULL AS INT) AS page_index")
+    at = "CAST(doc_id * 31 % greatest(length(text), 1) AS INT)"
+    c = t.documents.selectExpr("doc_id AS citation_id", f"{at} + CASE WHEN doc_id % 5 = 0 THEN 20 ELSE 0 END AS start", f"{at} + 20 AS stop",
+                               f"substr(text, {at} + 1, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 20 END) AS quote", "CASE WHEN doc_id % 9 <> 0 THEN 3 END AS line_start", "CAST(NULL AS INT) AS page_index")
     return cov.check_spans(c)
 
 
@@ -176,9 +177,10 @@ def scored_cases(t):
 @query("verified_citations", """
 SELECT doc_id AS citation_id, doc_id % 3 <> 0 AS quote_ok, doc_id % 4 <> 0 AS line_ok FROM documents""")
 def verified_citations(t):
-    c = t.documents.selectExpr("doc_id AS citation_id", "doc_id AS file_id", "5 AS start", "25 AS stop",
-                               "CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE substr(text, 6, 20) END AS quote",
-                               "1 + length(left(text, 5)) - length(replace(left(text, 5), '\\n', '')) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS line_start")
+    at = "CAST(doc_id * 31 % greatest(length(text) - 20, 1) AS INT)"
+    c = t.documents.selectExpr("doc_id AS citation_id", "doc_id AS file_id", f"{at} AS start", f"{at} + 20 AS stop",
+                               f"CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE substr(text, {at} + 1, 20) END AS quote",
+                               f"1 + length(left(text, {at})) - length(replace(left(text, {at}), '\\n', '')) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS line_start")
     return cov.verify_citations(c, t.documents.withColumnRenamed("doc_id", "file_id"))
 
 

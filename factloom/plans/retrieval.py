@@ -44,7 +44,8 @@ def lexical_search(t):
         "item_id", "doc_id", "matches", F.col("rank").cast("long").alias("rank"))
 
 
-_SEQ = "seq AS (SELECT item_id, max(CASE WHEN rk = 1 THEN tok END) AS a, max(CASE WHEN rk = 2 THEN tok END) AS b FROM qt GROUP BY 1)"
+_SEQ = "seq AS (SELECT item_id, rk, tok AS a FROM qt)"
+_PAIRS = "seq AS (SELECT x.item_id, x.rk, x.tok AS a, y.tok AS b FROM qt x JOIN qt y ON y.item_id = x.item_id AND y.rk = x.rk + 1)"
 _OV = lambda a, b: f"len(list_intersect({forms_sql(a)}, {forms_sql(b)})) > 0"
 
 
@@ -60,19 +61,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY labelled DESC,
 SELECT item_id, doc_id, matches, CAST(labelled AS BIGINT) AS labelled, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 20""")
 def label_first_search(t):
     q = _questions(t)
-    seqs = q.select("item_id", F.slice("tokens", 1, 1).alias("sequence"))
+    seqs = q.select("item_id", F.explode("tokens").alias("tok")).select("item_id", F.array("tok").alias("sequence"))
     out = search.lexical_search(_docs(t), ["doc_id"], q, "item_id", k=20, sequences=seqs)
     return out.select("item_id", "doc_id", "matches", F.col("labelled").cast("long").alias("labelled"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("weighted_search", f"""
-WITH {_LEX}, {_SEQ},
+WITH {_LEX}, {_PAIRS},
 pos AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS tok FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)),
 vocab AS (SELECT tok, {forms_sql('tok')} AS f FROM (SELECT DISTINCT tok FROM pos)),
-sa AS (SELECT item_id, v.tok FROM seq JOIN vocab v ON len(list_intersect({forms_sql('a')}, v.f)) > 0),
-sb AS (SELECT item_id, v.tok FROM seq JOIN vocab v ON len(list_intersect({forms_sql('b')}, v.f)) > 0),
+sa AS (SELECT item_id, rk, v.tok FROM seq JOIN vocab v ON len(list_intersect({forms_sql('a')}, v.f)) > 0),
+sb AS (SELECT item_id, rk, v.tok FROM seq JOIN vocab v ON len(list_intersect({forms_sql('b')}, v.f)) > 0),
 ph AS (SELECT DISTINCT sa.item_id, x.doc_id FROM pos x JOIN sa USING (tok) JOIN pos y ON y.doc_id = x.doc_id AND y.p = x.p + 1
-  JOIN sb ON sb.tok = y.tok AND sb.item_id = sa.item_id),
+  JOIN sb ON sb.tok = y.tok AND sb.item_id = sa.item_id AND sb.rk = sa.rk),
 s AS (SELECT item_id, doc_id, coalesce(matches, 0) * 10 + CASE WHEN ph.item_id IS NULL THEN 0 ELSE 25 END AS base FROM lx FULL JOIN ph USING (item_id, doc_id)),
 z AS (SELECT item_id, doc_id, base + CASE WHEN contains(text, '|') THEN 8 ELSE 0 END AS score FROM s JOIN documents USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM z)
@@ -80,8 +81,8 @@ SELECT item_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <=
 def weighted_search(t):
     q = _questions(t)
     d = _docs(t).withColumn("has_table", F.col("text").contains("|"))
-    out = search.weighted_lexical_search(d, ["doc_id"], q, "item_id", q.select("item_id", F.slice("tokens", 1, 2).alias("sequence")),
-                                         "has_table", k=10)
+    pairs = F.transform(F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda second, i: F.array(F.get("tokens", i), second))
+    out = search.weighted_lexical_search(d, ["doc_id"], q, "item_id", q.select("item_id", F.explode(pairs).alias("sequence")), "has_table", k=10)
     return out.select("item_id", "doc_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -222,13 +223,13 @@ def value_anchors(t):
 
 
 @query("label_sequences", f"""
-WITH {_QT}, l AS (SELECT item_id, list(tok ORDER BY rk) AS q FROM qt GROUP BY 1), c AS (SELECT item_id, q[:4] AS q FROM l),
+WITH {_QT}, l AS (SELECT item_id, list(tok ORDER BY rk) AS q FROM qt GROUP BY 1), c AS (SELECT item_id, q FROM l),
 s AS (SELECT item_id, q[i:] AS seq FROM (SELECT item_id, q, unnest(generate_series(1, len(q))) AS i FROM c)
 UNION SELECT item_id, q[i:i + w - 1] FROM (SELECT item_id, q, w, unnest(generate_series(1, len(q) - w + 1)) AS i FROM c, (VALUES (2), (3), (4)) v(w))
-UNION SELECT item_id, list_reverse(q) FROM c WHERE len(q) > 1)
+UNION SELECT item_id, list_reverse(q) FROM c WHERE len(q) BETWEEN 2 AND 4)
 SELECT item_id, array_to_string(seq, ' ') AS sequence FROM s""")
 def label_sequences(t):
-    q = t.benchmark.select("item_id", F.slice(tx.query_tokens(F.col("text")), 1, 4).alias("q"))
+    q = t.benchmark.select("item_id", tx.query_tokens(F.col("text")).alias("q"))
     return q.select("item_id", F.explode(search.assignment_sequences(F.col("q"))).alias("s")).select("item_id", F.array_join("s", " ").alias("sequence"))
 
 

@@ -9,8 +9,10 @@ from factloom.operators import relational as rel
 from factloom.plans.registry import query
 from factloom.plans.shared import PLAIN_ORDER, render
 
-# quotes: a 40-character cut, an absent one, and a single letter that usually repeats
-_QUOTE = "CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN 'no such ' || CAST(doc_id AS STRING) ELSE substr(text, 2, 1) END"
+# quotes: 40 characters from anywhere in the text, an absent one, and a single letter that usually repeats
+_SPOT = "1 + doc_id * 7919 % greatest(length(text) - 40, 1)"
+_INT_SPOT = f"CAST({_SPOT} AS INT)"
+_QUOTE = f"CASE doc_id % 3 WHEN 0 THEN substr(text, {_SPOT}, 40) WHEN 1 THEN 'no such ' || CAST(doc_id AS STRING) ELSE substr(text, {_SPOT}, 1) END"
 
 
 def _doc_blocks(t):
@@ -25,7 +27,7 @@ SELECT doc_id AS block_id, outcome, CAST(CASE WHEN outcome = 'resolved' THEN p -
   CAST(CASE WHEN outcome = 'resolved' THEN 5 + length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) + length(q) - length(replace(q, chr(10), ''))
     - CASE WHEN q LIKE '%' || chr(10) AND length(q) - length(replace(q, chr(10), '')) > 0 THEN 1 ELSE 0 END ELSE -1 END AS BIGINT) AS last_line FROM r""")
 def resolved_quotes(t):
-    ev = t.documents.selectExpr("doc_id AS block_id", f"{_QUOTE} AS quote")
+    ev = t.documents.selectExpr("doc_id AS block_id", f"{_QUOTE.replace(_SPOT, _INT_SPOT)} AS quote")
     r = verify.resolve_quotes(ev, _doc_blocks(t))
     g = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
     return r.select("block_id", F.coalesce("reason", F.lit("resolved")).alias("outcome"), g("start"), g("first_line"), g("last_line"))
@@ -113,7 +115,6 @@ def published_answers(t):
 
 
 # drafts about documents: a quote from anywhere in the text (every eleventh is made up), a value out of it (every fifth is not), some out of scope
-_SPOT = "1 + doc_id * 7919 % greatest(length(text) - 40, 1)"
 _CUT = f"CASE WHEN doc_id % 11 = 3 THEN 'never written ' || CAST(doc_id AS STRING) ELSE substr(text, {_SPOT}, 40) END"
 _SAID = f"CASE WHEN doc_id % 5 = 0 THEN 'nowhere to be read' WHEN regexp_like({_CUT}, '[0-9$€£]') THEN NULL ELSE substr({_CUT}, 6, 12) END"
 _DRAFTS_SQL = f"""d AS (SELECT doc_id, source, lang, text, {_CUT} AS q, {_SAID.replace("regexp_like", "regexp_matches")} AS v, CASE WHEN doc_id % 13 = 5 THEN 'fr' ELSE lang END AS run, doc_id % 17 = 4 AS unseen FROM documents),
@@ -163,11 +164,11 @@ def quote_locators(t):
 
 
 @query("fallback_passages", """
-WITH e AS (SELECT conv_id AS answer_id, turn, left(text, 20) AS quote FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 0),
+WITH e AS (SELECT conv_id AS answer_id, turn, text AS quote FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 0),
 s AS (SELECT answer_id, quote, min(turn) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first) AS k FROM s)
 SELECT answer_id, first, sha256(quote) AS quote_hash FROM r WHERE k <= 6""")
 def fallback_passages(t):
-    ev = t.conversations.selectExpr("conv_id AS answer_id", "'b' AS block_id", "left(text, 20) AS quote", "turn AS evidence_ord",
+    ev = t.conversations.selectExpr("conv_id AS answer_id", "'b' AS block_id", "text AS quote", "turn AS evidence_ord",
                                     "CASE WHEN turn % 2 = 1 THEN 'exact_quote_not_found' END AS reason")
     answers = t.conversations.select(F.col("conv_id").alias("answer_id")).distinct().withColumn("approved", F.when(F.col("answer_id") % 3 == 0, 1).otherwise(0))
     return verify.fallback_passages(ev, answers, n=6).select("answer_id", "first", F.sha2("quote", 256).alias("quote_hash"))
