@@ -20,8 +20,9 @@ NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sid
                   "advertising promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
                   "subscription signup login signin search searchbox share sharing social related recommended recommendations trending comment comments "
                   "commentlist reply replies respond disqus widget widgets pagination pager toolbar skip hidden copyright".split())
-#: Words beside them that tell of a page's arrangement instead.
-ARRANGED = frozenset("with has no without layout".split())
+#: Words that may stand beside them in a name and say no more than that it is a part of a page.
+PARTS = frozenset("area articles bar block box button buttons container content entry form header group inner item items left right links list main module page "
+                  "pages panel post posts primary secondary section site slot title top bottom unit user users wrap wrapper".split())
 #: An element that begins ends an open one of these kinds (up to the nearest container).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
           "thead": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"),
@@ -31,7 +32,7 @@ SCOPES = frozenset("ul ol dl table body article section div main aside nav td th
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?:/?[a-zA-Z])[^>]*\Z", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass(slots=True)
@@ -49,6 +50,7 @@ def _attributes(tag: str) -> dict[str, str]:
 
 
 def _is_furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
+    """By its element, its role, or a class or id of which every word names furniture or a part of a page (``social-impact`` does not)."""
     if name in FURNITURE or (name == "header" and not in_main):
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
@@ -57,10 +59,11 @@ def _is_furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if name in ("body", "html"):
         return False
-    words = {w.lower() for key in ("class", "id") for w in _PARTS.split(attrs.get(key, "")) if w}
-    if words & ARRANGED:
-        return False
-    return bool(words & NAMES) or (not in_main and bool(words & {"header"}))
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _WORDS.split(name) if w}
+        if (words & NAMES and words <= NAMES | PARTS) or (not in_main and "header" in words and words <= PARTS):
+            return True
+    return False
 
 
 def blocks(page: str | None) -> list[Block]:
