@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import search, vectorindex
+from factloom.operators import search, vectorindex, wordindex
 from factloom.plans.registry import query
 from factloom.plans.shared import forms_sql, long_words_sql, words_sql
 from factloom.plans.texts import _LINES, _QT
@@ -44,6 +44,24 @@ def lexical_search(t):
         "item_id", "doc_id", "matches", F.col("rank").cast("long").alias("rank"))
 
 
+@query("indexed_search", f"""
+WITH {_LEX}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, doc_id) AS rank FROM lx)
+SELECT item_id, doc_id, matches, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 32""")
+def indexed_search(t):
+    index = wordindex.build_index(_docs(t), "doc_id", wordindex.text_words(F.col("text")), scratch_path(t.spark, "word-index"))
+    return wordindex.index_search(index, _questions(t), "item_id", "doc_id").select("item_id", "doc_id", "matches", F.col("rank").cast("long").alias("rank"))
+
+
+@query("indexed_coverage", f"""
+WITH {_QT}, qf AS (SELECT item_id, tok, unnest({forms_sql('tok')}) AS form FROM qt),
+dt AS (SELECT doc_id, unnest(list_distinct({long_words_sql('text')})) AS tok FROM documents),
+df AS (SELECT DISTINCT doc_id, unnest({forms_sql('tok')}) AS form FROM dt)
+SELECT doc_id, item_id, count(DISTINCT tok) AS coverage FROM df JOIN qf USING (form) GROUP BY 1, 2""")
+def indexed_coverage(t):
+    index = wordindex.build_index(_docs(t), "doc_id", wordindex.text_forms(F.col("text")), scratch_path(t.spark, "form-index"))
+    return wordindex.index_coverage(index, _questions(t), "item_id", "doc_id")
+
+
 _SEQ = "seq AS (SELECT item_id, rk, tok AS a FROM qt)"
 _PAIRS = "seq AS (SELECT x.item_id, x.rk, x.tok AS a, y.tok AS b FROM qt x JOIN qt y ON y.item_id = x.item_id AND y.rk = x.rk + 1)"
 _OV = lambda a, b: f"len(list_intersect({forms_sql(a)}, {forms_sql(b)})) > 0"
