@@ -7,7 +7,7 @@ sequence's global slot; no list of the order exists anywhere, and both ways are
 
 A shard holds a fixed run of slots as raw little-endian 16-bit tokens after a header, so the place of every slot follows from its number, and a reader can
 start or resume anywhere. Shards are written by the tasks of a range partitioning, under a temporary name first; a task that runs again
-writes the same bytes.
+writes the same bytes. A folder without a scheme lies on the file system that the cluster's paths lie on.
 
 Defined results: a null or empty text is its end token alone; rows that share an id are separate texts; an empty table gives no shard. Packing follows the
 input's splits, so another split of the same rows numbers their sequences anew.
@@ -138,6 +138,13 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "part int, place bigint, doc_ids array<bigint>, n_tokens int, tokens binary")
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority that Spark resolves it to, in the form that Arrow opens."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme, colon, rest = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().partition(":")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + (rest if rest.startswith("//") else f"//{rest}")
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -149,6 +156,7 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
     more where shards would pass ``SHARD`` slots.
     """
     spark = docs.sparkSession
+    folder = located(spark, folder)
     rows = written(sequences(docs, path, length), "sequences", "zstd")  # many sequences in a row compress better than each alone
     counts = dict(rows.groupBy("part").count().collect())  # a number for each task
     before, total = {}, 0
@@ -169,7 +177,7 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
         return pd.Series([squeeze(t) for t in tokens], dtype=object)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         loosen = zstandard.ZstdDecompressor().decompress
         out, current, temporary = None, None, ""
@@ -202,8 +210,8 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
 
 
 def read_slots(folder: str, first: int, count: int, shard_size: int) -> np.ndarray:
-    """Tokens of ``count`` slots from ``first`` on, a row for each; reads nothing else."""
-    store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """Tokens of ``count`` slots from ``first`` on, a row for each; reads nothing else. ``folder`` as ``located`` gives it."""
+    store, base = fs.FileSystem.from_uri(folder)
     parts = []
     while count > 0:
         shard = first // shard_size

@@ -255,6 +255,9 @@ def test_training_order_round_trip(spark, tmp_path, length, shard_size):
             at = end + 1
         assert collections.Counter(texts) == collections.Counter(t or "" for _, t in rows)
         assert {i for r in index for i in r["doc_ids"]} == {i for i, _ in rows}
+    bare = trainingorder.materialised(frame(spark, [(1, "a b c")]), f"{tmp_path}/bare", trainingorder.public_vocabulary(), length=16)
+    assert bare.count() == 1 and trainingorder.located(spark, f"{tmp_path}/bare") == f"file://{tmp_path}/bare"
+    assert trainingorder.read_slots(trainingorder.located(spark, f"{tmp_path}/bare"), 0, 1, 1)[0][-1] == trainingorder.END
     assert trainingorder.materialised(frame(spark, []), f"file://{tmp_path}/none", trainingorder.public_vocabulary()).count() == 0
 
 
