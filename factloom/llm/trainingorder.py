@@ -6,8 +6,8 @@ it works on the next even number of bits, and numbers that leave the range walk
 sequence's global slot; no list of the order exists anywhere, and both ways are arithmetic.
 
 A shard holds a fixed run of slots as raw little-endian 16-bit tokens after a header, so the place of every slot follows from its number, and a reader can
-start or resume anywhere. Shards are written by the tasks of a range partitioning, under a temporary name first; a task that runs again
-writes the same bytes. A folder without a scheme lies on the file system that the cluster's paths lie on.
+start or resume anywhere. The shard of a slot is a division, so sequences are dealt to the tasks by it directly, a run of slots each; a task writes its shard
+under a temporary name first, and writes the same bytes if it runs again. A folder without a scheme lies on the file system that the cluster's paths lie on.
 
 Defined results: a null or empty text is its end token alone; rows that share an id are separate texts; an empty table gives no shard. Packing follows the
 input's splits, so another split of the same rows numbers their sequences anew.
@@ -205,7 +205,7 @@ def materialised(docs: DataFrame, folder: str, path: str, key: int = KEY, length
         close()
 
     dealt = (rows.select(slot("part", "place").alias("slot"), "doc_ids", "n_tokens", packed("tokens").alias("packed")).withColumn("shard", F.expr(f"slot div {size}"))
-             .select("slot", "shard", "doc_ids", "n_tokens", "packed").repartitionByRange(shards, "shard").sortWithinPartitions("slot"))
+             .select("slot", "shard", "doc_ids", "n_tokens", "packed").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot"))
     return written(mapped(dealt, write, "slot bigint, shard bigint, at bigint, doc_ids array<bigint>, n_tokens int, crc32 bigint"), "shard-index")
 
 
