@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import field_id, squash
+from factloom.functions.text import field_id, let, squash
 from factloom.functions.typing import typed_cell
+from factloom.operators.blocks import LINE_BREAK
 
 
 def delimiter(text: Column) -> Column:
@@ -54,6 +55,36 @@ def detect_text_tables(lines: DataFrame, file: str = "file_id") -> DataFrame:
         (F.size("cells") != F.size("head.cells")).alias("malformed"))
 
 
+def text_tables(texts: DataFrame, file: str = "file_id", text: str = "text") -> DataFrame:
+    """The rows of ``detect_text_tables`` straight from whole texts, without a shuffle or a sort.
+
+    The lines of a text are one array; a run begins where the delimiter changes, and the runs are slices between two beginnings, so the work grows with
+    the lines. Only runs that are tables leave their row. Texts that share an id are not one text; a null or empty one has no table.
+    """
+    likely = texts.where(F.col(text).contains("\t") | F.col(text).rlike(r"\|[^\n\r]*\|"))
+    numbered = F.transform(F.split(F.col(text), rf"\r\n|{LINE_BREAK}"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("text"), delimiter(x).alias("delim")))
+    filled = F.filter(numbered, lambda s: s["text"].rlike(r"(?U)\S"))
+
+    def tables_of(lines: Column) -> Column:
+        changes = F.filter(F.transform(lines, lambda s, i: F.when(
+            (i == 0) | ~s["delim"].eqNullSafe(F.get(lines, F.greatest(i - 1, F.lit(0)))["delim"]), i)), lambda i: i.isNotNull())
+        return let(F.concat(changes, F.array(F.size(lines))), lambda at: F.transform(F.filter(
+            F.transform(F.slice(at, 1, F.size(at) - 1), lambda first, j: F.struct(first.alias("first"), (F.get(at, j + 1) - first).alias("n"))),
+            lambda s: F.get(lines, s["first"])["delim"].isNotNull() & (s["n"] > 1)), lambda s: run_of(lines, s["first"], s["n"])))
+
+    def run_of(lines: Column, first: Column, n: Column) -> Column:
+        head, before = F.get(lines, first), F.when(first > 0, F.get(lines, F.greatest(first - 1, F.lit(0))))
+        return F.struct(head["line_no"].alias("table_line"), F.when(before["delim"].isNull(), before["text"]).alias("title"),
+                        split_cells(head["text"], head["delim"]).alias("headers"), F.slice(lines, first + 2, n - 1).alias("rows"))
+
+    runs = likely.select(file, F.explode(let(filled, tables_of)).alias("_run")).select(file, "_run.*")
+    headed = runs.select(file, "table_line", "title", "headers", F.posexplode("rows").alias("_i", "_row"))
+    body = headed.where((F.size("headers") >= 2) & ~F.exists("headers", lambda c: c == "")).select(
+        file, "table_line", "title", "headers", F.col("_row.line_no").alias("line_no"), split_cells(F.col("_row.text"), F.col("_row.delim")).alias("cells"), "_i")
+    malformed = F.size("cells") != F.size("headers")
+    return body.where((F.col("_i") > 0) | malformed | ~is_divider(F.col("cells"))).drop("_i").withColumn("malformed", malformed)
+
+
 def wide_to_cells(df: DataFrame, table: Column, row_ord: Column, columns: list[str]) -> DataFrame:
     """One row per cell with ordinals and field ids."""
     cells = [F.struct(F.lit(i + 1).alias("col_ord"), F.lit(c).alias("header"), F.col(c).cast("string").alias("raw"))

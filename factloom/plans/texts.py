@@ -110,9 +110,7 @@ _LINES2 = _LINES.replace("FROM documents", "FROM docs")
 def _table_rows(t):
     docs = t.documents.select("doc_id", "text").unionByName(
         t.supplier.selectExpr("-1 - s_suppkey AS doc_id", f"{_SHEET} AS text"))
-    b = blocks.chunk_lines(docs, ["doc_id"])
-    lines = blocks.source_lines(b, ["doc_id", "block_ord"]).withColumnRenamed("doc_id", "file_id")
-    return tables.detect_text_tables(lines)
+    return tables.text_tables(docs.withColumnRenamed("doc_id", "file_id"))
 
 
 @query("detected_tables", f"""
