@@ -8,7 +8,7 @@ from factloom.operators import hierarchy
 from factloom.plans.registry import query
 from factloom.session import scratch_path
 from factloom.sources import files as readers
-from factloom.sources import store
+from factloom.sources import store, versions
 
 # world > region > nation > segment (folders) > customers; rich ones are folders themselves, and nations link back to the world
 _SEGMENT = "'s' || CAST(c_nationkey AS STRING) || c_mktsegment"
@@ -145,4 +145,4 @@ def replaced_manifest(t):
     d = t.documents.selectExpr("lang AS run_id", "doc_id AS file_id", "'first' AS version")
     store.write_manifest(d, path)
     store.write_manifest(d.where("run_id = 'de'").withColumn("version", F.lit("replaced")), path)
-    return t.spark.read.parquet(path).select("run_id", "file_id", "version")
+    return versions.read(t.spark, path).select("run_id", "file_id", "version")

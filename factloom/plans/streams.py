@@ -37,7 +37,7 @@ def streamed_answers(t):
     for _ in range(2):
         drafts = _events(t).select("user_id", "event_type", F.col("at").alias("sent"))
         jobs.stream_answers(drafts, ["user_id", "event_type"], "sent", out, scratch_path(t.spark, "ckpt")).awaitTermination()
-    return t.spark.read.parquet(out).select("user_id", "event_type", F.date_format("sent", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+    return jobs.read_merged(t.spark, out).select("user_id", "event_type", F.date_format("sent", "yyyy-MM-dd HH:mm:ss").alias("sent"))
 
 
 @query("streamed_blocks", ORACLE["text_chunks"])

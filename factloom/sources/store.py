@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.session import scratch_path
+from factloom.sources import versions
 
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+ANSWERS = "workspace_id long, key string, question string, ordinal long"
 
 
 def plan_answers(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -32,30 +29,30 @@ def plan_answers(new: DataFrame, existing: DataFrame) -> DataFrame:
     return fresh.unionByName(rest)
 
 
-def write_answers(new: DataFrame, path: str) -> None:
-    """Appends the answers which ``plan_answers`` marks; a second run of the same batch appends nothing."""
-    spark = new.sparkSession
-    schema = "workspace_id long, key string, question string, ordinal long"
-    existing = spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
-    planned = plan_answers(new, existing).where("action = 'append'").select(
-        F.col("workspace_id").cast("long").alias("workspace_id"), "key", "question", "ordinal")
-    planned.write.mode("append").parquet(path)
+def write_answers(new: DataFrame, path: str) -> int:
+    """Adds the answers which ``plan_answers`` marks, as a new version; a second run of the same batch adds nothing. Writers at the same time never give
+    out the same ordinal: the second plans again on what the first has stored."""
+    def planned(existing: DataFrame) -> DataFrame:
+        return plan_answers(new, existing).where("action = 'append'").select(
+            F.col("workspace_id").cast("long").alias("workspace_id"), "key", "question", "ordinal")
+
+    return versions.commit(new.sparkSession, path, planned, schema=ANSWERS)
+
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    return versions.read(spark, path, ANSWERS)
 
-def write_manifest(files: DataFrame, path: str) -> None:
-    """Replaces the manifests of the runs in ``files`` (one partition per run), leaving other runs as they are."""
-    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
+def write_manifest(files: DataFrame, path: str) -> int:
+    """Replaces the manifests of all runs in ``files`` in one step, leaving other runs as they are; ``versions.read`` sees the old or the new ones."""
+    return versions.commit(files.sparkSession, path, files, ("run_id",))
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Replaces the blocks of the files handed in, by (run, file bucket); other files' blocks in the same buckets stay. ``blocks`` has ``file_id``."""
-    spark = blocks.sparkSession
-    rows = blocks
-    if table_exists(spark, path):
-        stored = spark.read.schema(blocks.schema).parquet(path).select(*blocks.columns)
+
+def write_blocks(blocks: DataFrame, path: str) -> int:
+    """Replaces the blocks of the files handed in, by (run, file bucket), in one step; other files' blocks in the same buckets stay. ``blocks`` has ``file_id``."""
+    def merged(stored: DataFrame) -> DataFrame:
         beside = stored.join(blocks.select("run_id", "bucket").distinct(), ["run_id", "bucket"], "left_semi").join(
-            blocks.select("run_id", "file_id").distinct(), ["run_id", "file_id"], "left_anti").select(*blocks.columns)
-        rows = blocks.unionByName(beside)
-    staged = scratch_path(spark, "blocks")
-    rows.write.parquet(staged)
-    spark.read.schema(blocks.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "bucket").parquet(path)
+            blocks.select("run_id", "file_id").distinct(), ["run_id", "file_id"], "left_anti")
+        return blocks.unionByName(beside)
+
+    return versions.commit(blocks.sparkSession, path, merged, ("run_id", "bucket"), blocks.schema)

@@ -2,7 +2,7 @@
 
 Every job writes through ``foreachBatch`` so that a batch that runs again after a lost executor replaces its own rows or changes nothing. No job has a
 watermark: rows count however late they come. Keyed results are merged into a fixed number of buckets by their key, so a table does not fall into
-more parts with every batch.
+more parts with every batch; a batch becomes a version of the table, and of these the last two are kept.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators import coverage
 from factloom.operators.blocks import chunk_text
-from factloom.session import scratch_path
 from factloom.sources import files as readers
-from factloom.sources.store import table_exists
+from factloom.sources import versions
 
 #: Buckets of a merged table; each batch rewrites those that its keys fall into.
 BUCKETS = 16
@@ -34,15 +33,19 @@ def _merge(batch: DataFrame, path: str, key: list[str], rank: Column, buckets: i
     """One row for each key: of the stored one and those of the batch, the one with the highest ``rank``. The same batch twice changes nothing."""
     spark = batch.sparkSession
     fresh = batch.withColumn("bucket", F.pmod(F.hash(*key), F.lit(buckets)))
-    rows = fresh
-    if table_exists(spark, path):
-        touched = fresh.select("bucket").distinct()
-        rows = spark.read.schema(fresh.schema).parquet(path).join(touched, "bucket", "left_semi").select(*fresh.columns).unionByName(fresh)
     rest = [c for c in fresh.columns if c not in key]
-    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("s")).select(*key, "s.*")
-    staged = scratch_path(spark, "merged")
-    best.write.parquet(staged)
-    spark.read.schema(best.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    def best(stored: DataFrame) -> DataFrame:
+        touched = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select(*fresh.columns)
+        return touched.unionByName(fresh).groupBy(*key).agg(F.max_by(F.struct(*rest), rank).alias("s")).select(*key, "s.*")
+
+    versions.commit(spark, path, best, ("bucket",), fresh.schema)
+    versions.vacuum(spark, path)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of what a stream has merged, without the number of the bucket."""
+    return versions.read(spark, path).drop("bucket")
 
 
 def stream_admission(events: DataFrame, user: str, ts: str, out: str, checkpoint: str, per_minute: int) -> StreamingQuery:
@@ -79,7 +82,7 @@ def stream_states(changes: DataFrame, out: str, checkpoint: str, buckets: int =
 
 
 def read_states(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("bucket")
+    return read_merged(spark, out)
 
 
 def stream_coverage(spark: SparkSession, out: str, runs: DataFrame) -> DataFrame:

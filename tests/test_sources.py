@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from factloom.sources import files, store
+from factloom.sources import files, store, versions
 from factloom.streaming import jobs
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -70,7 +70,7 @@ def test_answers_are_written_once(spark, tmp_path):
     store.write_answers(batch, path)
     store.write_answers(batch, path)
     store.write_answers(spark.createDataFrame([(1, "a", "other"), (1, "c", "q4")], batch.schema), path)
-    got = sorted((r.workspace_id, r.key, r.question, r.ordinal) for r in spark.read.parquet(path).collect())
+    got = sorted((r.workspace_id, r.key, r.question, r.ordinal) for r in store.read_answers(spark, path).collect())
     assert got == [(1, "a", "q1", 1), (1, "b", "q2", 2), (1, "c", "q4", 3), (2, "a", "q3", 1)]
 
 
@@ -79,7 +79,7 @@ def test_blocks_are_replaced_by_bucket(spark, tmp_path):
     df = spark.createDataFrame([("r", 0, "f", "old"), ("r", 0, "f", "gone"), ("r", 0, "g", "beside"), ("r", 1, "h", "kept")], "run_id string, bucket int, file_id string, text string")
     store.write_blocks(df, path)
     store.write_blocks(df.where("text = 'old'").withColumn("text", F.lit("new")), path)
-    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["beside", "kept", "new"]
+    assert sorted(r.text for r in versions.read(spark, path).collect()) == ["beside", "kept", "new"]
 
 
 def test_answers_stream_keeps_the_first_for_good(spark, tmp_path):
@@ -95,8 +95,8 @@ def test_answers_stream_keeps_the_first_for_good(spark, tmp_path):
     send("one", [("a", "late twin", "2024-01-01 10:00:05"), ("a", "first", "2024-01-01 10:00:00"), ("b", "only", "2024-01-05 00:00:00")])
     send("two", [("a", "hours later", "2024-01-01 18:00:00"), ("c", "behind all others", "2020-01-01 00:00:00")])
     send("three", [("c", "again", "2019-01-01 00:00:00"), ("b", "again", "2024-01-05 00:00:00")])
-    assert {(r.k, r.said) for r in spark.read.parquet(out).collect()} == {("a", "first"), ("b", "only"), ("c", "behind all others")}
-    assert spark.read.parquet(out).count() == 3
+    assert {(r.k, r.said) for r in jobs.read_merged(spark, out).collect()} == {("a", "first"), ("b", "only"), ("c", "behind all others")}
+    assert jobs.read_merged(spark, out).count() == 3
 
 
 def test_new_files_become_blocks_once(spark, tmp_path):
