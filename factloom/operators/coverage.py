@@ -190,6 +190,65 @@ def score_cases(actual: DataFrame, expected: DataFrame) -> DataFrame:
                     (F.col("accuracy") & F.col("citations") & F.col("policy_ok") & F.col("uncertainty")).alias("all_ok"))
 
 
+#: Lines to one address of a block; a citation meets the blocks that share the address of its line.
+LINES_PER_ADDRESS = 64
+
+
+def found_in_source(citations: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``citation_id`` and ``found``: do the words stand in some block of the named source, at the stated span and line?
+
+    ``citations`` has ``citation_id``, ``source``, ``quote``, ``start``, ``stop`` and ``line_start``, ``corpus`` has ``block_id``, ``source``, ``line_start``
+    and ``text``. A source may have any number of blocks: citation and block meet on source and line address, without the text, which is then read only
+    for the blocks met.
+    """
+    from factloom.operators.blocks import newlines, span_line
+
+    def address(line: Column) -> Column:
+        return F.floor(line / LINES_PER_ADDRESS).cast("long")
+
+    last = F.col("line_start") + newlines(F.col("text"))
+    places = corpus.where("text IS NOT NULL AND line_start IS NOT NULL").select("block_id", "source", F.col("line_start").alias("_first"), last.alias("_last"))
+    places = places.withColumn("_address", F.explode(F.sequence(address(F.col("_first")), address(F.col("_last")))))
+    sound = citations.where((F.col("start") >= 0) & (F.col("stop") - F.col("start") == F.char_length("quote")) & (F.char_length("quote") > 0) & (F.col("line_start") > 0))
+    met = sound.withColumn("_address", address(F.col("line_start"))).join(places, ["source", "_address"]).where(
+        F.col("line_start").between(F.col("_first"), F.col("_last"))).select("citation_id", "block_id", "quote", "start", "stop", "line_start", "_first")
+    there = met.join(corpus.select("block_id", "text"), "block_id").where(
+        (F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("quote"))
+        & (span_line(F.col("text"), F.col("_first"), F.col("start")) == F.col("line_start"))).select("citation_id").distinct()
+    return citations.select("citation_id").join(there.withColumn("found", F.lit(True)), "citation_id", "left").select(
+        "citation_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def citation_integrity(cases: DataFrame, claims: DataFrame, citations: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Per case the sorted codes of what is wrong with its citations, and ``citations_ok`` where there are none: the input of ``score_cases``, computed.
+
+    ``cases`` has ``case_id``, ``sources`` (names that must be cited) and ``mode`` (``required``, ``forbidden`` or ``optional``), ``claims`` has ``case_id``,
+    ``claim_id`` and ``value`` (null: none stated), ``citations`` besides the columns of ``found_in_source`` ``case_id`` and ``claim_id``. A value is supported
+    if one of the claim's citations holds it in its ``quote`` (or ``raw`` or ``norm``, where given), whatever the case of its letters. Claims and citations are counted per claim, then per case, so a case of any
+    size is combined inside the tasks.
+    """
+    from factloom.functions.text import fold
+
+    value = claims.select("case_id", "claim_id", fold(F.col("value")).alias("_value"))
+    held = citations.join(found_in_source(citations, corpus), "citation_id").join(value, ["case_id", "claim_id"], "left")
+    held_in = [F.coalesce(F.contains(fold(F.col(c)), F.col("_value")), F.lit(False)) for c in ("quote", "raw", "norm") if c in citations.columns]
+    holds = reduce(lambda a, b: a | b, held_in, F.col("_value").isNull())
+    per_claim = held.withColumn("_holds", holds).groupBy("case_id", "claim_id").agg(
+        F.bool_and("found").alias("found"), F.bool_or("_holds").alias("supported"),
+        F.collect_set("source").alias("named"))
+    cited = per_claim.groupBy("case_id").agg(F.bool_and("found").alias("found"), F.array_distinct(F.flatten(F.collect_set("named"))).alias("named"))
+    said = claims.join(per_claim.select("case_id", "claim_id", "supported"), ["case_id", "claim_id"], "left").groupBy("case_id").agg(
+        F.bool_or(F.col("supported").isNull()).alias("bare"), F.bool_or(~F.coalesce("supported", F.lit(True))).alias("unsupported"))
+    j = cases.join(cited, "case_id", "left").join(said, "case_id", "left")
+    no = F.lit(False)
+    codes = F.array_compact(F.array(
+        F.when(~F.coalesce("found", F.lit(True)), "not_in_source"), F.when(F.coalesce("bare", no), "claim_without_citation"),
+        F.when(F.coalesce("unsupported", no), "value_without_support"),
+        F.when(F.size(F.array_except(F.coalesce("sources", F.array().cast("array<string>")), F.coalesce("named", F.array().cast("array<string>")))) > 0, "source_missing"),
+        F.when((F.col("mode") == "required") & F.col("bare").isNull(), "claim_missing"), F.when((F.col("mode") == "forbidden") & F.col("found").isNotNull(), "citation_forbidden")))
+    return j.select("case_id", F.array_sort(codes).alias("codes"), (F.size(codes) == 0).alias("citations_ok"))
+
+
 def score_means(scores: DataFrame) -> DataFrame:
     return scores.agg(*[F.avg(F.col(c).cast("int")).alias(c) for c in ("accuracy", "citations", "policy_ok", "uncertainty", "all_ok")])
 

@@ -79,6 +79,30 @@ def latest_n(messages: DataFrame, partition: list[str], ordinal: str, n: int, pa
         F.array_sort(F.collect_list(F.struct(ordinal, *payload))).alias("messages"))
 
 
+def latest_answers(answers: DataFrame, claims: DataFrame, citations: DataFrame, partition: list[str], age: list[str], n: int, answer: str = "answer_id") -> DataFrame:
+    """Newest ``n`` answers per partition (by the columns ``age``, the last of which sets ties apart), each with its claims and their citations nested in
+    order. ``position`` 1 is the oldest of them.
+
+    ``claims`` has ``answer`` and ``ordinal`` (once in an answer), ``citations`` has ``answer``, ``claim_ordinal`` and ``ordinal``; their further columns are carried along.
+    The answers are chosen first, so that claims and citations of older ones are dropped before anything is put together.
+    """
+    if not 1 <= n <= 20:
+        raise ValueError("n must be between 1 and 20")
+    newest = top_k_per(answers, partition, n, *[F.desc(c) for c in age], name="_age")
+    wanted = newest.select(answer)
+    carried = [c for c in citations.columns if c not in (answer, "claim_ordinal", "ordinal")]
+    cited = citations.join(wanted, answer, "left_semi").groupBy(answer, F.col("claim_ordinal").alias("ordinal")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", *carried))).alias("citations"))
+    said = [c for c in claims.columns if c not in (answer, "ordinal")]
+    none = F.array().cast(cited.schema["citations"].dataType)
+    whole = claims.join(wanted, answer, "left_semi").join(cited, [answer, "ordinal"], "left").groupBy(answer).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", *said, F.coalesce("citations", none).alias("citations")))).alias("claims"))
+    empty = F.array().cast(whole.schema["claims"].dataType)
+    out = newest.join(whole, answer, "left").withColumn("claims", F.coalesce("claims", empty))
+    oldest_first = Window.partitionBy(*partition).orderBy(F.desc("_age"))
+    return out.withColumn("position", F.row_number().over(oldest_first)).drop("_age")
+
+
 def next_ordinals(new: DataFrame, existing: DataFrame, partition: list[str], ordinal: str, *order: Column) -> DataFrame:
     """Number new rows per partition, continuing after the highest existing ordinal."""
     tops = existing.groupBy(*partition).agg(F.max(ordinal).alias("_top"))

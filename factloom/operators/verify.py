@@ -9,6 +9,7 @@ from factloom.functions import vocab
 from factloom.functions.literals import plain_decimal
 from factloom.functions.text import fold, let, words
 from factloom.operators.blocks import quote_end_line, span_line
+from factloom.operators.ordering import top_k_per
 
 #: Characters around a quote that tell of its authority, and words between a denial and what it denies.
 NEARBY = 240
@@ -362,6 +363,24 @@ def claim_rows(result: DataFrame, run: str, request: str, ordinal: str, text: st
         F.when(whole == "", "n/a").otherwise(whole).alias("claim_value"), ordinal)
 
 
+def cite_claims(claims: DataFrame, citations: DataFrame, blocks: DataFrame, claim: str = "claim_id", per_claim: int = 2) -> DataFrame:
+    """Claims with ``citations``: for each the first ``per_claim`` files that support it, in order, with the locator and the words of the stored block.
+
+    ``citations`` has ``claim``, ``ordinal``, ``block_id``, ``start`` and ``stop``; ``blocks`` has ``block_id``, ``file_id``, ``line_start`` and ``text``. A
+    citation counts if its block is stored and its span lies inside the block; of one file the first counts. A claim that nothing supports is left out.
+    Citations are chosen from the addresses of blocks alone; texts are read only for those chosen.
+    """
+    places = blocks.select("block_id", "file_id", F.char_length("text").alias("_n"))
+    held = citations.join(places, "block_id").where("start >= 0 AND stop > start AND stop <= _n")
+    order = F.struct("ordinal", "block_id", "start", "stop")
+    per_file = held.groupBy(claim, "file_id").agg(F.min(order).alias("c")).select(claim, "file_id", "c.*")
+    chosen = top_k_per(per_file, [claim], per_claim, F.struct("ordinal", "block_id", "start"), name="_rank")
+    told = chosen.join(blocks.select("block_id", "line_start", "text"), "block_id").select(claim, F.struct(
+        F.col("_rank").alias("rank"), "block_id", "file_id", "start", "stop", span_line(F.col("text"), F.col("line_start"), F.col("start")).alias("line"),
+        F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start")).alias("quote")).alias("c"))
+    return claims.join(told.groupBy(claim).agg(F.array_sort(F.collect_list("c")).alias("citations")), claim)
+
+
 def multi_scope_values(lines: DataFrame, scopes: DataFrame, field_tokens: list[str]) -> DataFrame:
     """For three or more named scopes: the best line per (kind, scope), published for the first kind that covers all scopes.
 

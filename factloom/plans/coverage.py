@@ -174,6 +174,31 @@ def scored_cases(t):
     return cov.score_cases(got, want)
 
 
+# a case for each document, its two claims cited from the document's own block of a source with many blocks; faults by the document's number
+_AT = "CAST(doc_id * 31 % greatest(length(text) - 20, 1) AS INT)"
+_LINE = f"3 + length(left(text, {_AT})) - length(replace(left(text, {_AT}), chr(10), ''))"
+_CASE_SOURCE = "'source ' || CAST(doc_id % 20 AS STRING)"
+
+
+@query("citation_integrity", f"""
+WITH f AS (SELECT doc_id AS case_id, length(text) < 20 OR doc_id % 3 = 0 OR doc_id % 5 = 0 AS lost, doc_id % 7 = 0 AS bare, doc_id % 11 = 0 AS unsupported,
+  doc_id % 13 = 0 AS missing, doc_id % 17 = 0 AS forbidden, doc_id % 3 = 0 AS other FROM documents)
+SELECT case_id, concat_ws(',', CASE WHEN forbidden THEN 'citation_forbidden' END, CASE WHEN bare THEN 'claim_without_citation' END, CASE WHEN lost THEN 'not_in_source' END,
+  CASE WHEN missing THEN 'source_missing' END, CASE WHEN other OR unsupported THEN 'value_without_support' END) AS codes,
+  NOT (lost OR bare OR unsupported OR missing OR forbidden) AS citations_ok FROM f""")
+def citation_integrity(t):
+    d = t.spread("documents")
+    corpus = d.selectExpr("doc_id AS block_id", f"{_CASE_SOURCE} AS source", "3 AS line_start", "text")
+    quoted = f"substr(text, {_AT} + 1, 20)"
+    cites = d.selectExpr("doc_id AS citation_id", "doc_id AS case_id", "1 AS claim_id", f"{_CASE_SOURCE} AS source", f"{_AT} AS start", f"{_AT} + 20 AS stop",
+                         f"CASE WHEN doc_id % 3 = 0 THEN repeat('~', 20) ELSE {quoted} END AS quote", f"{_LINE} + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS line_start")
+    claims = d.selectExpr("doc_id AS case_id", "1 AS claim_id", f"CASE WHEN doc_id % 11 = 0 THEN 'not stated anywhere' ELSE substr({quoted}, 2, 9) END AS value").unionByName(
+        d.where("doc_id % 7 = 0").selectExpr("doc_id AS case_id", "2 AS claim_id", "CAST(NULL AS STRING) AS value"))
+    cases = d.selectExpr("doc_id AS case_id", f"array({_CASE_SOURCE}, CASE WHEN doc_id % 13 = 0 THEN 'elsewhere' ELSE {_CASE_SOURCE} END) AS sources",
+                         "CASE WHEN doc_id % 17 = 0 THEN 'forbidden' ELSE 'required' END AS mode")
+    return cov.citation_integrity(cases, claims, cites, corpus).select("case_id", F.array_join("codes", ",").alias("codes"), "citations_ok")
+
+
 @query("verified_citations", """
 SELECT doc_id AS citation_id, doc_id % 3 <> 0 AS quote_ok, doc_id % 4 <> 0 AS line_ok FROM documents""")
 def verified_citations(t):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import literals
 from factloom.operators import blocks, extract, tables, tagging
 from factloom.plans.registry import query
+from factloom.session import cut_lineage
 from factloom.plans.shared import quoted, render, words_sql
 
 # --- literals in prose -------------------------------------------------------------------------------------------
@@ -153,6 +154,19 @@ def distinct_labelled_values(t):
                       F.coalesce("second_source", F.lit(-1)).alias("second_source"))
 
 
+@query("overflowing_label_values", f"""
+WITH v AS ({_EXPECTED_SQL}), u AS (SELECT target, kind, norm, count(*) AS n FROM v WHERE target IN ('brand', 'shelf size', 'fee') GROUP BY ALL),
+c AS (SELECT target, count(*) AS uniq, CAST(sum(n) AS BIGINT) AS occurrences FROM u GROUP BY 1)
+SELECT target, uniq AS "unique", occurrences, uniq > 60 AS overflowed, CASE WHEN uniq > 60 THEN 0 ELSE uniq END AS given FROM c""")
+def overflowing_label_values(t):
+    """Requests with more than sixty distinct values give none of them."""
+    occ = _occurrences(t).where(F.col("target").isin("brand", "shelf size", "fee"))
+    values = cut_lineage(extract.distinct_values(occ, ["target"], "file_id", ["file_id", "block_ord", "quote_start"]))
+    given = extract.limited_values(values, ["target"], 60).groupBy("target").agg(F.count(F.lit(1)).alias("given"))
+    told = extract.value_overflow(values, ["target"], 60).withColumnRenamed("all_occurrences", "occurrences")
+    return told.join(given, "target", "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+
+
 @query("ambiguous_label_lines", """
 SELECT p_partkey AS file_id, CAST(11 AS BIGINT) AS line_no FROM part""")
 def ambiguous_label_lines(t):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
@@ -208,6 +209,30 @@ def latest_messages(t):
     return nested.select("conv_id", F.sha2(F.array_join(line, "|"), 256).alias("digest"), F.size("messages").cast("long").alias("n"))
 
 
+# orders as a customer's answers, their lines as claims, each with none to two citations
+_CLAIM_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS line FROM lineitem"
+_CITATIONS = {"answer_id": "l_orderkey", "claim_ordinal": "line", "ordinal": "i", "block_id": "l_partkey + i"}
+
+
+@query("latest_answers", f"""
+WITH a AS (SELECT o_custkey AS workspace, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS age
+  FROM orders QUALIFY age <= 4),
+c AS (SELECT l_orderkey, line, l_returnflag || '[' || CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(l_partkey + 1 AS STRING)
+  ELSE (l_partkey + 1) || ',' || (l_partkey + 2) END || ']' AS said FROM ({_CLAIM_LINES})),
+w AS (SELECT l_orderkey, string_agg(said, ';' ORDER BY line) AS claims FROM c GROUP BY 1)
+SELECT workspace, o_orderkey AS answer_id, row_number() OVER (PARTITION BY workspace ORDER BY age DESC) AS position, coalesce(claims, '') AS claims
+FROM a LEFT JOIN w ON l_orderkey = o_orderkey""")
+def latest_answers(t):
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = t.spread("lineitem").withColumn("line", F.row_number().over(in_order))
+    answers = t.orders.selectExpr("o_custkey AS workspace", "o_orderkey AS answer_id", "CAST(o_orderdate AS DATE) AS created")
+    claims = lines.selectExpr("l_orderkey AS answer_id", "line AS ordinal", "l_returnflag AS said")
+    cites = render(lines.selectExpr("l_orderkey", "line", "l_partkey", "explode(slice(array(1, 2), 1, CAST(l_suppkey % 3 AS INT))) AS i"), _CITATIONS)
+    whole = ordering.latest_answers(answers, claims, cites, ["workspace"], ["created", "answer_id"], 4)
+    said = F.transform("claims", lambda c: F.concat(c["said"], F.lit("["), F.array_join(F.transform(c["citations"], lambda x: x["block_id"].cast("string")), ","), F.lit("]")))
+    return whole.select("workspace", "answer_id", F.col("position").cast("long").alias("position"), F.array_join(said, ";").alias("claims"))
+
+
 @query("continued_ordinals", """
 WITH top AS (SELECT conv_id, max(turn) AS top FROM conversations WHERE role <> 'user' GROUP BY 1)
 SELECT c.conv_id, c.turn, CAST(coalesce(top.top, 0) + row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS BIGINT)

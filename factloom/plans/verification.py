@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import blocks, verify
 from factloom.operators import relational as rel
 from factloom.plans.registry import query
-from factloom.plans.shared import PLAIN_ORDER, render
+from factloom.plans.shared import PLAIN_ORDER, render, select_sql
 
 # quotes: 40 characters from anywhere in the text, an absent one, and a single letter that usually repeats
 _SPOT = "1 + doc_id * 7919 % greatest(length(text) - 40, 1)"
@@ -254,6 +254,26 @@ def claim_rows(t):
     return verify.claim_rows(r, "run", "by priority", "row_ord", "say", "total")
 
 
+# every order is cited in a document as support of its customer's claim, at a place that lies outside a few short texts
+_CITED = {"claim_id": "o_custkey", "ordinal": "o_orderkey", "block_id": "o_orderkey * 13 % 1500", "start": "o_orderkey * 31 % 400"}
+
+
+@query("cited_claims", f"""
+WITH c AS ({select_sql(_CITED, 'orders')}),
+h AS (SELECT c.*, doc_id // 3 AS file_id, text FROM c JOIN documents ON doc_id = block_id WHERE start + 25 <= length(text)),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY claim_id, file_id ORDER BY ordinal) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ordinal) AS rank FROM f QUALIFY rank <= 2),
+l AS (SELECT *, 5 + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line, substr(text, start + 1, 25) AS quote FROM k)
+SELECT claim_id, count(*) AS n, string_agg(block_id || ':' || file_id || ':' || line || ':' || quote, '|' ORDER BY rank) AS support FROM l GROUP BY 1""")
+def cited_claims(t):
+    cites = render(t.spread("orders"), _CITED).withColumns({"start": F.col("start").cast("int"), "stop": (F.col("start") + 25).cast("int")})
+    claims = t.orders.select(F.col("o_custkey").alias("claim_id")).distinct()
+    store = t.documents.selectExpr("doc_id AS block_id", "doc_id div 3 AS file_id", "5 AS line_start", "text")
+    told = verify.cite_claims(claims, cites, store)
+    support = F.transform("citations", lambda c: F.concat_ws(":", c["block_id"], c["file_id"], c["line"], c["quote"]))
+    return told.select("claim_id", F.size("citations").cast("long").alias("n"), F.array_join(support, "|").alias("support"))
+
+
 @query("multi_scope_values", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY length(CAST(p_partkey AS STRING)) + length(CAST(p_size AS STRING)), p_partkey) AS k FROM part)
 SELECT 'currency' AS kind, lower(p_type) AS scope_id, p_partkey AS line_id, '$' || CAST(p_partkey AS STRING) AS raw, '$:' || CAST(p_partkey AS STRING) AS norm FROM r WHERE k = 1""")
