@@ -173,6 +173,36 @@ def admission_tiers(events: DataFrame, user: str, ts: str, tiebreak: str, per_us
     return j.withColumn("tier", F.when(~F.col("admitted"), "user_limit").when(F.col("_in"), "admitted").otherwise("overall_limit")).drop("_in", "admitted", "retry_after")
 
 
+def admission_after(events: DataFrame, user: str, ts: str, tiebreak: str, per_user: int, overall: int, seen: DataFrame) -> DataFrame:
+    """``admission_tiers`` for events that come behind others: ``seen`` has ``scope`` (``user`` or ``all``), ``who``, ``minute`` and ``n``, the events of a user
+    and the events that the first limit let through, so far. Each event gets its ``minute``, its ``tier`` and, if refused, ``retry_after`` in seconds.
+
+    The counters meet the events by user and minute before they are numbered; a minute of which everything has been given out costs no ranking.
+    """
+    e = events.withColumn("minute", minute_of(F.col(ts)))
+    own = seen.where("scope = 'user'").select(F.col("who").alias("_who"), F.col("minute").alias("_minute"), F.col("n").alias("_n"))
+    w = Window.partitionBy(user, "minute").orderBy(ts, tiebreak)
+    first = e.join(own, F.col(user).cast("string").eqNullSafe(F.col("_who")) & F.col("minute").eqNullSafe(F.col("_minute")), "left").drop("_who", "_minute")
+    first = first.withColumn("_passed", F.row_number().over(w) + F.coalesce("_n", F.lit(0)) <= per_user).drop("_n")
+    given = seen.where("scope = 'all'").select(F.col("minute").alias("_minute"), F.col("n").alias("_n"))
+    passed = first.where("_passed").select(user, ts, tiebreak, "minute").join(given, F.col("minute").eqNullSafe(F.col("_minute")), "left").withColumn(
+        "_left", F.lit(overall) - F.coalesce("_n", F.lit(0))).where("_left > 0")
+    sub = Window.partitionBy("minute", F.pmod(F.xxhash64(user), F.lit(32))).orderBy(ts, tiebreak)
+    near = passed.withColumn("_r", F.row_number().over(sub)).where(F.col("_r") <= F.col("_left"))
+    total = Window.partitionBy("minute").orderBy(ts, tiebreak)
+    good = near.withColumn("_t", F.row_number().over(total)).where(F.col("_t") <= F.col("_left")).select(tiebreak, F.lit(True).alias("_in"))
+    j = first.join(good, tiebreak, "left")
+    tier = F.when(~F.col("_passed"), "user_limit").when(F.col("_in"), "admitted").otherwise("overall_limit")
+    return j.withColumn("tier", tier).withColumn("retry_after", F.when(F.col("tier") != "admitted", (F.lit(60) - F.second(F.col(ts))).cast("int"))).drop("_passed", "_in")
+
+
+def seen_in(decided: DataFrame, user: str) -> DataFrame:
+    """The counters (``scope``, ``who``, ``minute``, ``n``) that decided events add to."""
+    by_user = decided.groupBy(F.lit("user").alias("scope"), F.col(user).cast("string").alias("who"), "minute").agg(F.count(F.lit(1)).alias("n"))
+    passed = decided.where("tier <> 'user_limit'").groupBy(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("who"), "minute").agg(F.count(F.lit(1)).alias("n"))
+    return by_user.unionByName(passed)
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 def score_cases(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Per case: right values (as a bag), sound citations, right policy version, right uncertainty, all of them."""

@@ -30,6 +30,20 @@ def streamed_admission(t):
         "user_id", F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "n", F.col("over").cast("long").alias("over"))
 
 
+@query("streamed_decisions", """
+WITH m AS (SELECT event_id, event_type, date_trunc('day', ts) AS day FROM events),
+u AS (SELECT *, row_number() OVER (PARTITION BY event_type, day ORDER BY event_id) AS k FROM m),
+p AS (SELECT event_id, row_number() OVER (PARTITION BY day ORDER BY event_id) AS o FROM u WHERE k <= 4)
+SELECT u.event_id, CASE WHEN k > 4 THEN 'user_limit' WHEN o <= 10 THEN 'admitted' ELSE 'overall_limit' END AS tier,
+  CASE WHEN k > 4 OR o > 10 THEN 60 END AS retry_after FROM u LEFT JOIN p USING (event_id)""")
+def streamed_decisions(t):
+    """The events of a day as if in one minute and their kinds as users, so that both limits are reached."""
+    out = scratch_path(t.spark, "decisions")
+    events = _events(t).selectExpr("event_id", "event_type AS who", "date_trunc('day', at) AS at")
+    jobs.stream_decisions(events, "who", "at", "event_id", out, scratch_path(t.spark, "seen"), scratch_path(t.spark, "ckpt"), 4, 10).awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "tier", "retry_after")
+
+
 @query("streamed_answers", "SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS sent FROM events GROUP BY 1, 2")
 def streamed_answers(t):
     """Drafts at the times of the events, which lie days apart, sent twice over: each key is stored once, with its first time."""

@@ -63,6 +63,36 @@ def read_admission(spark: SparkSession, out: str, user: str) -> DataFrame:
     return counts.select("minute", user, "n", F.greatest(F.lit(0), F.col("n") - F.col("_limit")).alias("over"))
 
 
+_SEEN = "batch long, scope string, who string, minute timestamp, n long"
+
+
+def stream_decisions(events: DataFrame, user: str, ts: str, tiebreak: str, out: str, state: str, checkpoint: str, per_user: int, overall: int,
+                     lateness_minutes: int | None = None) -> StreamingQuery:
+    """Every event of a stream admitted or refused, with the seconds to wait, by a limit per user and one for all in each minute.
+
+    Events of a batch come behind those of earlier batches, in a batch they are ordered by time. The counters are a versioned table in ``state`` whose rows
+    know their batch: a batch that runs again counts from the rows of earlier ones only, so it decides as before and counts once. With
+    ``lateness_minutes`` the counters of minutes that lie further behind the newest of earlier batches are let go, and later events of such a minute are counted from zero;
+    without it they are kept for good. Lost executors and restarts change no decision.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = versions.read(spark, state, _SEEN).where(F.col("batch") < batch_id).groupBy("scope", "who", "minute").agg(F.sum("n").alias("n"))
+        if lateness_minutes is not None:  # by the newest minute of earlier batches, so that a second run lets go of the same
+            newest = before.agg(F.max("minute"))
+            before = before.where(F.col("minute") >= newest.scalar() - F.make_dt_interval(mins=F.lit(lateness_minutes)))
+        _sink(out)(coverage.admission_after(batch, user, ts, tiebreak, per_user, overall, before), batch_id)
+        place = f"{out}/batch_id={batch_id}"
+        if batch.isEmpty():
+            return
+        fresh = coverage.seen_in(spark.read.parquet(place), user).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows = before.withColumn("batch", F.lit(batch_id - 1).cast("long")).unionByName(fresh)
+        versions.commit(spark, state, rows.select("batch", "scope", "who", "minute", "n"), schema=_SEEN, whole=True)
+        versions.vacuum(spark, state)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def stream_answers(drafts: DataFrame, key: list[str], ts: str, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Each idempotency key once, whenever it is sent again: the stored answer stays, and of several in one batch the earliest counts."""
     def write(batch: DataFrame, batch_id: int) -> None:
