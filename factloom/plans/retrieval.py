@@ -203,8 +203,7 @@ def selected_passages(t):
     return out.select("item_id", "doc_id", "coverage", F.col("position").cast("long").alias("position"))
 
 
-@query("best_excerpts", f"""
-WITH {_QT}, qs AS (SELECT item_id, list(tok ORDER BY rk) AS toks FROM qt GROUP BY 1), {_LINES},
+_BEST = f"""{_QT}, qs AS (SELECT item_id, list(tok ORDER BY rk) AS toks FROM qt GROUP BY 1), {_LINES},
 w1 AS (SELECT doc_id, text AS line, start, start + length(text) AS stop, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM n),
 w2 AS (SELECT *, lead(stop) OVER v AS stop2, lead(stop, 2) OVER v AS stop3 FROM w1 WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
 win AS (SELECT doc_id, i, 1 AS wd, start, stop FROM w2 UNION ALL SELECT doc_id, i, 2, start, stop2 FROM w2 WHERE stop2 IS NOT NULL
@@ -212,8 +211,10 @@ win AS (SELECT doc_id, i, 1 AS wd, start, stop FROM w2 UNION ALL SELECT doc_id,
 nq AS (SELECT count(*) AS n FROM benchmark),
 p AS (SELECT win.*, qs.toks, {long_words_sql('substr(d.text, start + 1, stop - start)')} AS ws FROM win JOIN documents d USING (doc_id), nq JOIN qs ON qs.item_id = d.doc_id % nq.n),
 c AS (SELECT doc_id, i, wd, start, stop, len(list_filter(toks, lambda q: len(list_intersect({forms_sql('q')}, flatten(list_transform(ws, lambda y: {forms_sql('y')})))) > 0)) AS coverage FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN coverage > 0 THEN coverage ELSE 0 END DESC, CASE WHEN coverage > 0 THEN stop - start ELSE 0 END, i, wd) AS k FROM c)
-SELECT doc_id, start, stop, coverage FROM r WHERE k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN coverage > 0 THEN coverage ELSE 0 END DESC, CASE WHEN coverage > 0 THEN stop - start ELSE 0 END, i, wd) AS k FROM c)"""
+
+
+@query("best_excerpts", f"WITH {_BEST} SELECT doc_id, start, stop, coverage FROM r WHERE k = 1")
 def best_excerpts(t):
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
     d = t.spread("documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
@@ -221,13 +222,26 @@ def best_excerpts(t):
     return j.select("doc_id", *[F.col(f"e.{c}").cast("long").alias(c) for c in ("start", "stop", "coverage")])
 
 
-@query("narrowed_excerpts")
+@query("narrowed_excerpts", f"""
+WITH {_BEST},
+best AS (SELECT r.doc_id, r.start, r.stop, text, qs.toks, substr(text, r.start + 1, r.stop - r.start) AS body FROM r JOIN documents USING (doc_id), nq
+  JOIN qs ON qs.item_id = r.doc_id % nq.n WHERE k = 1),
+cut_words AS (SELECT *, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(body, '[\\p{{L}}\\p{{N}}]+') AS gaps,
+  flatten(list_transform(toks, lambda q: {forms_sql('q')})) AS asked FROM best),
+first_hit AS (SELECT *, list_position(list_transform(ws, lambda w: len(list_intersect({forms_sql('lower(w)')}, asked)) > 0), true) AS i FROM cut_words),
+hits AS (SELECT *, start + CASE WHEN coalesce(i, 0) = 0 THEN 0 ELSE length(array_to_string(gaps[1:i], '')) + length(array_to_string(ws[1:i - 1], '')) END AS hit FROM first_hit),
+lows AS (SELECT *, greatest(start, least(hit - 80, stop - 280)) AS low, length(regexp_extract(substr(text, start + 1, hit - start), '(?s)^.*\\. ')) AS sentence FROM hits),
+blanks AS (SELECT *, instr(substr(text, low + 1, least(24, hit - low)), ' ') AS blank FROM lows),
+cuts AS (SELECT *, CASE WHEN low > start AND sentence > 0 AND hit - (start + sentence) <= 280 THEN start + sentence WHEN low > start AND blank > 0 THEN low + blank ELSE low END AS cut FROM blanks),
+spans AS (SELECT doc_id, text, CASE WHEN stop - start <= 280 THEN start ELSE cut END AS start, CASE WHEN stop - start <= 280 THEN stop WHEN cut + 280 >= stop THEN least(stop, cut + 280)
+  ELSE cut + coalesce(nullif(length(regexp_extract(substr(text, cut + 1, 280), '(?s)^(.*) [^ ]{{0,23}}$', 1)), 0), 280) END AS stop FROM cuts)
+SELECT doc_id, start, stop, substr(text, start + 1, stop - start) AS excerpt FROM spans""")
 def narrowed_excerpts(t):
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
     d = t.spread("documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % n.scalar())
     j = d.join(_questions(t), "item_id").withColumn("e", search.best_excerpt(F.col("text"), F.col("tokens")))
     j = j.withColumn("n", search.narrow_excerpt(F.col("text"), F.col("e"), F.col("tokens")))
-    return j.select("doc_id", "n.start", "n.stop", F.substring("text", F.col("n.start") + 1, F.col("n.stop") - F.col("n.start")).alias("excerpt"))
+    return j.select("doc_id", F.col("n.start").cast("long").alias("start"), F.col("n.stop").cast("long").alias("stop"), F.substring("text", F.col("n.start") + 1, F.col("n.stop") - F.col("n.start")).alias("excerpt"))
 
 
 @query("value_anchors", """
