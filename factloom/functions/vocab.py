@@ -26,6 +26,11 @@ QUERY_STOP_WORDS = (
     "which", "with",
 )
 
+# Words between a field and the scope that it is asked for; forms after "who" that state no deed, and helpers before a deed.
+SCOPE_WORDS = ("at", "for", "from", "in", "of", "on")
+STATIVE_VERBS = ("are", "did", "does", "has", "is", "was", "were")
+HELPING_VERBS = ("can", "could", "did", "does", "may", "might", "must", "should", "will", "would")
+
 # Generic words left out when a looked-up cell is compared with its request.
 REQUEST_NOISE = ("binder", "document", "file", "quote", "revision", "source", "state", "stated")
 

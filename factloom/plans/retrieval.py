@@ -265,6 +265,21 @@ def label_sequences(t):
     return q.select("item_id", F.explode(search.assignment_sequences(F.col("q"))).alias("s")).select("item_id", F.array_join("s", " ").alias("sequence"))
 
 
+# questions rendered from parts: a scope behind "for", an owner before "in", a doer, "of" alone, and a preposition with nothing behind it
+_SCOPED = """CASE p_partkey % 5 WHEN 0 THEN 'What is the ' || p_type || ' for ' || p_name || '?' WHEN 1 THEN p_brand || ' of ' || p_name || ' in ' || p_type
+  WHEN 2 THEN 'Who may approve ' || p_name || ' in ' || p_type WHEN 3 THEN 'Owner of ' || p_name ELSE p_name || ' on' END"""
+
+
+@query("scoped_label_sequences", f"""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, lower(p_type) AS ty, p_name AS nm, string_split(p_name, ' ')[1] AS n1, string_split(p_name, ' ')[2] AS n2,
+  array_to_string({words_sql('p_brand')}, ' ') AS br FROM part)
+SELECT p_partkey, unnest(CASE k WHEN 0 THEN [ty, CASE WHEN ty = n1 THEN nm ELSE ty || ' ' || nm END] WHEN 1 THEN [br || ' of ' || nm] WHEN 2 THEN []
+  WHEN 3 THEN ['owner', 'owner of ' || nm] ELSE [nm || ' on', n2 || ' on', 'on', nm, 'on ' || n2 || ' ' || n1] END) AS sequence FROM p""")
+def scoped_label_sequences(t):
+    q = t.part.select("p_partkey", F.explode(search.question_sequences(F.expr(_SCOPED))).alias("s"))
+    return q.select("p_partkey", F.array_join("s", " ").alias("sequence"))
+
+
 @query("extractive_answers", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 1 ELSE 3 END AS ord FROM orders WHERE o_orderkey % 3 <> 1
 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 1""")
