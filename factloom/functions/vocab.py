@@ -26,6 +26,9 @@ QUERY_STOP_WORDS = (
     "which", "with",
 )
 
+# States in which a run is published.
+PUBLISHED_STATES = ("ready", "partial", "failed")
+
 # Words between a field and the scope that it is asked for; forms after "who" that state no deed, and helpers before a deed.
 SCOPE_WORDS = ("at", "for", "from", "in", "of", "on")
 STATIVE_VERBS = ("are", "did", "does", "has", "is", "was", "were")

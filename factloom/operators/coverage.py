@@ -140,6 +140,14 @@ def check_transitions(log: DataFrame) -> DataFrame:
     return moves.where(~ok).select("file_id", "seq", "previous", "status")
 
 
+def changes_after_publication(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """Changes that a published run should have been spared: entries of the files' ``log`` and of the ``runs`` themselves behind the run's first published
+    state. Both have ``run_id``, ``seq`` (one count for both) and ``status``, the log also ``file_id``; null there tells the run's own entries."""
+    first = runs.where(F.col("status").isin(*vocab.PUBLISHED_STATES)).groupBy("run_id").agg(F.min("seq").alias("published_at"))
+    every = log.select("run_id", "file_id", "seq", "status").unionByName(runs.select("run_id", F.lit(None).cast(log.schema["file_id"].dataType).alias("file_id"), "seq", "status"))
+    return every.join(first, "run_id").where("seq > published_at").select("run_id", "file_id", "seq", "status", "published_at")
+
+
 # --- admission ---------------------------------------------------------------------------------------------------
 def minute_of(ts: Column) -> Column:
     return F.date_trunc("minute", ts)

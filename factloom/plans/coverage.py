@@ -131,6 +131,16 @@ def illegal_transitions(t):
     return cov.check_transitions(log)
 
 
+@query("changes_after_publication", """
+WITH f AS (SELECT user_id AS run_id, min(event_id) FILTER (WHERE event_id % 40 = 7) AS shown FROM events GROUP BY 1)
+SELECT run_id, CASE WHEN event_id % 40 <> 7 THEN event_id % 5 END AS file_id, event_id AS seq, CASE WHEN event_id % 40 = 7 THEN 'partial' ELSE 'ready' END AS status, shown AS published_at
+FROM events JOIN f ON f.run_id = user_id WHERE event_id > shown""")
+def changes_after_publication(t):
+    """Events as entries of their user's run, some of which publish it."""
+    e = t.events.selectExpr("user_id AS run_id", "event_id % 5 AS file_id", "event_id AS seq", "CASE WHEN event_id % 40 = 7 THEN 'partial' ELSE 'ready' END AS status")
+    return cov.changes_after_publication(e.where("status = 'ready'"), e.where("status = 'partial'").drop("file_id"))
+
+
 @query("admitted_events", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS k FROM events)
 SELECT event_id, k <= 1 AS admitted, CAST(CASE WHEN k > 1 THEN 60 - floor(extract(second FROM ts)) ELSE 0 END AS BIGINT) AS retry_after FROM r""")
