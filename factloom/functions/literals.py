@@ -138,6 +138,9 @@ def regex_spans(text: Column, pattern: str) -> Column:
     return F.when(text.isNull(), F.lit(None).cast(spans)).otherwise(let(parts, walk))
 
 
+LITERALS = "array<struct<start:int,stop:int,kind:string,raw:string,norm:string>>"
+
+
 def extract_literals(text: Column) -> Column:
     """``array<struct<start,stop,kind,raw,norm>>`` of the literals in a text, in order of appearance."""
 
@@ -159,7 +162,7 @@ def extract_literals(text: Column) -> Column:
             literal_norm(s["bare"], s["kind"]).alias("norm"),
         )
 
-    none = F.array().cast("array<struct<start:int,stop:int,kind:string,raw:string,norm:string>>")
+    none = F.array().cast(LITERALS)
     spans = F.filter(regex_spans(text, ANY_LITERAL), lambda s: s["raw"].rlike("[0-9@:]"))  # joined words without a digit are none
     return F.when(text.rlike("[0-9@]|://"), F.transform(spans, kinded)).otherwise(none)
 

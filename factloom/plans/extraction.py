@@ -121,7 +121,7 @@ def _targets(t, names=_TARGETS):
 
 def _occurrences(t):
     targets = _targets(t)
-    return extract.extract_many(_sheets(t), ["file_id", "block_ord"], targets).join(targets, "target_id")
+    return extract.extract_many(_sheets(t), ["file_id", "block_ord"], targets).join(F.broadcast(targets), "target_id")
 
 
 @query("labelled_values", _EXPECTED_SQL)
