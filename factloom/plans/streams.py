@@ -13,8 +13,9 @@ from factloom.streaming import jobs
 
 
 def _stream(t, table: str):
+    """A table as a stream, be it one file or a folder of files: by a pattern that only its name fits, as a stream takes no single file by its plain path."""
     schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{{{table}}}.parquet")
 
 
 def _events(t):
@@ -60,7 +61,8 @@ def streamed_blocks(t):
     out = scratch_path(t.spark, "blocks")
     texts = _stream(t, "documents").select("doc_id", blocks.normalise_text(F.col("text")).alias("text"))
     jobs.stream_chunks(texts, ["doc_id"], out, scratch_path(t.spark, "ckpt")).awaitTermination()
-    b = blocks.located(t.spark.read.parquet(out).drop("batch_id"))
+    stored = t.spark.read.schema("doc_id bigint, block_ord int, start int, stop int, line_start int, text string").parquet(out)  # also where no block was written
+    b = blocks.located(stored)
     return b.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "stop", "line_start", "line_end")], "text_hash")
 
 
