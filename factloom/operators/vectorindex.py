@@ -24,6 +24,8 @@ SAMPLE = 64
 ROUNDS = 12
 MOST_LISTS = 4096
 RECALL = 0.9
+#: Standard errors by which the recall over the asked questions has to lie above the wanted one.
+MARGIN = 3
 
 
 @dataclass(frozen=True)
@@ -82,18 +84,25 @@ def _usable(df: DataFrame, key: str, dims: int) -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.size("embedding") == dims) & finite).select(F.col(key).alias(key), F.col("embedding").alias("embedding"))
 
 
-def _nearest(df: DataFrame, key: str, centroids: np.ndarray, most: int) -> DataFrame:
-    """``key, embedding, list, place`` for the ``most`` lists nearest to each vector, the nearest at place 1."""
+def _nearest(df: DataFrame, key: str, centroids: np.ndarray, most: int, held: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """``key, embedding, list, place`` for the ``most`` lists nearest to each vector, the nearest at place 1; with ``held``, the number of vectors in each
+    list, for as many more as it takes to reach ``k`` vectors."""
     most = min(most, len(centroids))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 sims = np.round(_unit(np.stack(f["embedding"].to_numpy()).astype(np.float64)) @ centroids.T, 9)
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-                out = f.loc[f.index.repeat(most)].copy()
-                out["list"] = order.ravel().astype(np.int32)
-                out["place"] = np.tile(np.arange(1, most + 1, dtype=np.int32), len(f))
+                order = np.argsort(-sims, axis=1, kind="stable")
+                if held is None:
+                    wanted = np.broadcast_to(np.arange(order.shape[1]) < most, order.shape)
+                else:
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    wanted = (np.arange(order.shape[1]) < most) | (before < k)
+                row, place = np.nonzero(wanted)
+                out = f.iloc[row].copy()
+                out["list"] = order[row, place].astype(np.int32)
+                out["place"] = (place + 1).astype(np.int32)
                 yield out
 
     return df.select(key, F.col("embedding").cast("array<float>").alias("embedding")).mapInPandas(place, f"{key} long, embedding array<float>, list int, place int")
@@ -121,24 +130,33 @@ def build_index(vectors: DataFrame, folder: str, dims: int, lists: int | None =
 
 
 def tuned(index: VectorIndex, asked: DataFrame, exact: DataFrame, wanted: float) -> tuple[int, float]:
-    """The least number of probed lists with the wanted recall, and that recall. An exact hit is found if and only if its list is probed, as ranking inside
+    """The least number of probed lists whose recall over the asked questions is above the wanted one by ``MARGIN`` standard errors, as other questions
+    may do worse than these, and that recall. An exact hit is found if and only if its list is probed, as ranking inside
     the lists is exact; so the places of the hits' lists among the lists of their question, one count for each list, tell the recall of any number."""
     lists = len(index.centroids)
     places = _nearest(_usable(asked, "query_id", index.dims), "query_id", index.centroids, lists).select("query_id", "list", "place")
     hits = exact.select("query_id", "vec_id").join(index.lists.select("vec_id", "list"), "vec_id").join(places, ["query_id", "list"])
-    counts = dict(hits.groupBy("place").count().collect())
-    total, seen = sum(counts.values()), 0
-    for place in range(1, lists + 1):
-        seen += counts.get(place, 0)
-        if seen >= wanted * total:
-            return place, seen / total if total else 1.0
-    return lists, 1.0
+    per_question = hits.groupBy("query_id", "place").count().toPandas()  # the asked questions times their exact hits at most
+    found = per_question.pivot_table(index="query_id", columns="place", values="count", fill_value=0).reindex(columns=range(1, lists + 1), fill_value=0)
+    shares = found.to_numpy(dtype=np.float64).cumsum(axis=1)
+    if not len(shares):
+        return 1, 1.0
+    shares /= shares[:, -1:]
+    mean = shares.mean(axis=0)
+    margin = MARGIN * shares.std(axis=0) / len(shares) ** 0.5
+    place = int(np.argmax(mean - margin >= wanted)) if (mean - margin >= wanted).any() else lists - 1
+    return place + 1, float(mean[place])
 
 
 def index_search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-    """Top ``k`` by cosine similarity among the vectors of the probed lists, ``query_id, vec_id, similarity, rank``; similarities are exact."""
-    placed = _nearest(_usable(queries, "query_id", index.dims), "query_id", index.centroids, probes or index.probes)
+    """Top ``k`` by cosine similarity among the vectors of the probed lists, ``query_id, vec_id, similarity, rank``; similarities are exact. A question whose
+    probed lists hold fewer than ``k`` vectors goes on to its next lists, so it gets ``k`` results if there are so many vectors."""
     held = index.lists
+    centroids = index.centroids
+    counts = np.zeros(len(centroids), dtype=np.int64)
+    for row in held.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        counts[row["list"]] = row["count"]
+    placed = _nearest(_usable(queries, "query_id", index.dims), "query_id", centroids, probes or index.probes, counts, k)
     # blocks of each list, of vectors and of questions: at most MOST_LISTS rows, so small enough for every task
     sizes = held.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("v_blocks")).join(
         placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("q_blocks")), "list")
