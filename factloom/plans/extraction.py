@@ -181,7 +181,7 @@ def ambiguous_label_lines(t):
 SELECT p_brand AS source, min('$ ' || """ + _PRICE + """) AS norm FROM part GROUP BY 1 HAVING count(DISTINCT p_retailprice) = 1
 UNION ALL SELECT 'all', 'EUR 17' FROM part GROUP BY 1, 2""")
 def recovered_assignments(t):
-    occ = _occurrences(t).where("target IN ('price', 'fee')").join(t.part.selectExpr("p_partkey AS file_id", "p_brand AS brand"), "file_id")
+    occ = _occurrences(t).where("target IN ('price', 'fee')").join(t.part.selectExpr("p_partkey AS file_id", "p_brand AS brand").hint("merge"), "file_id")
     asked = occ.withColumn("source", F.when(F.col("target") == "fee", "all").otherwise(F.col("brand")))  # the fee over all parts, the price by brand
     return extract.assignment_recovery(asked, ["target", "source"]).select("source", "norm")
 
