@@ -184,9 +184,11 @@ def scored_cases(t):
     return cov.score_cases(got, want)
 
 
-# a case for each document, its two claims cited from the document's own block of a source with many blocks; faults by the document's number
+# a case for each document, its two claims cited from the document's own block of a source with many blocks, which follow each other and share no line, as in a
+# file (else a wrong line could be a right one of another block); faults by the document's number
 _AT = "CAST(doc_id * 31 % greatest(length(text) - 20, 1) AS INT)"
-_LINE = f"3 + length(left(text, {_AT})) - length(replace(left(text, {_AT}), chr(10), ''))"
+_FIRST_LINE = "doc_id * 1000000000 + 3"
+_LINE = f"{_FIRST_LINE} + length(left(text, {_AT})) - length(replace(left(text, {_AT}), chr(10), ''))"
 _CASE_SOURCE = "'source ' || CAST(doc_id % 20 AS STRING)"
 
 
@@ -198,7 +200,7 @@ SELECT case_id, concat_ws(',', CASE WHEN forbidden THEN 'citation_forbidden' END
   NOT (lost OR bare OR unsupported OR missing OR forbidden) AS citations_ok FROM f""")
 def citation_integrity(t):
     d = t.spread("documents")
-    corpus = d.selectExpr("doc_id AS block_id", f"{_CASE_SOURCE} AS source", "3 AS line_start", "text")
+    corpus = d.selectExpr("doc_id AS block_id", f"{_CASE_SOURCE} AS source", f"{_FIRST_LINE} AS line_start", "text")
     quoted = f"substr(text, {_AT} + 1, 20)"
     cites = d.selectExpr("doc_id AS citation_id", "doc_id AS case_id", "1 AS claim_id", f"{_CASE_SOURCE} AS source", f"{_AT} AS start", f"{_AT} + 20 AS stop",
                          f"CASE WHEN doc_id % 3 = 0 THEN repeat('~', 20) ELSE {quoted} END AS quote", f"{_LINE} + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS line_start")
