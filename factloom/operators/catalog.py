@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
@@ -109,12 +110,29 @@ def duplicate_headers(headers: DataFrame) -> DataFrame:
             .groupBy("table_id", "header_key").agg(F.count(F.lit(1)).alias("n_headers")).where("n_headers > 1"))
 
 
+#: Tokens of a question that one number holds as bits.
+BITS = 64
+
+
+def distinct_matches(found: DataFrame, queries: DataFrame, query: str, keys: list[str], form: str, forms: Callable[[Column], Column], tokens: str, name: str) -> DataFrame:
+    """Per question and ``keys`` the number of distinct tokens with one of their forms in ``found``, for pairs that share any.
+
+    A token is a bit by its place among the question's, and bits are combined before the shuffle, so no set of tokens is kept. A question of more tokens than a
+    number has bits takes several numbers; how many the longest takes is asked first.
+    """
+    own = queries.groupBy(query).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tokens)))).alias("toks"))
+    numbers = (own.agg(F.max(F.size("toks"))).first()[0] or 1) // BITS + 1
+    asked = own.select(query, F.posexplode("toks").alias("place", "tok"))
+    asked = asked.select(query, F.floor(F.col("place") / BITS).alias("_number"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % BITS).alias("_bit"),
+                         F.explode(forms(F.col("tok"))).alias(form))
+    hits = found.join(asked, form).groupBy(query, *keys)
+    held = [F.coalesce(F.bit_count(F.bit_or(F.when(F.col("_number") == i, F.col("_bit")))), F.lit(0)) for i in range(numbers)]
+    return hits.agg(reduce(lambda a, b: a + b, held).cast("long").alias(name))
+
+
 def token_coverage(texts: DataFrame, text_id: str, queries: DataFrame, query_id: str, body: str = "text",
                    tokens: str = "tokens") -> DataFrame:
     """Number of query tokens with an equivalent token in the text, for pairs that share at least one."""
     t = texts.select(text_id, F.explode(F.array_distinct(F.flatten(F.transform(
         F.array_distinct(search_words(F.col(body))), token_forms)))).alias("form"))
-    q = queries.select(query_id, F.explode(tokens).alias("tok")).select(
-        query_id, "tok", F.explode(token_forms(F.col("tok"))).alias("form"))
-    return t.join(q, "form").groupBy(text_id, query_id).agg(F.count_distinct("tok").alias("coverage"))
-
+    return distinct_matches(t, queries, query_id, [text_id], "form", token_forms, tokens, "coverage")
