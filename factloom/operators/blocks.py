@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.literals import regex_spans
+from factloom.functions.literals import _CLOSE, _OPEN
 from factloom.functions.text import let
 
 SPANS = "array<struct<start:int,stop:int,line:int>>"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
-LINE_RUN = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]+"
+_BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}"
+LINE_END = rf"[{_BREAKS}]+\z"
+#: Behind every line break; a carriage return and its newline are one.
+LINE_CUT = rf"(?<=[{_BREAKS}])(?<!\r(?=\n))"
 
 
 def normalise_text(c: Column) -> Column:
@@ -134,20 +137,25 @@ def located(blocks: DataFrame) -> DataFrame:
 
 
 def text_lines(text: Column) -> Column:
-    """``array<struct<start,stop,line,text>>`` of the non-empty lines of one text (line 0-based, blanks trimmed)."""
-    def step(acc: Column, run: Column) -> Column:
-        gap = F.substring(text, acc["stop"] + 1, run["start"] - acc["stop"])
-        line = acc["line"] + F.char_length(F.replace(gap, F.lit("\r\n"), F.lit("\n")))
-        lead = F.char_length(run["raw"]) - F.char_length(F.ltrim(run["raw"]))
-        body = F.trim(run["raw"])
-        one = F.struct((run["start"] + lead).alias("start"), (run["start"] + lead + F.char_length(body)).alias("stop"),
-                       line.alias("line"), body.alias("text"))
-        return F.struct(run["stop"].alias("stop"), line.alias("line"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("line"),
-                    F.array().cast("array<struct<start:int,stop:int,line:int,text:string>>").alias("out"))
-    lines = F.aggregate(regex_spans(text, LINE_RUN), zero, step, lambda acc: acc["out"])
-    return F.filter(lines, lambda s: s["text"].rlike(r"(?U)\S"))
+    """``array<struct<start,stop,line,text>>`` of the non-empty lines of one text (line 0-based, blanks trimmed).
+
+    The text is split once and every line measured by itself; only the starts are summed up, so nothing is cut out of the whole text again.
+    """
+    def placed(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(pieces, zero, lambda acc, p: F.struct(
+            (acc["pos"] + F.char_length(p)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
+
+        def one(s: Column, i: Column) -> Column:
+            lead = F.char_length(s["raw"]) - F.char_length(F.ltrim(s["raw"]))
+            return let(F.trim(s["raw"]), lambda body: F.struct(
+                (s["start"] + lead).alias("start"), (s["start"] + lead + F.char_length(body)).alias("stop"), i.alias("line"), body.alias("text")))
+
+        runs = F.zip_with(pieces, starts, lambda p, at: F.struct(F.regexp_replace(p, LINE_END, "").alias("raw"), at.alias("start")))
+        return F.filter(F.transform(runs, one), lambda s: s["text"].rlike(r"(?U)\S"))
+
+    clean = F.translate(text, _OPEN + _CLOSE, "  ")
+    return F.when(text.isNotNull(), let(F.split(clean, LINE_CUT), placed))
 
 
 def source_lines(blocks: DataFrame, keys: list[str], following: bool = False) -> DataFrame:
