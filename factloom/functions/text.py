@@ -94,6 +94,11 @@ def token_forms(t: Column) -> Column:
     )))
 
 
+def stem(forms: Column) -> Column:
+    """What every word begins with that shares one of a token's forms: the shortest form, and without its last letter if that may stand for ``ies``."""
+    return F.array_min(F.transform(forms, lambda f: let(F.regexp_replace(f, "y$", ""), lambda s: F.struct(F.char_length(s).alias("n"), s.alias("s")))))["s"]
+
+
 def tokens_equivalent(a: Column, b: Column) -> Column:
     return F.arrays_overlap(token_forms(a), token_forms(b))
 
