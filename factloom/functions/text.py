@@ -77,21 +77,21 @@ def _cut(t: Column, n: int) -> Column:
 def token_forms(t: Column) -> Column:
     """A folded token and the singular or base forms that can be had from it mechanically."""
     n = F.char_length(t)
+    own, without_one = F.array(t), F.array(t, _cut(t, 1))
+    hissing = t.endswith("ses") | t.endswith("xes") | t.endswith("zes") | t.endswith("ches") | t.endswith("shes")
+    plural = (
+        F.when(n < 3, own)
+        .when(n == 3, F.when(F.substring(t, 2, 1).isin("a", "e", "i", "o", "u"), own).otherwise(without_one))
+        .when((n > 4) & t.endswith("ies"), F.array(t, F.concat(_cut(t, 3), F.lit("y"))))
+        .when((n > 4) & t.endswith("es"), F.when(hissing, F.array(t, _cut(t, 1), _cut(t, 2))).otherwise(without_one))
+        .when(t.endswith("ss") | t.endswith("is") | t.endswith("us") | t.endswith("ws"), own)
+        .otherwise(without_one)
+    )
+    past = F.when(n > 4, F.array(t, _cut(t, 2), _cut(t, 1))).otherwise(own)
+    # most tokens have no ending to take off and cost two tests of their last letters
     alpha = t.rlike(r"^\p{L}+$")
-    short = alpha & (n == 3) & t.rlike(r"[^aeiou]s$")
-    long = alpha & (n > 3)
-    ies = long & (n > 4) & t.endswith("ies")
-    es = long & (n > 4) & t.endswith("es") & ~t.endswith("ies")
-    plain_s = long & t.endswith("s") & ~ies & ~es & ~t.rlike(r"(ss|is|us|ws)$")
-    ed = long & (n > 4) & t.endswith("ed")
-    return F.array_distinct(F.array_compact(F.array(
-        t,
-        F.when(short | plain_s | es, _cut(t, 1)),
-        F.when(ed, _cut(t, 2)),
-        F.when(ed, _cut(t, 1)),
-        F.when(ies, F.concat(_cut(t, 3), F.lit("y"))),
-        F.when(es & t.rlike(r"(sses|xes|zes|ches|shes|ses)$"), _cut(t, 2)),
-    )))
+    return (F.when(t.endswith("s"), F.when(alpha, plural).otherwise(own)).when(t.endswith("ed"), F.when(alpha, past).otherwise(own))
+            .when(t.isNull(), F.array().cast("array<string>")).otherwise(own))
 
 
 def stem(forms: Column) -> Column:
