@@ -26,6 +26,9 @@ MOST_LISTS = 4096
 RECALL = 0.9
 #: Standard errors by which the recall over the asked questions has to lie above the wanted one.
 MARGIN = 3
+#: Similarities to centroids held at once, and rows passed on at once: however many lists there are and are probed, a task's Python holds no more.
+SIMS = 1 << 18
+PLACED_ROWS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -88,22 +91,27 @@ def _nearest(df: DataFrame, key: str, centroids: np.ndarray, most: int, held: np
     """``key, embedding, list, place`` for the ``most`` lists nearest to each vector, the nearest at place 1; with ``held``, the number of vectors in each
     list, for as many more as it takes to reach ``k`` vectors."""
     most = min(most, len(centroids))
+    step = max(1, SIMS // len(centroids))
+
+    def placed(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sims = np.round(_unit(np.stack(f["embedding"].to_numpy()).astype(np.float64)) @ centroids.T, 9)
+        if held is None and most == 1:
+            row, place, own = np.arange(len(f)), np.zeros(len(f), np.int64), sims.argmax(axis=1)
+        else:
+            order = np.argsort(-sims, axis=1, kind="stable")
+            wanted = np.broadcast_to(np.arange(order.shape[1]) < most, order.shape)
+            if held is not None:
+                wanted = wanted | (np.cumsum(held[order], axis=1) - held[order] < k)
+            row, place = np.nonzero(wanted)
+            own = order[row, place]
+        for begin in range(0, len(row), PLACED_ROWS):
+            cut = slice(begin, begin + PLACED_ROWS)
+            yield f.iloc[row[cut]].assign(list=own[cut].astype(np.int32), place=(place[cut] + 1).astype(np.int32))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                sims = np.round(_unit(np.stack(f["embedding"].to_numpy()).astype(np.float64)) @ centroids.T, 9)
-                order = np.argsort(-sims, axis=1, kind="stable")
-                if held is None:
-                    wanted = np.broadcast_to(np.arange(order.shape[1]) < most, order.shape)
-                else:
-                    before = np.cumsum(held[order], axis=1) - held[order]
-                    wanted = (np.arange(order.shape[1]) < most) | (before < k)
-                row, place = np.nonzero(wanted)
-                out = f.iloc[row].copy()
-                out["list"] = order[row, place].astype(np.int32)
-                out["place"] = (place + 1).astype(np.int32)
-                yield out
+            for begin in range(0, len(f), step):
+                yield from placed(f.iloc[begin:begin + step])
 
     return df.select(key, F.col("embedding").cast("array<float>").alias("embedding")).mapInPandas(place, f"{key} long, embedding array<float>, list int, place int")
 
