@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import key_words, norm_key, token_forms
-from factloom.functions.typing import number_cell, typed_cell
+from factloom.functions.typing import is_number_cell, number_cell, typed_cell
 from factloom.operators.relational import Outcome, _status
 
 
@@ -165,7 +165,7 @@ def infer_join_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str
 
 def numeric_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Which columns hold at least one number cell, in one pass."""
-    cells = df.select(*[(number_cell(F.col(c).cast("string"))["kind"] == "number").alias(c) for c in columns])
+    cells = df.select(*[is_number_cell(F.col(c).cast("string")).alias(c) for c in columns])
     flags = cells.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in columns])
     return flags.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(c).alias("numeric"))
