@@ -73,11 +73,11 @@ def reconcile_measures(left: DataFrame, right: DataFrame, key: tuple[str, str],
 
 
 def unmatched(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
-    """Keys found on one side only, with that side."""
-    l = left.select(F.coalesce(F.col(left_key), F.lit("")).alias("key")).distinct()
-    r = right.select(F.coalesce(F.col(right_key or left_key), F.lit("")).alias("key")).distinct()
-    return (l.join(r, "key", "left_anti").withColumn("side", F.lit("left"))
-            .unionByName(r.join(l, "key", "left_anti").withColumn("side", F.lit("right"))))
+    """Keys found on one side only, with that side. Both sides go into one grouping, so a task holds each of its keys once and joins nothing."""
+    both = left.select(F.coalesce(F.col(left_key), F.lit("")).alias("key"), F.lit(1).alias("_side")).unionByName(
+        right.select(F.coalesce(F.col(right_key or left_key), F.lit("")).alias("key"), F.lit(2).alias("_side")))
+    sides = both.groupBy("key").agg(F.bit_or("_side").alias("_sides"))
+    return sides.where("_sides < 3").select("key", F.when(F.col("_sides") == 1, "left").otherwise("right").alias("side"))
 
 
 def all_matched(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
