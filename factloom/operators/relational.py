@@ -48,6 +48,10 @@ def predicate(pred: Predicate) -> Column:
         return {"is_null": null, "not_null": ~null}[pred[1]]
     kind = sure_kind(pred[2])
     general = condition(cell_as(F.col(pred[0]), kind), pred[1], _operand(pred[2]), kind)
+    if isinstance(pred[2], Column):
+        # two plain numbers have no units and are compared in generated code
+        both = F.col(pred[0]).rlike(PLAIN_NUMBER) & pred[2].rlike(PLAIN_NUMBER)
+        return F.when(both, F.coalesce(COMPARISONS[pred[1]](F.col(pred[0]).try_cast(NUM), pred[2].try_cast(NUM)), F.lit(False))).otherwise(general)
     if kind not in ("number", "date"):
         return general
     # cells in their plainest form are compared in generated code, without being typed first
