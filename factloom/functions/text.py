@@ -54,6 +54,12 @@ def norm_key(c: Column) -> Column:
     return fold(F.array_join(F.regexp_extract_all(nfkc(c), F.lit(WORD), F.lit(0)), " "))
 
 
+def plain_key(c: Column) -> Column:
+    """``norm_key`` where most values are short and plain: letters and digits are only lower-cased, and ASCII takes one replacement."""
+    return (F.when(c.rlike("^[0-9A-Za-z]*$"), F.lower(c))
+            .when(~c.rlike(NON_ASCII), F.lower(F.btrim(F.regexp_replace(c, "[^0-9A-Za-z]+", " ")))).otherwise(norm_key(c)))
+
+
 def key_words(c: Column) -> Column:
     return _split_words(norm_key(c), lambda k: k)
 

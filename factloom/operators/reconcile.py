@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import key_words, norm_key, token_forms
-from factloom.functions.typing import is_number_cell, number_cell, typed_cell
+from factloom.functions.text import key_words, token_forms
+from factloom.functions.typing import is_number_cell, keyed_cells, number_cell
 from factloom.operators.relational import Outcome, _status
 
 
@@ -125,21 +125,18 @@ def headers_equivalent(left: list[str], right: list[str], spark) -> DataFrame:
 def infer_join_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """The pair of columns that best connects two tables, or no row when none overlaps or the best is tied.
 
-    Every column is unpivoted to distinct (pair, normalised value) first; overlap and union come from one
-    grouped pass over both sides, never from comparing rows with rows.
+    Every column is unpivoted to distinct cells, and these to distinct (pair, normalised value); overlap and union come
+    from one grouped pass over both sides, never from comparing rows with rows.
     """
-    def cells(df: DataFrame, side: int, prefix: str) -> DataFrame:
-        exploded = df.select(F.posexplode(F.array(*[F.col(p[side]).cast("string") for p in pairs])).alias("pair", "v"))
-        typed = exploded.select("pair", typed_cell(F.col("v")).alias("t"))
-        return typed.select(
-            "pair", F.when(F.col("t.kind") != "null", norm_key(F.col("t.raw"))).alias("value"),
-            (F.col("t.kind") == "identifier").cast("long").alias("ident"), F.lit(prefix).alias("side"))
-
-    both = cells(left, 0, "l").unionByName(cells(right, 1, "r"))
-    per_value = both.groupBy("pair", "value").agg(
-        F.max(F.when(F.col("side") == "l", 1).otherwise(0)).alias("in_l"),
-        F.max(F.when(F.col("side") == "r", 1).otherwise(0)).alias("in_r"),
-        F.sum("ident").alias("ident"), F.count(F.lit(1)).alias("cells"))
+    def cells(df: DataFrame, side: int) -> DataFrame:
+        return df.select(F.posexplode(F.array(*[F.col(p[side]).cast("string") for p in pairs])).alias("pair", "v")).withColumn("side", F.lit(side))
+
+    # equal cells are typed once
+    sides = [F.max(F.when(F.col("side") == i, 1).otherwise(0)).alias(name) for i, name in enumerate(("in_l", "in_r"))]
+    raw = cells(left, 0).unionByName(cells(right, 1)).groupBy("pair", "v").agg(*sides, F.count(F.lit(1)).alias("cells"))
+    typed = keyed_cells(raw, "v", "pair", "in_l", "in_r", "cells").withColumn("value", F.when(~F.col("null"), F.col("key")))
+    per_value = typed.groupBy("pair", "value").agg(
+        F.max("in_l").alias("in_l"), F.max("in_r").alias("in_r"), F.sum(F.col("ident") * F.col("cells")).alias("ident"), F.sum("cells").alias("cells"))
     live = F.col("value").isNotNull()
     both_sides = live & (F.col("in_l") == 1) & (F.col("in_r") == 1)
     stats = per_value.groupBy("pair").agg(
@@ -154,12 +151,13 @@ def infer_join_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str
             F.least(F.col("overlap") / F.col("nl"), F.col("overlap") / F.col("nr")).alias("coverage"),
             (F.col("overlap") / F.col("nu")).alias("jaccard"),
             (F.col("ident") / F.col("cells")).alias("identifier_ratio")).alias("score"))
-    best = scored.agg(F.max("score").alias("score"))
-    winners = scored.where(F.col("score") == best.scalar()).groupBy("score").agg(
-        F.count(F.lit(1)).alias("ties"), F.min("pair").alias("pair"))
+    # one row per pair of columns is left, so they are ranked in one array and both tables are read once
+    ranked = scored.agg(F.sort_array(F.collect_list(F.struct("score", "pair")), asc=False).alias("_r"))
+    first = F.get("_r", F.lit(0))
+    winners = ranked.where(F.size(F.filter("_r", lambda x: x["score"] == first["score"])) == 1).select(first["pair"].alias("pair"), first["score"].alias("score"))
     lefts = F.array(*[F.lit(p[0]) for p in pairs])
     rights = F.array(*[F.lit(p[1]) for p in pairs])
-    return winners.where("ties = 1").select(
+    return winners.select(
         F.get(lefts, F.col("pair")).alias("left_key"), F.get(rights, F.col("pair")).alias("right_key"), "score.*")
 
 

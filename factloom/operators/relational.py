@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import vocab
 from factloom.functions.text import covered, let, norm_key, search_words, stop
-from factloom.functions.typing import NUM, PLAIN_DATE, PLAIN_DOLLARS, PLAIN_NUMBER, cell_as, compare_typed, condition, is_null_cell, number_cell, sure_kind, typed_cell
+from factloom.functions.typing import NUM, PLAIN_DATE, PLAIN_DOLLARS, PLAIN_NUMBER, cell_as, compare_typed, condition, is_null_cell, keyed_cells, number_cell, sure_kind, typed_cell
 
 COMPARISONS = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
 Predicate = tuple  # (column, op) | (column, op, literal) | (column, op, F.col(other))
@@ -285,9 +285,7 @@ def rank_identity_columns(df: DataFrame, columns: list[str], approximate: bool =
     serves every column and no hot value is collected; ``approximate`` swaps in a sketch.
     """
     cells = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("position", "value"))
-    typed = cells.select("position", typed_cell(F.col("value")).alias("t"))
-    live = typed.where(F.col("t.kind") != "null").select(
-        "position", norm_key(F.col("t.raw")).alias("key"), (F.col("t.kind") == "identifier").cast("long").alias("ident"))
+    live = keyed_cells(cells, "value", "position").where(~F.col("null"))
     if approximate:
         stats = live.groupBy("position").agg(
             F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("d"), F.sum("ident").alias("i"))
@@ -325,4 +323,4 @@ def lookup_cell(df: DataFrame, request_keys: list[str], column: str, asked: str
         about = let(wanted, lambda w: 2 * covered(w, search_words(F.coalesce(F.col(said), F.lit("")))) >= F.size(w))
     found = df.withColumn("_about", about).groupBy(*request_keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(F.col(column)).alias("value"), F.bool_and("_about").alias("_about"))
-    return found.where((F.col("_rows") == 1) & F.col("_about") & (typed_cell(F.col("value"))["kind"] != "null")).drop("_rows", "_about")
+    return found.where((F.col("_rows") == 1) & F.col("_about") & ~is_null_cell(F.col("value"))).drop("_rows", "_about")
