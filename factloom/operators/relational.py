@@ -317,10 +317,12 @@ def lookup_cell(df: DataFrame, request_keys: list[str], column: str, asked: str
     ``df`` holds candidate rows already joined to their requests. Counting and picking happen in one combine-able
     aggregate, so a request with very many candidate rows costs no more than its partial counts.
     """
-    about = F.lit(True)
+    about, words = F.lit(True), []
     if asked is not None and said is not None:
-        wanted = stop(F.array_distinct(search_words(F.coalesce(F.col(asked), F.lit("")))), (*vocab.QUERY_STOP_WORDS, *vocab.REQUEST_NOISE))
-        about = let(wanted, lambda w: 2 * covered(w, search_words(F.coalesce(F.col(said), F.lit("")))) >= F.size(w))
-    found = df.withColumn("_about", about).groupBy(*request_keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.max(F.col(column)).alias("value"), F.bool_and("_about").alias("_about"))
-    return found.where((F.col("_rows") == 1) & F.col("_about") & ~is_null_cell(F.col("value"))).drop("_rows", "_about")
+        wanted = stop(F.array_distinct(search_words(F.coalesce(F.col("_hit.asked"), F.lit("")))), (*vocab.QUERY_STOP_WORDS, *vocab.REQUEST_NOISE))
+        about = let(wanted, lambda w: 2 * covered(w, search_words(F.coalesce(F.col("_hit.said"), F.lit("")))) >= F.size(w))
+        words = [F.col(asked).alias("asked"), F.col(said).alias("said")]
+    # words are compared behind the aggregate, where one row is left of the few requests that have one answer
+    found = df.groupBy(*request_keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.struct(F.col(column).alias("value"), *words)).alias("_hit")).where("_rows = 1")
+    return found.where(~is_null_cell(F.col("_hit.value")) & about).select(*request_keys, F.col("_hit.value").alias("value"))
