@@ -112,11 +112,11 @@ _EXPECTED_SQL = " UNION ALL ".join(
 
 
 def _sheets(t):
-    return t.spread("part").selectExpr("p_partkey AS file_id", "0 AS block_ord", "1 AS line_start", f"{_PART_SHEET} AS text")
+    return t.dealt("part").selectExpr("p_partkey AS file_id", "0 AS block_ord", "1 AS line_start", f"{_PART_SHEET} AS text")
 
 
 def _targets(t, names=_TARGETS):
-    return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "target_id int, target string")
+    return t.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("target_id"), F.lit(n).alias("target")) for i, n in enumerate(names)])))
 
 
 def _occurrences(t):

@@ -29,6 +29,11 @@ class Tables:
         tasks = self.spark.conf.get("spark.factloom.spread", None)
         return df.repartition(int(tasks)) if tasks else df
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table of short rows each of which makes much work, dealt out to a few tasks a core: however large the work, the files of such a table are few."""
+        tasks = self.spark.conf.get("spark.factloom.spread", None)
+        return getattr(self, name).repartition(int(tasks) if tasks else 4 * self.spark.sparkContext.defaultParallelism)
+
 
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
