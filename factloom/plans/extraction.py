@@ -222,7 +222,7 @@ SELECT p_partkey AS row_ord, 'header' AS form, p_name || ' — Retail price' AS
 UNION ALL SELECT p_partkey, 'row', 'ECONOMY — Size', CAST(p_size AS STRING) FROM part WHERE p_type = 'ECONOMY'
 UNION ALL SELECT p_partkey, 'row', 'ECONOMY — Retail price', '$ ' || """ + _PRICE + """ FROM part WHERE p_type = 'ECONOMY'""")
 def cell_values(t):
-    p = t.spread("part").selectExpr("p_partkey", "p_name AS `Item name`", "p_type AS `Kind`", "CAST(p_size AS STRING) AS `Size`",
+    p = t.dealt("part").selectExpr("p_partkey", "p_name AS `Item name`", "p_type AS `Kind`", "CAST(p_size AS STRING) AS `Size`",
                           "'$' || CAST(p_retailprice AS STRING) AS `Retail price`")
     cells = tables.wide_to_cells(p, F.lit("part"), F.col("p_partkey"), ["Item name", "Kind", "Size", "Retail price"])
     found = extract.extract_from_cells(cells, _targets(t, ["price", "economy"]), ["table_id"])
