@@ -8,9 +8,9 @@ part of an item is found as well, if the run of aligned tokens around the hit is
 that raises its score (equal tokens less ``SIMILAR`` of its length), by ``REACH`` tokens at most.
 
 A Bloom filter over the item hashes, whose size the number of item hashes fixes and ``MOST_BITS`` bounds, keeps training windows that can't hit
-out of the join; it never drops one that can. It also holds the first two compared tokens of the masks, so that most windows cost one look-up. The tokens of a
-text are read in generated code, one window after the other; texts themselves are not shuffled: a window that may hit carries its neighbourhood as
-32-bit token hashes.
+out of the join; it never drops one that can. It also holds the first two compared tokens of the masks, so that most windows cost one look-up. Texts are cut
+into pieces of ``PIECE`` windows, whose tokens are read in generated code, one window after the other, so what a task holds is bounded by the hits of a piece, not by those
+of a text times its length. Texts themselves are not shuffled: a window that may hit carries its neighbourhood as 32-bit token hashes.
 
 Defined results: null or empty texts and items match nothing; items of fewer than ``WHOLE`` tokens are no evidence and match nothing; equal items
 each match; rows that share a ``doc_id`` count as one document; a null ``doc_id`` is a value of its own.
@@ -31,6 +31,8 @@ TINY_MASKS = ("111",)
 LONG = 12
 #: Tokens by which a hit is extended to each side.
 REACH = 18
+#: Windows of one piece of a text. A window that may hit carries its piece, never its whole text.
+PIECE = 256
 SIMILAR = 0.8
 #: Tokens of an item from which it is searched for.
 WHOLE = 3
@@ -65,6 +67,21 @@ def steps(masks: list[str]) -> list[int]:
     return sorted({compared(m)[1] for m in masks})
 
 
+def pieces(texts: DataFrame, masks: list[str], *keep: str) -> DataFrame:
+    """A row for each ``PIECE`` windows of ``words``: ``words``, the tokens of these windows and as many to both sides as a hit compares; ``own``, the place of the first
+    window; ``origin``, the place of the first token in the text, not counting an empty word before it."""
+    blank = (F.get("words", F.lit(0)) == "").cast("int")  # a text that begins with a sign has an empty word first
+    beyond = max(map(len, masks)) - 1 + REACH
+
+    def piece(at: Column) -> Column:
+        first = F.greatest(at - REACH, F.lit(0))
+        return F.struct((first - blank).alias("origin"), (at - first).alias("own"), F.slice("words", first + 1, at - first + PIECE + beyond).alias("words"))
+
+    # no text is without a word, an empty one at least; the outer form keeps Spark from splitting texts once more to see whether there is any
+    cut = F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(PIECE)), piece)).alias("p")
+    return texts.select(*keep, cut).select(*keep, "p.origin", "p.own", "p.words")
+
+
 def windows(rows: DataFrame, masks: list[str], *keep: str) -> DataFrame:
     """A row for each window and mask: ``at``, ``seed``, ``span``, besides ``words`` and ``keep``."""
     seeds = F.array(*[F.struct(seed(F.col("at"), m).alias("seed"), F.lit(len(m)).alias("span")) for m in masks])
@@ -148,11 +165,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     begun = F.lit(False)
     for k in steps(masks):
         begun = begun | held(start(F.col("at"), k))
-    placed = split.select("doc_id", "words", F.posexplode("words").alias("at", "word")).where(begun)
-    hits = windows(placed, masks, "doc_id").where(held(F.col("seed")))
+    last = F.least(F.col("own") + PIECE, F.size("words")) - 1
+    placed = pieces(split, masks, "doc_id").select("doc_id", "origin", "words", F.explode(F.sequence("own", last)).alias("at")).where(begun)
+    hits = windows(placed, masks, "doc_id", "origin").where(held(F.col("seed")))
     first = F.greatest(F.col("at") - REACH, F.lit(0))
-    blank = (F.get("words", F.lit(0)) == "").cast("int")  # a text that begins with a sign has an empty word first
-    near = hits.select("doc_id", "seed", (F.col("at") - first).alias("in_near"), (first - blank).alias("near_from"), F.transform(
+    near = hits.select("doc_id", "seed", (F.col("at") - first).alias("in_near"), (first + F.col("origin")).alias("near_from"), F.transform(
         F.slice("words", first + 1, F.col("at") - first + F.col("span") + REACH), lambda w: F.hash(w)).alias("near"))
     joined = near.join(item_index(seeds), "seed")
     same = F.transform("item_toks", lambda t, i: F.when((F.col("offset") + i >= 0) & (F.get("near", F.col("offset") + i) == t), 1).otherwise(0))
