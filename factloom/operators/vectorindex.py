@@ -2,8 +2,8 @@
 
 The quantiser is fitted on a bounded sample (``SAMPLE`` vectors to a list, those with the lowest hash of their id); every vector is put into the list of
 its nearest centroid. The index is a folder of three tables: ``lists`` (partitioned by list), ``centroids``, and ``recall``, which holds the number of probed lists and
-the recall measured with it against the exact search. Lists and the questions that probe them meet in groups of bounded size: a list that holds a
-third of all vectors is split into blocks, and so are the questions of a list that all of them probe.
+the recall measured with it against the exact search. Lists are gathered into chunks of bounded size, and a question goes once to each chunk with the lists it
+probes there, not once to each list; a list that holds a third of all vectors is split into blocks, and so are the questions.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.ordering import top_k_per
-from factloom.operators.search import _HITS, BLOCK_ROWS, _unit, compared, vector_search
+from factloom.operators.search import _HITS, BLOCK_ROWS, _best, _unit, blocks_of, vector_search
 
 #: Sampled vectors to a list, rounds of the fit, lists at most (bounds what every task holds), and the recall that is asked for.
 SAMPLE = 64
@@ -29,6 +29,8 @@ MARGIN = 3
 #: Similarities to centroids held at once, and rows passed on at once: however many lists there are and are probed, a task's Python holds no more.
 SIMS = 1 << 18
 PLACED_ROWS = 1 << 12
+#: Hits of a group held at once before only the best of each question are kept.
+HITS_HELD = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -156,29 +158,100 @@ def tuned(index: VectorIndex, asked: DataFrame, exact: DataFrame, wanted: float)
     return place + 1, float(mean[place])
 
 
+def _wanted(sims: np.ndarray, most: int, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists by similarity for each row, and which of them are probed: the first ``most``, and as many more as it takes to reach ``k`` vectors."""
+    order = np.argsort(-sims, axis=1, kind="stable")
+    return order, (np.arange(order.shape[1]) < most) | (np.cumsum(held[order], axis=1) - held[order] < k)
+
+
+def chunked(counts: np.ndarray, most: int) -> np.ndarray:
+    """Chunk of each list: lists in order, together at most ``most`` vectors; a larger list has a chunk of its own."""
+    chunk, at, total = np.zeros(len(counts), np.int32), 0, 0
+    for number, n in enumerate(counts.tolist()):
+        if total and total + n > most:
+            at, total = at + 1, 0
+        chunk[number], total = at, total + n
+    return chunk
+
+
+def _asked(df: DataFrame, centroids: np.ndarray, most: int, held: np.ndarray, k: int, chunk: np.ndarray) -> DataFrame:
+    """``query_id, vector, chunk, lists``: each question once for each chunk in which it probes lists."""
+    step = max(1, SIMS // len(centroids))
+
+    def placed(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        order, wanted = _wanted(np.round(_unit(np.stack(f["embedding"].to_numpy()).astype(np.float64)) @ centroids.T, 9), most, held, k)
+        row, place = np.nonzero(wanted)
+        own = order[row, place].astype(np.int32)
+        met = row * (int(chunk.max()) + 1) + chunk[own]
+        sort = np.argsort(met, kind="stable")
+        first = np.flatnonzero(np.diff(met[sort], prepend=-1))
+        lists = np.split(own[sort], first[1:])
+        row, part = row[sort][first], chunk[own[sort][first]]
+        for begin in range(0, len(row), PLACED_ROWS):
+            cut = slice(begin, begin + PLACED_ROWS)
+            f_cut = f.iloc[row[cut]]
+            yield pd.DataFrame({"query_id": f_cut["query_id"].to_numpy(), "vector": f_cut["embedding"].to_numpy(), "chunk": part[cut], "lists": lists[cut]})
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for begin in range(0, len(f), step):
+                yield from placed(f.iloc[begin:begin + step])
+
+    return df.select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInPandas(
+        place, "query_id long, vector array<float>, chunk int, lists array<int>")
+
+
+def probed(vectors: pd.DataFrame, questions: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Top ``k`` for each question of a block among the vectors (``vec_id, vector, list``) of a chunk that lie in the lists it probes (``lists``)."""
+    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    if not len(vectors) or not len(questions):
+        return none
+    ids, q_ids = vectors["vec_id"].to_numpy(), questions["query_id"].to_numpy()
+    v, q = (_unit(np.stack(f["vector"].to_numpy()).astype(np.float64)) for f in (vectors, questions))
+    asked = np.concatenate(questions["lists"].to_numpy())
+    rows = np.repeat(np.arange(len(questions)), questions["lists"].map(len).to_numpy())
+    sort = np.argsort(asked, kind="stable")
+    asked, rows = asked[sort], rows[sort]
+
+    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+        ranked = pd.concat(found).sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True])
+        return ranked.groupby("query_id").head(k)
+
+    found, held = [none], 0
+    for number, where in vectors.groupby("list").indices.items():
+        mine = rows[np.searchsorted(asked, number):np.searchsorted(asked, number, side="right")]
+        if len(mine):
+            found.append(_best(q_ids[mine], q[mine], ids[where], v[where], k))
+            held += len(found[-1])
+        if held > HITS_HELD:
+            found, held = [best(found)], 0
+    return best([f for f in found if len(f)] or [none])
+
+
 def index_search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """Top ``k`` by cosine similarity among the vectors of the probed lists, ``query_id, vec_id, similarity, rank``; similarities are exact. A question whose
-    probed lists hold fewer than ``k`` vectors goes on to its next lists, so it gets ``k`` results if there are so many vectors."""
+    probed lists hold fewer than ``k`` vectors goes on to its next lists, so it gets ``k`` results if there are so many vectors. What is shuffled grows with the
+    chunks and the blocks of questions, not with the lists probed, and so do the hits: a group passes on ``k`` of each question."""
     held = index.lists
     centroids = index.centroids
     counts = np.zeros(len(centroids), dtype=np.int64)
     for row in held.groupBy("list").count().collect():  # at most MOST_LISTS rows
         counts[row["list"]] = row["count"]
-    placed = _nearest(_usable(queries, "query_id", index.dims), "query_id", centroids, probes or index.probes, counts, k)
-    # blocks of each list, of vectors and of questions: at most MOST_LISTS rows, so small enough for every task
-    sizes = held.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("v_blocks")).join(
-        placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("q_blocks")), "list")
-    sizes = F.broadcast(sizes)
-
-    def dealt(df: DataFrame, key: str, own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        block = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
-        return df.join(sizes, "list").select(F.col("list").alias("list"), F.col(key).alias(key), F.col("embedding").alias("vector"), block.alias(names[0]),
-                                             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
-
-    left = dealt(held, "vec_id", "v_blocks", "q_blocks", ("vb", "qb")).groupBy("list", "vb", "qb")
-    right = dealt(placed, "query_id", "q_blocks", "v_blocks", ("qb", "vb")).groupBy("list", "vb", "qb")
-    dims = index.dims
-    hits = left.cogroup(right).applyInPandas(lambda v, q: compared(v, q, k, dims), _HITS)
+    good = _usable(queries, "query_id", index.dims)
+    q_blocks = blocks_of(good.count(), index.dims)
+    total = int(counts.sum())
+    most = max(1, -(-total // blocks_of(total, index.dims)))
+    chunk = chunked(counts, most)
+    sizes = np.bincount(chunk, weights=counts).astype(np.int64)
+    blocks = index.spark.createDataFrame([(i, int(c), max(1, -(-int(sizes[c]) // most))) for i, c in enumerate(chunk)], "list int, chunk int, v_blocks int")
+    left = held.join(F.broadcast(blocks), "list").select(
+        "chunk", "list", F.col("vec_id").alias("vec_id"), F.col("embedding").alias("vector"),
+        F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    asked = _asked(good, centroids, probes or index.probes, counts, k, chunk)
+    right = asked.join(F.broadcast(blocks.select("chunk", "v_blocks").distinct()), "chunk").select(
+        "chunk", "query_id", "vector", "lists", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"))
+    hits = left.groupBy("chunk", "vb", "qb").cogroup(right.groupBy("chunk", "vb", "qb")).applyInPandas(lambda v, q: probed(v, q, k), _HITS)
     return top_k_per(hits, ["query_id"], k, F.desc("similarity"), F.asc("vec_id"))
 
 
